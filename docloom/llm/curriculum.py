@@ -91,7 +91,10 @@ def assign(docs: DataFrame, seed: int = 11) -> DataFrame:
 
 
 def training_order(df: DataFrame, position: str) -> DataFrame:
-    """Range-sort by ``position``: partition i holds earlier positions than partition i+1."""
+    """Range-sort by ``position``: partition i holds earlier positions than partition i+1.
+
+    Ties, and rows without a position, have no order among each other and may be spread.
+    """
     return df.repartitionByRange(shuffle_width(df.sparkSession), position).sortWithinPartitions(position)
 
 

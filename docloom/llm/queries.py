@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import chat, curriculum, grace, langid, packing, shards, topk
+from docloom.llm import chat, curriculum, grace, langid, lines, order_minhash, packing, shards, surrogates, topk
 
 SHARDS, SEED = 16, 20
 
@@ -21,6 +21,10 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii_surrogates(spark, sf_dir):
+    return surrogates.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_exact_top_k(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)))
@@ -53,14 +57,25 @@ def op7_grace_dedup(spark, sf_dir):
     return grace.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_order_minhash(spark, sf_dir):
+    return order_minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_curriculum_mix(spark, sf_dir):
     mixed = curriculum.assign(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     rows = mixed.select("doc_id", "source", "size", "source_size", "target", "taken", F.size("passes").cast("int").alias("passes"), F.get("passes", F.lit(0))["position"].alias("first_position"))
     return curriculum.training_order(rows, "first_position")
 
 
+def op10_fuzzy_lines(spark, sf_dir):
+    return lines.deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_top_k, op3_language_id, op4_best_fit_packing, op5_stratified_shards, op6_chat_formatting, op7_grace_dedup, op9_curriculum_mix)}
+    return {f.__name__: f for f in (
+        op1_pii_surrogates, op2_exact_top_k, op3_language_id, op4_best_fit_packing, op5_stratified_shards,
+        op6_chat_formatting, op7_grace_dedup, op8_order_minhash, op9_curriculum_mix, op10_fuzzy_lines,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
