@@ -15,11 +15,13 @@ of the shingles, counting only those in order.  0.8 or more is a link; linked te
 classes.
 
 Scale: texts with the same words are one node.  In the first round each bucket links its
-members to its smallest one, so a bucket of n members makes n - 1 candidates, not n * n.
-Buckets whose members are not yet of one class are looked at again: their members of
-different classes are compared with each other; where such a bucket is large, its members
-must share a second value.  (A pair of similarity 0.8 shares two of 24 values with
-probability 0.99994.)
+members to the one that meets most others in its buckets (the middle of a group of near
+copies), so a bucket of n members makes n - 1 candidates, not n * n.  Buckets whose
+members are not yet of one class are looked at again: their members of different classes
+are compared.  Where such a bucket is large, shingles are counted over all its members
+first: a member with u shingles of its own shares at most n - u with any other, which
+rules out most of them without comparing (copies with many edits of their own, texts that
+share a passage).  The bound loses nothing.
 
 Edge cases: null is an empty text; a text of one to four words is a single shingle; texts
 without words are near duplicates only if equal; of a class the smallest doc_id is kept (a
@@ -43,8 +45,10 @@ from docloom.storage import materialize
 WORDS, THRESHOLD = 5, 0.8
 #: Hash functions, and labelled shingles each of them picks.
 SKETCHES, PICKED = 24, 4
-#: Members from which a mixed bucket asks for a second common value.
-LARGE = 64
+#: Members from which a mixed bucket's shingles are counted before members are compared.
+LARGE = 16
+#: Rows of a narrow table up to which it is sent to every executor instead of shuffled.
+SMALL_ROWS = 100_000
 #: Bytes of a text hashed at once.
 STRETCH = 1 << 20
 
@@ -98,14 +102,20 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return _mix(total + np.uint64(size))
 
 
-def sketch(text_shingles: np.ndarray) -> np.ndarray:
-    """The ordered values of all hash functions."""
+def labels(text_shingles: np.ndarray) -> np.ndarray:
+    """Shingles told apart by their occurrence number."""
     order = np.argsort(text_shingles, kind="stable")
     ranked = text_shingles[order]
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     nth = np.arange(len(ranked)) - np.repeat(first, np.diff(np.append(first, len(ranked))))
     labelled = text_shingles.copy()
     labelled[order] += nth.astype(np.uint64) * _MIX[0]
+    return labelled
+
+
+def sketch(text_shingles: np.ndarray) -> np.ndarray:
+    """The ordered values of all hash functions."""
+    labelled = labels(text_shingles)
     out = np.zeros(SKETCHES, np.uint64)
     for j, seed in enumerate(_SEEDS):
         if len(labelled) > PICKED:
@@ -185,6 +195,13 @@ def _verified(batches):
         yield batch[["a", "b"]][np.array(keep, bool)]
 
 
+def _labelled(batches):
+    for batch in batches:
+        for node, text in zip(batch["node"], batch["text"], strict=True):
+            found = labels(shingles(word_hashes(text))).view(np.int64)
+            yield pd.DataFrame({"node": [node] * len(found), "shingle": found})
+
+
 def _alike(n: str, m: str):
     """Shingle counts that can reach the threshold."""
     return F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)
@@ -203,36 +220,44 @@ def links(docs: DataFrame, made: DataFrame) -> DataFrame:
         "omh-nodes",
     )
     entries = nodes.select("node", "n", F.posexplode("sketch").alias("j", "v")).select("node", "n", F.xxhash64("j", "v").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("r"), F.count("*").alias("members")).where("members > 1")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     met = materialize(entries.join(shared, "bucket"), "omh-buckets")
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.unhex(F.md5(F.encode(text_of(), "UTF-8"))).alias("k"), text_of().alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.unhex(F.md5(F.encode(text_of(), "UTF-8"))).alias("k"), text_of().alias("text"))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """node, text of the wanted nodes."""
+        which = materialize(nodes.join(wanted, "node", "left_semi").select("node", "at"), "omh-wanted")
+        which = F.broadcast(which) if which.count() <= SMALL_ROWS else which
+        found = keyed.join(which, F.col("d").eqNullSafe(F.col("at.doc_id")) & (F.col("k") == F.col("at.text_key")))
+        return materialize(found.select("node", "text").dropDuplicates(["node"]), "omh-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("a").unionAll(pairs.select("b")).distinct()
-        which = nodes.join(wanted, nodes["node"] == wanted["a"], "left_semi").select("node", "at")
-        found = texts.join(which, F.col("d").eqNullSafe(F.col("at.doc_id")) & (F.col("k") == F.col("at.text_key")))
-        found = materialize(found.groupBy("node").agg(F.first("text").alias("text")), "omh-texts")
+        found = texts(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
         second = pairs.join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         both = second.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         return materialize(both.select("a", "b", "text_a", "text_b").mapInPandas(_verified, "a binary, b binary"), "omh-verified")
 
-    star = met.where((F.col("node") != F.col("r.node")) & _alike("n", "r.n")).select(F.col("r.node").alias("a"), F.col("node").alias("b"))
+    # the member that meets most others is the middle of its bucket
+    meets = met.groupBy("node").agg(F.sum("members").alias("meets"))
+    middles = met.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node", "n")).alias("r"))
+    star = met.join(middles, "bucket").where((F.col("node") != F.col("r.node")) & _alike("n", "r.n")).select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b"))
     star = materialize(star.distinct(), "omh-star")
     first = verify(star)
 
     # buckets that are not of one class yet
     classes = components(first, "omh-first")
-    classed = met.select("bucket", "node", "n", "members").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classed = met.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classed = materialize(classed, "omh-classed")
     mixed = classed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = classed.join(mixed, "bucket")
-    second = open_.where(F.col("members") > LARGE).join(nodes.select("node", "sketch"), "node")
-    second = second.select("node", "n", "root", "bucket", F.posexplode("sketch").alias("j", "v")).withColumn("inner", F.xxhash64("j", "v")).where("inner > bucket")
-    second = second.select("node", "n", "root", F.xxhash64("bucket", "inner").alias("bucket"))
-    again = materialize(open_.where(F.col("members") <= LARGE).select("node", "n", "root", "bucket").unionAll(second), "omh-open")
-    other = again.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), "bucket")
-    cross = again.join(other, "bucket").where((F.col("root") != F.col("other")) & (F.col("node") < F.col("b")) & _alike("n", "m"))
-    cross = cross.select(F.col("node").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
+    open_ = materialize(classed.join(mixed, "bucket"), "omh-open")
+    crowded = open_.where(F.col("members") > LARGE).select("node").distinct()
+    counted = texts(crowded).mapInPandas(_labelled, "node binary, shingle long").groupBy("shingle").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1")
+    own = counted.groupBy("node").agg(F.count("*").alias("own"))
+    ready = materialize(open_.join(own, "node", "left").withColumn("most", F.col("n") - F.when(F.col("members") > LARGE, F.coalesce("own", F.lit(0))).otherwise(0)), "omh-ready")
+    other = ready.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("most").alias("other_most"), "bucket")
+    common = F.least("most", "other_most")
+    possible = (F.col("root") != F.col("other")) & (F.col("node") < F.col("b")) & _alike("n", "m") & (common >= THRESHOLD * (F.col("n") + F.col("m") - common))
+    cross = ready.join(other, "bucket").where(possible).select(F.col("node").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
     return first.unionAll(verify(materialize(cross, "omh-cross")))
 
 
