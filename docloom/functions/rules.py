@@ -6,11 +6,12 @@ classified in one narrow projection; alias lookups are joins to a table of fixed
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docloom.functions.text import collapse, fold, keywords, question_key, token_set, tokens
+from docloom.functions.text import collapse, fold, keywords, let, question_key, tokens
 
 # --- Fixed values: word lists, titles and weights that decide results -----------------
 ORDER_KEYWORDS = ("order", "shipment", "shipping status", "track", "tracking", "package", "delivery status", "where is my package")
@@ -105,14 +106,16 @@ def reference(question: Column) -> Column:
     A fold of bounded length (each round peels one layer); null if nothing is left.
     """
 
-    def peel(text: Column, _) -> Column:
-        bare = collapse(F.regexp_replace(F.regexp_replace(collapse(text), r"^[\s:;,\-]+", ""), r"[\s:;,\-?.!]+$", ""))
+    def stripped(text: Column) -> Column:
+        return collapse(F.regexp_replace(F.regexp_replace(collapse(text), r"^[\s:;,\-]+", ""), r"[\s:;,\-?.!]+$", ""))
+
+    def unwrapped(bare: Column) -> Column:
         quoted = bare.rlike(r"""^(".*"|'.*'|“.*”|‘.*’|\(.*\)|\[.*\])$""") & (F.length(bare) >= 2)
         asked = F.regexp_extract(bare, r"(?i)^(?:can you tell me more about|tell me more about|please explain|explain|describe|summarize)\s*:?\s*(.+)$", 1)
         about = F.regexp_extract(bare, r"(?i)^(?:what can you tell me about|what does)\s+(.+)$", 1)
         return F.when(quoted, F.substring(bare, F.lit(2), F.length(bare) - 2)).when(asked != "", asked).when(about != "", about).otherwise(bare)
 
-    peeled = F.aggregate(F.sequence(F.lit(1), F.lit(10)), question, peel)
+    peeled = F.aggregate(F.sequence(F.lit(1), F.lit(10)), question, lambda text, _: let(stripped(text), unwrapped))
     return F.nullif(peeled, F.lit(""))
 
 
@@ -122,31 +125,34 @@ def reference_key(question: Column) -> Column:
 
 def alias_table(spark: SparkSession) -> DataFrame:
     """alias_key, item, rule_order of every overview alias (a table of fixed size)."""
-    rows = {}
+    return spark.createDataFrame([(k, item, order) for k, (item, order) in _aliases().items()], "alias_key string, item string, rule_order int")
+
+
+def _aliases() -> dict[str, tuple[str, int]]:
+    """alias key -> (item, rule order); the first rule with an alias has it."""
+    found: dict[str, tuple[str, int]] = {}
     for order, (item, aliases) in enumerate(OVERVIEW_ALIASES):
         for alias in aliases:
-            rows.setdefault(" ".join(__import__("re").findall("[a-z0-9]+", alias)), (item, order))
-    return spark.createDataFrame([(k, *v) for k, v in rows.items()], "alias_key string, item string, rule_order int")
+            found.setdefault(" ".join(re.findall("[a-z0-9]+", alias)), (item, order))
+    return found
 
 
 def overview_item(question: Column) -> Column:
     """The item whose alias the question's reference is, else null."""
-    import re
-
-    key = reference_key(question)
-    out = F.lit(None).cast("string")
-    for item, aliases in reversed(OVERVIEW_ALIASES):
-        out = F.when(key.isin(*sorted({" ".join(re.findall("[a-z0-9]+", a)) for a in aliases})), F.lit(item)).otherwise(out)
-    return out
+    table = F.create_map(*[F.lit(x) for key, (item, _) in _aliases().items() for x in (key, item)])
+    return F.try_element_at(table, reference_key(question))
 
 
 def explicit_item(question: Column) -> Column:
     """The first rule whose item the question is or whose hint it contains."""
-    key = question_key(question)
-    out = F.lit(None).cast("string")
-    for item, hints, *_ in reversed(ITEM_RULES):
-        out = F.when((key == item.lower()) | mentions(key, hints), F.lit(item)).otherwise(out)
-    return out
+
+    def first(key: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for item, hints, *_ in reversed(ITEM_RULES):
+            out = F.when((key == item.lower()) | mentions(key, hints), F.lit(item)).otherwise(out)
+        return out
+
+    return let(question_key(question), first)
 
 
 def routed_item(question: Column) -> Column:
@@ -159,54 +165,62 @@ def _starts(text: Column, prefixes) -> Column:
 
 def names_risk_heading(text: Column) -> Column:
     """A question that quotes or paraphrases a risk heading."""
-    low = fold(collapse(text))
-    return (
+    return let(fold(collapse(text)), lambda low: (
         _starts(low, RISK_PREFIXES) | (F.contains(low, F.lit("subject us to")) & F.contains(low, F.lit(" risk"))) | low.rlike(r"\bwe face [a-z]")
         | low.rlike(r"\bwe are subject to [a-z]") | mentions(low, RISK_ENDINGS)
-    )
+    ))
+
+
+def _titled(words: Column) -> Column:
+    """Capitals in all words but one, connectors aside; at least three."""
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r"""^[.,;:()\[\]{}"']+|[.,;:()\[\]{}"']+$""", ""))
+    return let(F.filter(bare, lambda w: (w != "") & ~fold(w).isin(*CONNECTORS)), lambda significant: (
+        (F.size(significant) >= 3) & (F.size(F.filter(significant, lambda w: w.rlike(r"^\p{Lu}"))) >= F.greatest(F.lit(3), F.size(significant) - 1))
+    ))
 
 
 def is_risk_heading(text: Column) -> Column:
     """The form of a risk heading: length, case and wording."""
-    line = collapse(text)
-    words, low = F.split(line, " "), fold(collapse(text))
-    count = F.size(words)
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"""^[.,;:()\[\]{}"']+|[.,;:()\[\]{}"']+$""", ""))
-    significant = F.filter(bare, lambda w: (w != "") & ~fold(w).isin(*CONNECTORS))
-    capital = F.size(F.filter(significant, lambda w: w.rlike(r"^\p{Lu}")))
-    titled = (F.size(significant) >= 3) & (capital >= F.greatest(F.lit(3), F.size(significant) - 1))
-    lower = F.size(F.filter(words, lambda w: w.rlike(r"\p{Ll}") & ~w.rlike(r"\p{Lu}")))
-    refused = (line == "") | ~count.between(3, 30) | line.rlike(r"\b(2015|2016|2017|2018|2019)\b") | line.endswith(".") | _starts(low, ASKING_PREFIXES)
-    return (
-        F.when(refused, False)
-        .when(low.startswith("risks related to "), True)
-        .when(low.startswith("we are subject to ") & (count >= 5), True)
-        .when(low.startswith("we face risks related to ") & (count >= 5), True)
-        .when(low.startswith("our ") & F.contains(low, F.lit(" risk")) & (count <= 16), titled)
-        .when(low.startswith("we face ") & (count <= 12), titled)
-        .otherwise((lower >= 2) & ~line.startswith("We "))
-    )
+
+    def judged(x: Column) -> Column:
+        line, low, words = x["line"], x["low"], x["words"]
+        count = F.size(words)
+        lower = F.size(F.filter(words, lambda w: w.rlike(r"\p{Ll}") & ~w.rlike(r"\p{Lu}")))
+        refused = (line == "") | ~count.between(3, 30) | line.rlike(r"\b(2015|2016|2017|2018|2019)\b") | line.endswith(".") | _starts(low, ASKING_PREFIXES)
+        return (
+            F.when(refused, False)
+            .when(low.startswith("risks related to "), True)
+            .when(low.startswith("we are subject to ") & (count >= 5), True)
+            .when(low.startswith("we face risks related to ") & (count >= 5), True)
+            .when(low.startswith("our ") & F.contains(low, F.lit(" risk")) & (count <= 16), _titled(words))
+            .when(low.startswith("we face ") & (count <= 12), _titled(words))
+            .otherwise((lower >= 2) & ~line.startswith("We "))
+        )
+
+    return let(collapse(text), lambda line: let(F.struct(line.alias("line"), fold(line).alias("low"), F.split(line, " ").alias("words")), judged))
 
 
 def risk_heading_reference(question: Column) -> Column:
     """The risk heading a question asks about, else null."""
-    about = reference(question)
     bare = F.regexp_replace(collapse(question), r"^[?.! ]+|[?.! ]+$", "")
-    return F.when(is_risk_heading(about), about).when(is_risk_heading(bare), bare)
+    return let(F.struct(reference(question).alias("about"), bare.alias("bare")), lambda x: F.when(is_risk_heading(x["about"]), x["about"]).when(is_risk_heading(x["bare"]), x["bare"]))
 
 
 def search_intent(question: Column) -> Column:
     """Retrieval side: ordered rules."""
-    low, explicit = fold(question), explicit_item(question)
-    rule_intent = F.lit(None).cast("string")
-    for item, _, intent, *_ in ITEM_RULES:
-        rule_intent = F.when(explicit == item, intent).otherwise(rule_intent)
-    risky = (question_key(question) != "") & (names_risk_heading(question_key(question)) | mentions(question_key(question), SEARCH_RISK))
+    known = F.struct(question.alias("question"), fold(question).alias("low"), explicit_item(question).alias("explicit"), overview_item(question).alias("overview"), question_key(question).alias("key"))
+    return let(known, _search_intent)
+
+
+def _search_intent(x: Column) -> Column:
+    question, low, explicit, key = x["question"], x["low"], x["explicit"], x["key"]
+    rule_intent = F.try_element_at(F.create_map(*[F.lit(v) for item, _, intent, *_ in ITEM_RULES for v in (item, intent)]), explicit)
+    risky = (key != "") & (names_risk_heading(key) | mentions(key, SEARCH_RISK))
     return (
         F.when(mentions(low, SEARCH_NUMERIC), "numeric_table")
         .when(_starts(low, ("who is ", "who are ")), "entity_lookup")
         .when(mentions(low, SEARCH_EXECUTIVE), "entity_lookup")
-        .when(overview_item(question).isNotNull(), "section_overview")
+        .when(x["overview"].isNotNull(), "section_overview")
         .when((explicit == ITEM_1A) & mentions(low, SUMMARY_WORDS), "narrative_explainer")
         .when(explicit.isNotNull(), rule_intent)
         .when(risky | ((F.size(F.split(collapse(question), " ")) >= 8) & question.rlike(r"^\p{Lu}")), "heading_lookup")
@@ -222,8 +236,12 @@ def is_numeric_question(question: Column) -> Column:
 
 def expected_items(question: Column) -> Column:
     """Items an answer should come from, in filing order."""
-    low, words = fold(question), keywords(question)
-    overview = overview_item(question)
+    known = F.struct(fold(question).alias("low"), keywords(question).alias("words"), overview_item(question).alias("overview"))
+    return let(known, _expected_items)
+
+
+def _expected_items(x: Column) -> Column:
+    low, words, overview = x["low"], x["words"], x["overview"]
     risk = mentions(low, ("item 1a",)) | (((F.array_contains(words, "risk") & F.array_contains(words, "factors")) | mentions(low, ("risk factors",))) & ~mentions(low, ("item 7a",)))
     business = (mentions(low, ("item 1",)) | (_shares(words, ANSWER_BUSINESS) & ~_shares(words, ANSWER_PROPERTIES))) & ~risk
     market = mentions(low, ("item 7a", "quantitative and qualitative disclosures about market risk")) | (_shares(words, ANSWER_MARKET) & ~mentions(low, ("item 1a", "item 5")))
@@ -237,11 +255,16 @@ def expected_items(question: Column) -> Column:
 
 def answer_intent(question: Column) -> Column:
     """Answer side: other hints, other order."""
-    low, words, items = fold(question), keywords(question), expected_items(question)
+    known = F.struct(question.alias("question"), fold(question).alias("low"), keywords(question).alias("words"), expected_items(question).alias("items"), overview_item(question).alias("overview"))
+    return let(known, _answer_intent)
+
+
+def _answer_intent(x: Column) -> Column:
+    question, low, words, items = x["question"], x["low"], x["words"], x["items"]
     risky = (F.trim(low) != "") & (names_risk_heading(F.trim(low)) | mentions(low, ("risk factor", "could harm our business", "could adversely affect our business", "may adversely affect our business")))
     return (
         F.when(is_numeric_question(question), "numeric_table")
-        .when(overview_item(question).isNotNull(), "section_overview")
+        .when(x["overview"].isNotNull(), "section_overview")
         .when(F.array_contains(items, ITEM_1A), F.when(mentions(low, SUMMARY_WORDS), "narrative_explainer").otherwise("heading_lookup"))
         .when(_starts(low, ("who is ", "who are ")), "entity_lookup")
         .when(F.contains(low, F.lit("selected consolidated financial data")), "numeric_table")
@@ -262,18 +285,19 @@ def entity_target(question: Column) -> Column:
 
 
 def answer_top_k(question: Column) -> Column:
-    intent = answer_intent(question)
-    wide = (intent == "section_overview") | ((intent == "entity_lookup") & fold(question).startswith("who are "))
-    return F.when(wide, 8).otherwise(4)
+    wide = lambda intent: (intent == "section_overview") | ((intent == "entity_lookup") & fold(question).startswith("who are "))
+    return F.when(let(answer_intent(question), wide), 8).otherwise(4)
 
 
 def expansion(question: Column, intent: Column) -> Column:
     """The text that is searched for."""
-    low, item = fold(question), routed_item(question)
-    about = F.coalesce(reference(question), question)
-    more = F.lit(None).cast("string")
-    for rule_item, _, _, words, _ in ITEM_RULES:
-        more = F.when(item == rule_item, words).otherwise(more)
+    return let(F.struct(question.alias("q"), intent.alias("intent"), routed_item(question).alias("item")), _expansion)
+
+
+def _expansion(x: Column) -> Column:
+    question, intent, item = x["q"], x["intent"], x["item"]
+    low, about = fold(question), F.coalesce(reference(question), question)
+    more = F.try_element_at(F.create_map(*[F.lit(v) for r in ITEM_RULES for v in (r[0], r[3])]), item)
     hinted = question
     for rule_item, hints in reversed(SEARCH_ITEM.items()):
         words = next(r[3] for r in ITEM_RULES if r[0] == rule_item)

@@ -10,6 +10,11 @@ STOPWORDS = ("a", "an", "and", "are", "do", "does", "for", "how", "i", "if", "in
 COUPLED = (("return", "returns"), ("refund", "refunds"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated and planned once, however often it is used."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def collapse(text: Column) -> Column:
     """Every run of white space is one space; none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -36,9 +41,11 @@ def token_set(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Distinct tokens but stop words, with both numbers of coupled words."""
-    words = F.array_except(token_set(text), F.array(*[F.lit(w) for w in STOPWORDS]))
-    both = F.array(*[F.when(F.array_contains(words, a), F.lit(b)) for x, y in COUPLED for a, b in ((x, y), (y, x))])
-    return F.array_union(words, F.array_compact(both))
+    def with_coupled(words: Column) -> Column:
+        both = F.array(*[F.when(F.array_contains(words, a), F.lit(b)) for x, y in COUPLED for a, b in ((x, y), (y, x))])
+        return F.array_union(words, F.array_compact(both))
+
+    return let(F.array_except(token_set(text), F.array(*[F.lit(w) for w in STOPWORDS])), with_coupled)
 
 
 def clean_summary(text: Column) -> Column:

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docloom.functions import rules
-from docloom.functions.text import collapse, content_id, fold, number
+from docloom.functions.text import collapse, content_id, fold, let, number
 
 # --- Fixed values: titles, headings, patterns and units of the filing ---------------------
 TITLES = {
@@ -52,8 +52,7 @@ RISK_BODY = r"(?:Our|We|This|If)\s+[a-z][A-Za-z0-9'’\-]*"
 
 
 def is_toc_line(line: Column) -> Column:
-    text = collapse(line)
-    return (text != "") & (text.rlike(TOC_LINE) | F.contains(text, F.lit(". .")) | text.rlike(r"\.{3,}\s*\d+$"))
+    return let(collapse(line), lambda text: (text != "") & (text.rlike(TOC_LINE) | F.contains(text, F.lit(". .")) | text.rlike(r"\.{3,}\s*\d+$")))
 
 
 def clean_line(line: Column) -> Column:
@@ -75,7 +74,7 @@ def content_pages(pages: DataFrame) -> DataFrame:
 def _split_run_on(parts: Column) -> Column:
     """Cut at known headings inside a line."""
     known = "|".join(map(re.escape, RUN_ON_HEADINGS))
-    return F.flatten(F.transform(parts, lambda p: F.split(p, rf"(?<=\S)\s+(?=\b(?:{known})\b)")))
+    return F.flatten(F.transform(parts, lambda p: F.split(p, rf"(?<=\S)\s+(?=\b(?:{known})\b\s*\S)")))
 
 
 def ordered_lines(pages: DataFrame) -> DataFrame:
@@ -93,15 +92,23 @@ def ordered_lines(pages: DataFrame) -> DataFrame:
 def item_heading(text: Column) -> Column:
     """(item, remainder) of a line that opens an item, else null."""
     number_, rest = F.regexp_extract(text, r"(?i)^(Item\s+\d+[A-Z]?\.)(.*)$", 1), F.trim(F.regexp_extract(text, r"(?i)^(Item\s+\d+[A-Z]?\.)(.*)$", 2))
-    prefix = F.initcap(collapse(number_))
-    prefix = F.concat(F.lit("Item "), F.upper(F.regexp_extract(prefix, r"(?i)Item (.*)", 1)))
-    known = F.lit(None).cast("string")
-    for item, title in TITLES.items():
-        known = F.when((prefix == item) & F.replace(fold(rest), F.lit(" "), F.lit("")).startswith(title.lower().replace(" ", "")), F.lit(title)).otherwise(known)
+    prefix = F.concat(F.lit("Item "), F.upper(F.regexp_extract(number_, r"(?i)Item\s+(.*)", 1)))
+    return F.when(number_ != "", let(F.struct(prefix.alias("prefix"), rest.alias("rest")), _titled_item))
+
+
+def _titled_item(x: Column) -> Column:
+    prefix, rest = x["prefix"], x["rest"]
+    titles = F.create_map(*[F.lit(v) for pair in TITLES.items() for v in pair])
     tail = r"(?i)^([A-Za-z][A-Za-z ,’'\-()&/]+?)(?:\s{2,}|\s+The following|\s+This |\s+Our |\s+We |\s+Year Ended|\s+December 31,|$)(.*)$"
-    title = F.coalesce(known, F.nullif(F.trim(F.regexp_extract(rest, tail, 1)), F.lit("")), rest)
-    remainder = F.when(known.isNotNull(), F.trim(F.substring(rest, F.length(known) + 1, F.length(rest)))).otherwise(F.trim(F.regexp_extract(rest, tail, 2)))
-    return F.when(number_ != "", F.struct(F.trim(F.concat_ws(" ", prefix, title)).alias("item"), remainder.alias("remainder")))
+    glued = lambda c: F.replace(fold(c), F.lit(" "), F.lit(""))
+
+    def split(title: Column) -> Column:
+        known = F.coalesce(glued(rest).startswith(glued(title)), F.lit(False))
+        name = F.when(known, title).otherwise(F.coalesce(F.nullif(F.trim(F.regexp_extract(rest, tail, 1)), F.lit("")), rest))
+        remainder = F.when(known, F.trim(F.substring(rest, F.length(title) + 1, F.length(rest)))).otherwise(F.trim(F.regexp_extract(rest, tail, 2)))
+        return F.struct(F.trim(F.concat_ws(" ", prefix, name)).alias("item"), remainder.alias("remainder"))
+
+    return let(F.try_element_at(titles, prefix), split)
 
 
 def skeleton(lines: DataFrame) -> DataFrame:
@@ -121,15 +128,17 @@ def skeleton(lines: DataFrame) -> DataFrame:
 
 
 def is_table_line(line: Column) -> Column:
-    text = collapse(line)
     row = rf"(?i)^[A-Za-z][A-Za-z0-9 ,.'’\-()&/]+?\s+{FIGURE}\s+{FIGURE}\s+{FIGURE}"
     years = r"2015\s+2016\s+2017\s+(?:\(\d+\)\s+)?2018\s+2019|2019\s+2018\s+2017\s+2016\s+2015"
-    return (text != "") & (text.rlike(years) | text.rlike(r"^20\d{2}(?:\s+20\d{2}){2,}$") | text.rlike(r"(?i)\(in\s+millions(?:,\s*except\s+per\s+share\s+data)?\)") | text.rlike(row))
+    return let(collapse(line), lambda text: (text != "") & (text.rlike(years) | text.rlike(r"^20\d{2}(?:\s+20\d{2}){2,}$") | text.rlike(r"(?i)\(in\s+millions(?:,\s*except\s+per\s+share\s+data)?\)") | text.rlike(row)))
 
 
 def is_heading(line: Column, hints: Column | None = None) -> Column:
     """A heading: a closing colon, a hint, or capitals in all words but one."""
-    text = collapse(line)
+    return let(collapse(line), lambda text: _is_heading(text, hints))
+
+
+def _is_heading(text: Column, hints: Column | None) -> Column:
     words = F.split(text, " ")
     capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
     hinted = F.coalesce(F.array_contains(hints, fold(text)), F.lit(False)) if hints is not None else F.lit(False)
@@ -235,7 +244,8 @@ def risk_sections(blocks: DataFrame) -> DataFrame:
     """
     embedded = rf"^({RISK_TITLE})\s+({RISK_BODY}.*)$"
     head, body = F.regexp_extract, lambda x: F.regexp_extract(x, embedded, 2)
-    lines = F.transform("lines", lambda x: F.struct(collapse(x).alias("t"), F.when(rules.is_risk_heading(head(collapse(x), embedded, 1)), head(collapse(x), embedded, 1)).alias("h"), body(collapse(x)).alias("b"), rules.is_risk_heading(x).alias("is")))
+    seen = lambda t: F.struct(t.alias("t"), let(head(t, embedded, 1), lambda h: F.when(rules.is_risk_heading(h), h)).alias("h"), body(t).alias("b"), rules.is_risk_heading(t).alias("is"))
+    lines = F.transform("lines", lambda x: let(collapse(x), seen))
     empty = F.array().cast("array<struct<h:string,ls:array<string>>>")
     none = F.array().cast("array<string>")
     start = F.struct(empty.alias("done"), F.lit(None).cast("string").alias("h"), none.alias("ls"))

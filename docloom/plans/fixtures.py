@@ -54,7 +54,7 @@ INGEST = (
 PAGES = (
     (1, ("ACME ANNUAL REPORT FORM 10-K", "For the fiscal year ended December 31, 2019", "Executive Officers and Directors", "Dana Whitfield 51 Chief Executive Officer", "Lee Park 47 Treasurer", "Dana Whitfield. Has led the firm since 2001.", "Board of Directors")),
     (2, ("PART I", "Item 1. Business", "General", "We serve consumers through stores and focus on selection for all of them.", "Consumers", "We design our stores to be found.")),
-    (3, ("Item 1A. Risk Factors", "We Face Intense Competition", "Our rivals are many and strong.", "Loss of Key People Could Harm Our Business We depend on few people.")),
+    (3, ("Item 1A. Risk Factors", "We Face Intense Competition", "Our rivals are many and strong.", "Loss of the Key People Could Harm Our Business We depend on few people.")),
     (4, ("Item 2. Properties", "We lease office space and operate fulfillment centers in many places.")),
     (5, ("PART II", "Item 6. Selected Consolidated Financial Data", "(in millions)", "2015 2016 2017 2018 2019", "Net sales $10 $20 $30 $40 $50", "Operating income 1 (2) 3 4 5")),
     (6, ("Item 8. Financial Statements and Supplementary Data", "Consolidated Statements of Operations", "2017 2018 2019", "Cost of goods 7 8 9")),
