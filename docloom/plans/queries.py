@@ -188,16 +188,16 @@ def phrase_match(t, spark):
 
 
 _COSINE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-    s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 6) AS score, q.label = c.label AS same FROM v q, v c WHERE q.vec_id % 20 = 0)"""
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 9) AS fine, round(fine, 6) AS score, q.label = c.label AS same FROM v q, v c WHERE q.vec_id % 20 = 0)"""
 
 
-@query(f"WITH {_COSINE} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 12")
+@query(f"WITH {_COSINE} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY fine DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 12")
 def vector_cosine_topk(t, spark):
     e = t("embeddings")
     return vector.cosine_top(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 12).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_COSINE} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s WHERE same QUALIFY rank <= 12")
+@query(f"WITH {_COSINE} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY fine DESC, vec_id)::INTEGER AS rank FROM s WHERE same QUALIFY rank <= 12")
 def vector_prefiltered_topk(t, spark):
     e = t("embeddings").withColumn("scope", F.col("label").cast("string"))
     return vector.cosine_top(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "scope"), e, 12).withColumn("score", F.round("score", 6))

@@ -13,7 +13,7 @@ def spark():
     from docloom.storage import sweep
 
     session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.sql.streaming.metricsEnabled", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
