@@ -65,7 +65,8 @@ def assign(docs: DataFrame, seed: int = 11) -> DataFrame:
     ``passes`` is an array of (epoch, words, position), one entry for each time the mix
     takes the document.  Order within a source is a seeded shuffle.
     """
-    sized = docs.withColumn("_k", stratum("source")).withColumn("size", word_count(text_of()))
+    carried = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))  # so that no name clashes
+    sized = carried.withColumn("_k", stratum("source")).withColumn("size", word_count(text_of()))
     sources = targets(sized.groupBy("_k").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")))
     tie = [F.col("_h"), F.col("doc_id"), F.crc32(F.encode(text_of(), "UTF-8"))]
     shuffled = sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
@@ -83,11 +84,9 @@ def assign(docs: DataFrame, seed: int = 11) -> DataFrame:
 
     # at most ``most`` full passes, then the part of a pass that is still due
     turns = F.array(*[F.when(F.col("_e") > n, entry(F.lit(n), F.col("size"))) for n in range(int(MOST))], F.when(F.col("_r") > 0, entry(F.col("_e"), F.col("_r"))))
-    return (
-        placed.withColumn("taken", F.col("_e") * F.col("size") + F.col("_r"))
-        .withColumn("passes", F.filter(turns, lambda x: x.isNotNull() & (x["words"] > 0)))
-        .drop("_k", "_due", "_e", "_r", "before", "start", "end")
-    )
+    made = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("_e") * F.col("size") + F.col("_r"),
+            "passes": F.filter(turns, lambda x: x.isNotNull() & (x["words"] > 0))}
+    return placed.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in made], *[v.alias(c) for c, v in made.items()])
 
 
 def training_order(df: DataFrame, position: str) -> DataFrame:
@@ -104,7 +103,9 @@ def stream(docs: DataFrame, seed: int = 11) -> DataFrame:
     Columns of ``docs`` only.  The one document of a source at which its demand ends is
     cut after the words due (its separators become single spaces); all others are whole.
     """
-    taken = assign(docs, seed).withColumn("_p", F.explode("passes"))
+    inner = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_own"))
+    taken = assign(inner, seed).withColumn("_p", F.explode("passes"))
     cut = F.array_join(F.slice(F.filter(F.split(F.col("text"), SPACE), lambda w: w != ""), F.lit(1), F.col("_p.words").cast("int")), " ")
     out = taken.withColumn("text", F.when(F.col("_p.words") < F.col("size"), cut).otherwise(F.col("text"))).withColumn("_at", F.col("_p.position"))
-    return training_order(out.select(*docs.columns, "_at"), "_at").drop("_at")
+    rows = out.select(*[F.col("text") if c == "text" else F.col(f"_own.`{c}`") for c in docs.columns], F.col("_at"))
+    return training_order(rows, "_at").drop("_at")

@@ -275,9 +275,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     made = sketches(docs)
     classes = components(links(docs, made), "omh")
     rows = made.select("doc_id", "text_key", F.col("node")).join(classes, "node", "left")
-    firsts = rows.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(_known("doc_id").alias("d"), F.col("text_key").alias("k"))).alias("at")).select("at.d", "at.k")
-    keyed = docs.withColumns({"d": _known("doc_id"), "k": F.unhex(F.md5(F.encode(text_of(), "UTF-8")))})
-    return keyed.join(firsts, ["d", "k"], "left_semi").dropDuplicates(["d", "k"]).select(*docs.columns)
+    firsts = rows.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(_known("doc_id").alias("d"), F.col("text_key").alias("k"))).alias("at")).select(F.col("at.d").alias("_omh_d"), F.col("at.k").alias("_omh_k"))
+    keyed = docs.withColumns({"_omh_d": _known("doc_id"), "_omh_k": F.unhex(F.md5(F.encode(text_of(), "UTF-8")))})
+    return keyed.join(firsts, ["_omh_d", "_omh_k"], "left_semi").dropDuplicates(["_omh_d", "_omh_k"]).select(*docs.columns)
 
 
 def _known(identity: str):
