@@ -427,6 +427,15 @@ def test_lines_against_brute_force(spark):
     assert got == want and len({find(x) for x in known}) < len(known)
 
 
+def test_similarity_of_lines_is_exact_at_any_length(spark):
+    long_ = "".join(random.Random(3).choices("abcdefg ", k=10_000))
+    edited = "".join("x" if i % 33 == 0 else c for i, c in enumerate(long_))
+    rows = [(1, long_, edited), (2, "abcdefghij", "abcdefghix"), (3, "a" * 50, "a" * 45 + "b" * 5), (4, "a" * 100, "a" * 90 + "b" * 10)]
+    rows += [(5, "abcdefghi", "abcdefghx"), (6, "a" * 50, "a" * 44 + "b" * 6), (7, "a" * 3000, "a" * 2699 + "b" * 301)]
+    found = spark.createDataFrame(rows, "id long, a string, b string").where(lines._similar("a", "b"))
+    assert sorted(r.id for r in found.collect()) == [1, 2, 3, 4]
+
+
 def test_long_lines_are_counted_alike(spark, monkeypatch):
     rows = spark.createDataFrame([(n, " ".join(f"w{i * n % 7}" for i in range(5 * n))) for n in range(2, 30)], "id long, norm string")
     whole = {r.id: r.sim for r in lines.simhashes(rows).collect()}
