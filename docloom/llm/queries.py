@@ -68,7 +68,7 @@ def op9_curriculum_mix(spark, sf_dir):
 
 
 def op10_fuzzy_lines(spark, sf_dir):
-    return lines.deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -427,6 +427,24 @@ def test_lines_against_brute_force(spark):
     assert got == want and len({find(x) for x in known}) < len(known)
 
 
+def test_near_lines_are_found_by_edit_similarity_alone(spark):
+    rng, rows = random.Random(17), []
+    for n in range(120):
+        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range((2, 3, 12, 20, 30, 50)[n % 6])]
+        changed = list(words)
+        at = rng.randrange(len(words))
+        changed[at] = words[at][:5] + "x"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(changed))]
+    lines_ = spark.createDataFrame(rows, "id long, norm string").withColumn("size", F.length("norm"))
+    places = lines.minima(lines_.withColumn("short", F.when(F.col("size") < lines.SHORT, F.col("norm"))))
+    met = lines._entries(spark, places).groupBy("key").agg(F.collect_set("id").alias("ids")).collect()
+    found = {n for r in met for n in range(120) if {2 * n, 2 * n + 1} <= set(r.ids)}
+    assert found == set(range(120))
+    docs = spark.createDataFrame([r for r in rows if len(r[1].split()) >= 12], "doc_id long, text string")
+    out = lines.deduplicate_lines(docs, whole=True).where("n_dropped = 0")
+    assert sorted(r.doc_id for r in out.collect()) == [2 * n for n in range(120) if n % 6 >= 2]
+
+
 def test_similarity_of_lines_is_exact_at_any_length(spark):
     long_ = "".join(random.Random(3).choices("abcdefg ", k=10_000))
     edited = "".join("x" if i % 33 == 0 else c for i, c in enumerate(long_))
