@@ -445,6 +445,14 @@ def test_near_lines_are_found_by_edit_similarity_alone(spark):
     assert sorted(r.doc_id for r in out.collect()) == [2 * n for n in range(120) if n % 6 >= 2]
 
 
+def test_lines_of_few_words_are_dropped(spark):
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(60))
+    texts = ["Read more", "read more!", "--", "--", "ok", "on", "Ok.", "international", "internationel", han, han, han[:30] + "一" + han[31:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = lines.deduplicate_lines(docs, whole=True).where("n_dropped > 0")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 6, 8, 10, 11]
+
+
 def test_similarity_of_lines_is_exact_at_any_length(spark):
     long_ = "".join(random.Random(3).choices("abcdefg ", k=10_000))
     edited = "".join("x" if i % 33 == 0 else c for i, c in enumerate(long_))
