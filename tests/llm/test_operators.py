@@ -366,43 +366,36 @@ def test_mix_on_edges(spark):
 # --- lines ----------------------------------------------------------------------------
 
 
-def pairs_of(norm):
-    words = norm.split(" ")
-    return list(zip(words, words[1:] + [""]))
+def normal(line):
+    return re.sub(r"[\W_]+", " ", line.lower()).strip()
 
 
-def test_lines_against_brute_force(spark):
-    rng = random.Random(10)
-    base = [" ".join(f"{rng.choice('bcdfg')}{rng.randrange(500)}" for _ in range(30 if n % 2 else 160)) for n in range(30)]
-    rows = []
-    for i in range(90):
-        said = []
-        for _ in range(rng.randint(1, 4)):
-            words = rng.choice(base).split()
-            if rng.random() < 0.4:
-                words[rng.randrange(len(words))] += "x"
-            line = " ".join(words)
-            said.append(f"{line.upper()}!" if rng.random() < 0.3 else line)
-        rows.append((i, "\n".join(said)))
-    rows += [(200, None), (201, ""), (202, "\n\n"), (203, "x y"), (204, "x y"), (205, LONG)]
-    got = {r.doc_id: r.text for r in lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    norm = lambda x: re.sub(r"[^\w]+", " ", x.lower()).strip()
-    known = sorted({norm(x) for _, t in rows for x in (t or "").split("\n") if len(norm(x).split(" ")) >= 5})
-    hashed = {(r.w, r.v): r.h for r in spark.createDataFrame(sorted({p for x in known for p in pairs_of(x)}), "w string, v string").select("w", "v", F.xxhash64("w", F.when(F.col("v") != "", F.col("v"))).alias("h")).collect()}
+def edits(a, b):
+    """Levenshtein distance, a column of the table in one integer (Myers)."""
+    at = collections.defaultdict(int)
+    for i, c in enumerate(a):
+        at[c] |= 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for c in b:
+        eq = at[c] | down
+        h = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | (~(h | up) & full), up & h
+        score += bool(plus & top) - bool(minus & top)
+        plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
+        up, down = minus | (~((at[c] | down) | plus) & full), plus & (at[c] | down)
+    return score
 
-    def sim(x):
-        ps = [hashed[p] for p in pairs_of(x)]
-        return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in ps) > len(ps) // 2)
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            last, row[0] = row[0], i + 1
-            for j, y in enumerate(b):
-                last, row[j + 1] = row[j + 1], min(row[j] + 1, row[j + 1] + 1, last + (x != y))
-        return row[-1]
+def near(a, b):
+    longer = max(len(a), len(b))
+    return 10 * abs(len(a) - len(b)) <= longer and 10 * edits(a, b) <= longer
 
-    sims, root = {x: sim(x) for x in known}, {x: x for x in known}
+
+def kept_by_brute_force(rows):
+    """Texts left when of each group of lines by edit similarity alone the first stays."""
+    known = sorted({normal(x) for _, t in rows for x in (t or "").split("\n")} - {""})
+    root = {x: x for x in known}
 
     def find(x):
         while root[x] != x:
@@ -411,45 +404,84 @@ def test_lines_against_brute_force(spark):
 
     for i, a in enumerate(known):
         for b in known[:i]:
-            if (sims[a] ^ sims[b]).bit_count() <= 3 and find(a) != find(b) and distance(a, b) <= 0.1 * max(len(a), len(b)):
+            if find(a) != find(b) and near(a, b):
                 root[find(a)] = find(b)
     seen, want = set(), {}
     for i, t in rows:
         left = []
         for x in (t or "").split("\n"):
-            n = norm(x)
-            if len(n.split(" ")) < 5 or find(n) not in seen:
+            if not normal(x) or find(normal(x)) not in seen:
                 left.append(x)
-                if len(n.split(" ")) >= 5:
-                    seen.add(find(n))
+            if normal(x):
+                seen.add(find(normal(x)))
         want[i] = None if t is None else "\n".join(left)
-    # two words repeated forever hash alike but for the last pair, so this checks counters too
-    assert got == want and len({find(x) for x in known}) < len(known)
+    return want
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(10)
+    base = [" ".join(f"{rng.choice('bcdfg')}{rng.randrange(500)}" for _ in range((9, 30, 160)[n % 3])) for n in range(30)]
+    rows = []
+    for i in range(90):
+        said = []
+        for _ in range(rng.randint(1, 4)):
+            words = rng.choice(base).split()
+            if rng.random() < 0.4:
+                words[rng.randrange(len(words))] += "x"
+            line = " ".join(words)
+            said.append(f"{line.upper()}!" if rng.random() < 0.3 else line)
+        rows.append((i, "\n".join(said)))
+    rows += [(200, None), (201, ""), (202, "\n\n"), (203, "x y"), (204, "x y"), (205, LONG), (206, LONG)]
+    got = {r.doc_id: r.text for r in lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == kept_by_brute_force(rows)
+
+
+def test_crowded_buckets_are_looked_at_again(spark):
+    """Many variants of lines that are not in the corpus themselves: several rounds."""
+    rng, rows = random.Random(23), []
+    for n in range(4):
+        base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(60)]
+        for _ in range(40):
+            words = list(base)
+            for at in rng.sample(range(60), rng.randint(1, 7)):
+                words[at] = "".join(rng.choices("klmnop", k=6))
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: r.text for r in lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == kept_by_brute_force(rows)
 
 
 def test_near_lines_are_found_by_edit_similarity_alone(spark):
-    rng, rows = random.Random(17), []
-    for n in range(120):
-        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range((2, 3, 12, 20, 30, 50)[n % 6])]
+    """Recall of candidates: one character changed, and a tenth of the characters at most
+    in changed words, at 2 to 300 words."""
+    rng, rows, sizes = random.Random(17), [], (2, 3, 8, 12, 20, 40, 100, 300)
+    for n in range(400):
+        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(sizes[n % 8])]
         changed = list(words)
-        at = rng.randrange(len(words))
-        changed[at] = words[at][:5] + "x"
+        for at in rng.sample(range(len(words)), 1 if n < 200 else max(1, len(words) // 15)):
+            changed[at] = words[at][:5] + "x" if n < 200 or len(words) < 15 else "".join(rng.choices("klmnop", k=6))
         rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(changed))]
+        assert near(rows[-1][1], rows[-2][1])
     lines_ = spark.createDataFrame(rows, "id long, norm string").withColumn("size", F.length("norm"))
-    places = lines.minima(lines_.withColumn("short", F.when(F.col("size") < lines.SHORT, F.col("norm"))))
-    met = lines._entries(spark, places).groupBy("key").agg(F.collect_set("id").alias("ids")).collect()
-    found = {n for r in met for n in range(120) if {2 * n, 2 * n + 1} <= set(r.ids)}
-    assert found == set(range(120))
-    docs = spark.createDataFrame([r for r in rows if len(r[1].split()) >= 12], "doc_id long, text string")
-    out = lines.deduplicate_lines(docs, whole=True).where("n_dropped = 0")
-    assert sorted(r.doc_id for r in out.collect()) == [2 * n for n in range(120) if n % 6 >= 2]
+    places = lines.fingerprints(lines_.withColumn("short", F.when(F.col("size") < lines.SHORT, F.col("norm"))))
+    met = lines.entries(places).groupBy("key").agg(F.collect_set("id").alias("ids")).collect()
+    found = {n for r in met for n in {i // 2 for i in r.ids} if {2 * n, 2 * n + 1} <= set(r.ids)}
+    for k, size in enumerate(sizes):
+        recall = sum(n % 8 == k for n in found) / 50
+        assert recall == 1 if size <= 3 else recall >= 0.9, (size, recall)
+
+
+def test_blocks_are_simhashes(spark):
+    rng = random.Random(5)
+    rows = [(n, [rng.getrandbits(64) - (1 << 63) for _ in range(n)]) for n in range(60)]
+    got = {r.n: r.s & (1 << 64) - 1 for r in spark.createDataFrame(rows, "n int, h array<long>").select("n", lines.simhash(F.col("h")).alias("s")).collect()}
+    assert got == {n: sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) > n // 2) for n, h in rows}
 
 
 def test_lines_of_few_words_are_dropped(spark):
     han = "".join(chr(0x4E00 + 7 * i) for i in range(60))
     texts = ["Read more", "read more!", "--", "--", "ok", "on", "Ok.", "international", "internationel", han, han, han[:30] + "一" + han[31:]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = lines.deduplicate_lines(docs, whole=True).where("n_dropped > 0")
+    out = lines.deduplicate_lines(docs).where("n_dropped > 0")
     assert sorted(r.doc_id for r in out.collect()) == [1, 6, 8, 10, 11]
 
 
@@ -462,29 +494,17 @@ def test_similarity_of_lines_is_exact_at_any_length(spark):
     assert sorted(r.id for r in found.collect()) == [1, 2, 3, 4]
 
 
-def test_long_lines_are_counted_alike(spark, monkeypatch):
-    rows = spark.createDataFrame([(n, " ".join(f"w{i * n % 7}" for i in range(5 * n))) for n in range(2, 30)], "id long, norm string")
-    whole = {r.id: r.sim for r in lines.simhashes(rows).collect()}
-    monkeypatch.setattr(lines, "_CHUNK", 9)
-    assert {r.id: r.sim for r in lines.simhashes(rows).collect()} == whole
-
-
 def test_lines_on_edges(spark):
     out = lines.deduplicate_lines(rows_of(spark)).toPandas()
     assert len(out) == len(ROWS) and out[out.doc_id == 1].text.iloc[0] == ROWS[0][1] and out[out.doc_id == 6].text.tolist() == ["", ""]
     assert lines.deduplicate_lines(rows_of(spark, []).limit(0)).count() == 0
 
 
-def test_levels_of_blocks_find_the_same(monkeypatch):
-    for m in (5, 6, 7):
-        monkeypatch.setattr(lines, "_BLOCKS", ((1 << 63, m),))
-        masks = lines.block_masks(1)
-        rng = random.Random(m)
-        for _ in range(200):
-            flips = 0
-            for _ in range(3):
-                flips |= 1 << rng.randrange(64)
-            assert any(not flips & mask for mask in masks)
+def test_lines_carry_columns_of_any_name(spark):
+    names = ("_id", "_key", "_own", "_gone", "_lines", "_row", "_own_id", "text_key", "line_no", "root", "n_dropped")
+    docs = rows_of(spark).withColumns({c: F.lit("x") for c in names})
+    out = lines.deduplicate_lines(docs)
+    assert set(out.columns) == set(docs.columns) | {"n_lines"} and out.where(" or ".join(f"{c} <> 'x'" for c in names[:-1])).count() == 0
 
 
 def test_registry_is_complete(spark):
