@@ -12,9 +12,10 @@ short texts are known too).  Prediction reads every whole text, in stretches of
 size, and needs no shuffle.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; without any
-labelled row everything is ``und``; with one label it is always that label; a null doc_id
-is neither trained on nor held out; labels beyond the ``CLASSES`` most frequent are not
-learned; an empty table gives an empty result; other columns take no part.
+labelled row everything is ``und``; with one label it is always that label; every label is
+learned; a null doc_id is neither trained on nor held out; equal texts get equal results;
+an empty table gives an empty result; other columns, whatever their names, are carried
+along (``lang_pred``, ``score`` and ``ambiguous`` are replaced).
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bounds of training: documents, stretches of each besides the whole, labels.
-SAMPLE, SNIPPETS, CLASSES = 800, 3, 64
+#: Bounds of training: documents (at least one of each label), stretches of each besides
+#: the whole.
+SAMPLE, SNIPPETS = 800, 3
+#: Texts whose features are held at once: 256 of them are 4 MB.
+SLICE = 256
 #: Hashed features and the n-grams that make them; bytes of a text handled at once.
 DIMENSIONS, GRAMS, STRETCH = 4096, (1, 2, 3, 4), 1 << 20
 #: Ambiguous: the second codeword's mean loss for each bit exceeds the first's by less.
@@ -114,7 +118,7 @@ def held_out(identity: str = "doc_id") -> Column:
 def train(docs: DataFrame, seed: int = 3) -> Model | None:
     """Fit on a sample of the labelled rows outside the held-out fold."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return None
     each = max(1, SAMPLE // len(counts))
@@ -148,19 +152,29 @@ def train(docs: DataFrame, seed: int = 3) -> Model | None:
 
 def classify(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     """``keep`` columns with lang_pred, score and ambiguous for every row."""
-    lettered = docs.select(*keep, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_t"))
+    made = ("lang_pred", "score", "ambiguous")
+    carried = [c for c in keep if c not in made]
+    kept = [F.col(f"_row.`{c}`") for c in carried]
+    # a struct keeps other columns' names apart; a struct needs a field
+    row = F.struct(*[F.col(f"`{c}`") for c in carried], F.lit(None).alias("_no_column_"))
+    lettered = docs.select(row.alias("_row"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_t"))
     if model is None:
-        return lettered.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))
+        return lettered.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    def decoded(texts: pd.Series) -> pd.DataFrame:
         x = np.zeros((len(texts), DIMENSIONS), np.float32)
         for row, text in zip(x, texts, strict=True):
             if text is not None:
                 row[:] = features(text)
-        best, score, ambiguous = model.decode(x) if len(x) else ([], [], [])
+        best, score, ambiguous = model.decode(x)
         none = texts.isna().to_numpy()
-        names = np.array(model.languages, object)[np.asarray(best, int)]
+        names = np.array(model.languages, object)[best]
         return pd.DataFrame({"lang_pred": np.where(none, "und", names), "score": np.where(none, 0.0, score), "ambiguous": np.where(none, False, ambiguous)})
 
-    return lettered.withColumn("_p", predict("_t")).select(*keep, "_p.lang_pred", "_p.score", "_p.ambiguous")
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        # a batch may be long: only a slice's features are held at a time
+        parts = [decoded(texts.iloc[at : at + SLICE]) for at in range(0, len(texts), SLICE)]
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in made})
+
+    return lettered.withColumn("_p", predict("_t")).select(*kept, *[f"_p.{c}" for c in made])

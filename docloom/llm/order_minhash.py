@@ -17,11 +17,13 @@ classes.
 Scale: texts with the same words are one node.  In the first round each bucket links its
 members to the one that meets most others in its buckets (the middle of a group of near
 copies), so a bucket of n members makes n - 1 candidates, not n * n.  Buckets whose
-members are not yet of one class are looked at again: their members of different classes
-are compared.  Where such a bucket is large, shingles are counted over all its members
-first: a member with u shingles of its own shares at most n - u with any other, which
-rules out most of them without comparing (copies with many edits of their own, texts that
-share a passage).  The bound loses nothing.
+members are not yet of one class are looked at again.  Up to ``LARGE`` members are
+compared directly.  Members of larger ones are reduced to their differences from the
+middle.  What two members share follows from the sizes of their differences and what
+those have in common, so if neither is the middle's near copy they must share some of
+them; differences that nobody else has are left out, and a prefix of the rarest others is
+joined on.  Members far from their middle (boilerplate) go through the same join with all
+their shingles.  The bounds lose nothing, and no bucket is expanded into its pairs.
 
 Edge cases: null is an empty text; a text of one to four words is a single shingle; texts
 without words are near duplicates only if equal; of a class the smallest doc_id is kept (a
@@ -36,7 +38,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from docloom.llm.columns import text_of
 from docloom.llm.components import components
@@ -45,8 +47,11 @@ from docloom.storage import materialize
 WORDS, THRESHOLD = 5, 0.8
 #: Hash functions, and labelled shingles each of them picks.
 SKETCHES, PICKED = 24, 4
-#: Members from which a mixed bucket's shingles are counted before members are compared.
+#: Members up to which all pairs of a bucket of several classes are compared.
 LARGE = 16
+#: Shingles up to which a text gets a bucket for itself without each one of them, too: up to
+#: there a link has at most one shingle more, and sketches would miss some.
+SHORT = 9
 #: Rows of a narrow table up to which it is sent to every executor instead of shuffled.
 SMALL_ROWS = 100_000
 #: Bytes of a text hashed at once.
@@ -173,6 +178,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return m / (total - m)
 
 
+def short_buckets(text_shingles: np.ndarray) -> np.ndarray:
+    """The sequence, and the sequence without each one shingle, of a short text."""
+    if not 0 < len(text_shingles) <= SHORT:
+        return np.zeros(0, np.int64)
+    kept = [text_shingles] + [np.delete(text_shingles, i) for i in range(len(text_shingles))]
+    order = np.cumprod(np.full(SHORT, _MIX[0], np.uint64))
+    return _mix(np.array([(x * order[: len(x)]).sum() + np.uint64(len(x)) for x in kept if len(x)], np.uint64)).view(np.int64)
+
+
 def _sketches(batches):
     for batch in batches:
         rows = []
@@ -180,7 +194,7 @@ def _sketches(batches):
             words = word_hashes(text)
             s = shingles(words)
             node = hashlib.md5(words.tobytes() if len(words) else b"\0" + text.encode("utf-8", "surrogatepass")).digest()
-            rows.append((doc, key, node, len(s), sketch(s) if len(s) else None))
+            rows.append((doc, key, node, len(s), np.append(sketch(s), short_buckets(s)) if len(s) else None))
         yield pd.DataFrame(rows, columns=["doc_id", "text_key", "node", "n", "sketch"]).astype({"doc_id": "Int64"})
 
 
@@ -195,13 +209,6 @@ def _verified(batches):
         yield batch[["a", "b"]][np.array(keep, bool)]
 
 
-def _labelled(batches):
-    for batch in batches:
-        for node, text in zip(batch["node"], batch["text"], strict=True):
-            found = labels(shingles(word_hashes(text))).view(np.int64)
-            yield pd.DataFrame({"node": [node] * len(found), "shingle": found})
-
-
 def _alike(n: str, m: str):
     """Shingle counts that can reach the threshold."""
     return F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)
@@ -219,7 +226,7 @@ def links(docs: DataFrame, made: DataFrame) -> DataFrame:
         made.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "omh-nodes",
     )
-    entries = nodes.select("node", "n", F.posexplode("sketch").alias("j", "v")).select("node", "n", F.xxhash64("j", "v").alias("bucket"))
+    entries = nodes.select("node", "n", F.posexplode("sketch").alias("j", "v")).select("node", "n", F.xxhash64(F.least("j", F.lit(SKETCHES)), "v").alias("bucket")).distinct()
     shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     met = materialize(entries.join(shared, "bucket"), "omh-buckets")
     keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.unhex(F.md5(F.encode(text_of(), "UTF-8"))).alias("k"), text_of().alias("text"))
@@ -227,38 +234,133 @@ def links(docs: DataFrame, made: DataFrame) -> DataFrame:
     def texts(wanted: DataFrame) -> DataFrame:
         """node, text of the wanted nodes."""
         which = materialize(nodes.join(wanted, "node", "left_semi").select("node", "at"), "omh-wanted")
-        which = F.broadcast(which) if which.count() <= SMALL_ROWS else which
-        found = keyed.join(which, F.col("d").eqNullSafe(F.col("at.doc_id")) & (F.col("k") == F.col("at.text_key")))
+        found = keyed.join(_small(which), F.col("d").eqNullSafe(F.col("at.doc_id")) & (F.col("k") == F.col("at.text_key")))
         return materialize(found.select("node", "text").dropDuplicates(["node"]), "omh-texts")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def with_texts(pairs: DataFrame) -> DataFrame:
         found = texts(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
         second = pairs.join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        both = second.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        return materialize(both.select("a", "b", "text_a", "text_b").mapInPandas(_verified, "a binary, b binary"), "omh-verified")
+        return second.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = with_texts(pairs).select("a", "b", "text_a", "text_b")
+        return materialize(both.mapInPandas(_verified, "a binary, b binary"), "omh-verified")
+
+    def rooted(rows: DataFrame, classes: DataFrame, node: str, root: str) -> DataFrame:
+        """Add the class of ``node`` as ``root``."""
+        joined = rows.join(_small(classes.select(F.col("node").alias(node), F.col("root").alias("_root"))), node, "left")
+        return joined.withColumn(root, F.coalesce("_root", node)).drop("_root")
 
     # the member that meets most others is the middle of its bucket
     meets = met.groupBy("node").agg(F.sum("members").alias("meets"))
     middles = met.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node", "n")).alias("r"))
-    star = met.join(middles, "bucket").where((F.col("node") != F.col("r.node")) & _alike("n", "r.n")).select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b"))
-    star = materialize(star.distinct(), "omh-star")
-    first = verify(star)
+    starred = materialize(met.join(middles.select("bucket", F.col("r.node").alias("centre"), F.col("r.n").alias("centre_n")), "bucket"), "omh-starred")
+    star = starred.where((F.col("node") != F.col("centre")) & _alike("n", "centre_n"))
+    tested = materialize(_pairs(star, "node", "centre"), "omh-star")
+    found = verify(tested)
 
     # buckets that are not of one class yet
-    classes = components(first, "omh-first")
-    classed = met.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classed = materialize(classed, "omh-classed")
+    classes = materialize(components(found, "omh-first"), "omh-classes")
+    classed = materialize(rooted(starred, classes, "node", "root"), "omh-classed")
     mixed = classed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     open_ = materialize(classed.join(mixed, "bucket"), "omh-open")
-    crowded = open_.where(F.col("members") > LARGE).select("node").distinct()
-    counted = texts(crowded).mapInPandas(_labelled, "node binary, shingle long").groupBy("shingle").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1")
-    own = counted.groupBy("node").agg(F.count("*").alias("own"))
-    ready = materialize(open_.join(own, "node", "left").withColumn("most", F.col("n") - F.when(F.col("members") > LARGE, F.coalesce("own", F.lit(0))).otherwise(0)), "omh-ready")
-    other = ready.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("most").alias("other_most"), "bucket")
-    common = F.least("most", "other_most")
-    possible = (F.col("root") != F.col("other")) & (F.col("node") < F.col("b")) & _alike("n", "m") & (common >= THRESHOLD * (F.col("n") + F.col("m") - common))
-    cross = ready.join(other, "bucket").where(possible).select(F.col("node").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
-    return first.unionAll(verify(materialize(cross, "omh-cross")))
+    few = open_.where(F.col("members") <= LARGE)
+    other = few.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), "bucket")
+    near = few.join(other, "bucket").where((F.col("root") != F.col("other")) & (F.col("node") < F.col("b")) & _alike("n", "m"))
+    pairs = _pairs(near, "node", "b")
+
+    # many members: by what they have other than the middle
+    apart = open_.where((F.col("members") > LARGE) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    differing = materialize(with_texts(materialize(apart, "omh-apart")).mapInPandas(_differences, _DIFFERENCES), "omh-differences")
+    strangers = differing.where("5 * common < 4 * n").select("node").distinct()
+    whole = texts(strangers).mapInPandas(_shingled, _DIFFERENCES)
+    parts = materialize(differing.where("2 * common >= n").unionAll(whole), "omh-parts")
+    crowded = materialize(_by_parts(rooted(parts, classes, "node", "root")).unionAll(pairs).distinct().join(tested, ["a", "b"], "left_anti"), "omh-cross")
+    found, tested = found.unionAll(verify(crowded)), tested.unionAll(crowded)
+
+    # members with the middle's shingles in another order escape that bound: each is
+    # compared to all with the middle's shingles, one of each middle in a round
+    tight = parts.where((F.col("weight") <= F.col("n_centre")) & (F.length("centre") > 0)).select("centre", "node")
+    done = None
+    while True:
+        classes = materialize(components(found, "omh-round"), "omh-classes")
+        placed = rooted(rooted(tight, classes, "node", "root"), classes, "centre", "main")
+        loose = placed.where("root <> main").select("centre", "node")
+        if done is not None:
+            loose = loose.join(done, ["centre", "node"], "left_anti")
+        turn = materialize(loose.groupBy("centre").agg(F.min("node").alias("node")), "omh-turn")
+        if turn.isEmpty():
+            return found
+        against = placed.join(rooted(turn, classes, "node", "its").withColumnRenamed("node", "it"), "centre").where("root <> its")
+        pairs = materialize(_pairs(against, "node", "it").join(tested, ["a", "b"], "left_anti"), "omh-loose")
+        found, tested = found.unionAll(verify(pairs)), tested.unionAll(pairs)
+        done = turn if done is None else done.unionAll(turn)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A materialised table, to be sent to all executors if it is small by count."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+_DIFFERENCES = "centre binary, node binary, n int, n_centre int, common int, weight long, parts array<long>"
+
+
+def _differences(batches):
+    """For pairs of a middle (a) and a member (b): what either has and the other has not."""
+    last, known = None, None
+    for batch in batches:
+        rows = []
+        for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
+            if a != last:
+                last, known = a, labels(shingles(word_hashes(text_a)))
+            mine = labels(shingles(word_hashes(text_b)))
+            common = np.intersect1d(mine, known)
+            lost, won = len(known) - len(common), len(mine)
+            parts = None
+            if 2 * len(common) >= won:
+                parts = np.concatenate([np.setdiff1d(known, common) ^ _MIX[1], np.setdiff1d(mine, common)]).view(np.int64)
+            rows.append((a, b, won, len(known), len(common), 4 * won + 9 * lost - 4 * len(known), parts))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DIFFERENCES.split(", ")])
+
+
+def _shingled(batches):
+    """Members that have little in common with their middle: all their shingles."""
+    for batch in batches:
+        rows = []
+        for node, text in zip(batch["node"], batch["text"], strict=True):
+            mine = labels(shingles(word_hashes(text)))
+            rows.append((b"", node, len(mine), 0, 0, 4 * len(mine), mine.view(np.int64)))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DIFFERENCES.split(", ")])
+
+
+def _by_parts(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) that can reach the threshold, by prefixes of their rarest parts.
+
+    With d shingles of the middle (of n_c) missing, a member of n has the weight
+    w = 4 n + 9 d - 4 n_c; two members are links only if 9 times the number of their common
+    parts is w + w' - n_c or more.  The middle itself reaches the threshold with a member
+    exactly if w <= n_c.  So of two members in doubt one has w > n_c, and both must have
+    that many parts that other members have, too, and share one of the rarest of them.
+    """
+    each = rows.select("centre", "node", "root", "n", "n_centre", "weight", F.explode("parts").alias("part"))
+    counts = each.groupBy("centre", "part").agg(F.count("*").alias("df")).where("df > 1")
+    told = each.join(counts, ["centre", "part"])
+    whose = W.partitionBy("centre", "node")
+    told = told.withColumn("nth", F.row_number().over(whose.orderBy("df", "part"))).withColumn("most", F.count("*").over(whose))
+    plain = F.length("centre") == 0
+    fewest = F.expr("(4 * n + 4) div 5")
+    far = plain | (F.col("weight") > F.col("n_centre"))
+    short = F.col("most") - F.when(plain, fewest).otherwise(F.expr("weight div 9 + 1")) + 1
+    long_ = F.col("most") - F.when(plain, fewest).otherwise(F.expr("greatest(1, (weight - n_centre + 8) div 9)")) + 1
+    told = materialize(told.withColumns({"indexed": F.col("nth") <= short, "probing": far & (F.col("nth") <= long_)}).where("indexed or probing"), "omh-prefixes")
+    index = told.where("indexed").select("centre", "part", F.col("node").alias("b"), F.col("root").alias("other"), F.col("weight").alias("weight_b"), F.col("most").alias("most_b"), F.col("n").alias("m"))
+    enough = F.expr("9 * least(most, most_b) >= weight + weight_b - n_centre")
+    met = told.where("probing").join(index, ["centre", "part"]).where((F.col("root") != F.col("other")) & enough & _alike("n", "m"))
+    return _pairs(met, "node", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -30,12 +30,11 @@ from docloom.storage import materialize
 
 CAPACITY, END_ID = 2048, 0
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words, and runs inside words, that a worker remembers before it starts afresh.
-_MEMO = 700_000
+#: Bytes of words and runs with their ids that a task remembers before it starts afresh.
+_MEMO_BYTES = 96 << 20
 #: Fixed value: how the tokenizer cuts words into runs.
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 _LATIN = regex.compile("[!-~\u00a1-\u012f\u0132-\u024f]+").fullmatch
-_LOADED: dict[str, WordIds] = {}
 
 
 def tokenizer(path: str):
@@ -46,13 +45,6 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def word_ids(path: str) -> WordIds:
-    """The ids of a file's vocabulary, loaded once in a worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
-
-
 class WordIds:
     """Ids of whole texts, by words.
 
@@ -67,6 +59,7 @@ class WordIds:
         self.tokenizer = tokenizer(path)
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.held = 0
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(max(ends) + 3, bool)
         self.ends[ends] = True
@@ -79,9 +72,10 @@ class WordIds:
         words = text.split(" ")
         known = self.words
         if new := {w for w in words if w not in known}:
-            if len(known) > _MEMO:
+            if self.held > _MEMO_BYTES:
                 known.clear()
-                new = set(words)
+                self.runs.clear()
+                self.held, new = 0, set(words)
             self._learn(new)
         return b"".join(map(known.__getitem__, words))
 
@@ -94,8 +88,6 @@ class WordIds:
                 plain[w] = _RUNS(w.lower())
             else:
                 self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.runs) > _MEMO:
-            self.runs.clear()
         new = list({r for runs in plain.values() for r in runs if r not in self.runs})
         parts = [new[at : at + 256] for at in range(0, len(new), 256)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
@@ -108,13 +100,15 @@ class WordIds:
                 self.runs[run], at = raw[at:cut], cut
         for w, runs in plain.items():
             self.words[w] = b"".join(map(self.runs.__getitem__, runs))
+        # a string, its ids and their place in a table take about 200 bytes besides
+        self.held += sum(200 + 2 * len(w) + len(self.words[w]) for w in words) + sum(200 + 2 * len(r) + len(self.runs[r]) for r in new)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids with the end id."""
 
     def cut(batches):
-        ids = word_ids(tokenizer_path)
+        ids = WordIds(tokenizer_path)  # and forgotten when the task ends
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"].array, batch["text"], strict=True):

@@ -146,7 +146,7 @@ def test_features_do_not_depend_on_the_stretch(monkeypatch):
 
 
 def test_words_give_the_tokenizers_ids(tokenizer_path, docs):
-    ids = packing.word_ids(tokenizer_path)
+    ids = packing.WordIds(tokenizer_path)
     odd = ["don't I'LL ''s x's", "İstanbul ΣΑΣ é x\x1cy", "<|endoftext|>a <|startoftext|> 日本語", "²³½ ªº ß ŉ ﬁ ­x a​b", "", "  \n\t ", "".join(map(chr, range(33, 0x250)))]
     for text in odd + [r.text for r in docs.select("text").limit(30).collect()]:
         want = ids.tokenizer.encode(text, add_special_tokens=False).ids
@@ -176,7 +176,7 @@ def test_packing_is_whole_and_gapless(spark, docs, tokenizer_path):
     got = packing.pack(docs, tokenizer_path).toPandas()
     check_packed(got, 2048)
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
-    ids = packing.word_ids(tokenizer_path)
+    ids = packing.WordIds(tokenizer_path)
     for doc, text in docs.select("doc_id", "text").collect():
         raw = ids(text or "") + bytes(4)
         own = got[got.doc_id == doc].sort_values("piece")
@@ -297,6 +297,46 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_classes(texts)
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """Variants around the threshold of a text that is not there, copies of copies, texts
+    in another order, and a passage in unlike texts."""
+    monkeypatch.setattr(omh, "LARGE", 4)
+    rng, texts = random.Random(29), []
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base, passage = [word() for _ in range(150)], [word() for _ in range(60)]
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randint(2, 6)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 2)] = [word() for _ in range(rng.randint(0, 2))]
+        texts.append(words)
+    for words in list(texts[:15]):
+        again = list(words)
+        again[rng.randrange(len(again))] = word()
+        texts.append(again)
+    texts += [base[75:] + base[:75], base[75:] + base[:74], base[50:] + base[:50], base[:20] + base[85:] + base[20:85]]
+    texts += [[word() for _ in range(n)] + passage + [word() for _ in range(n)] for n in (2, 3, 5, 9, 20, 60, 100) * 4]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    told = [omh.shingles(omh.word_hashes(" ".join(t))) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if omh.similarity(told[i], told[j]) >= omh.THRESHOLD:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    got = {r.doc_id: r.class_id for r in omh.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == root and 20 < len(set(root)) < len(texts) - 10
+
+
+def test_short_texts_lose_no_link(spark):
+    rng, rows = random.Random(31), []
+    for n in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(8 + n % 4)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join([*words, "more"]))]
+    got = {r.doc_id: r.class_id for r in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * n + 1] == 2 * n for n in range(60))
+
+
 def test_alignment_equals_longest_common_subsequence():
     rng = np.random.default_rng(8)
     for _ in range(100):
