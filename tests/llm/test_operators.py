@@ -510,11 +510,12 @@ def test_near_lines_are_found_by_edit_similarity_alone(spark):
         assert recall == 1 if size <= 3 else recall >= 0.9, (size, recall)
 
 
-def test_blocks_are_simhashes(spark):
+def test_simhashes_are_majorities(spark):
     rng = random.Random(5)
-    rows = [(n, [rng.getrandbits(64) - (1 << 63) for _ in range(n)]) for n in range(60)]
-    got = {r.n: r.s & (1 << 64) - 1 for r in spark.createDataFrame(rows, "n int, h array<long>").select("n", lines.simhash(F.col("h")).alias("s")).collect()}
-    assert got == {n: sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) > n // 2) for n, h in rows}
+    rows = [(n, " ".join(f"w{rng.randrange(40)}" for _ in range(n))) for n in range(1, 120)]
+    known = {r.w: r.h for r in spark.createDataFrame([(f"w{i}",) for i in range(40)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    got = {r.id: r.sim & (1 << 64) - 1 for r in lines.simhashes(spark.createDataFrame(rows, "id int, norm string")).collect()}
+    assert got == {n: sum(1 << b for b in range(64) if sum(known[w] >> b & 1 for w in x.split()) > n // 2) for n, x in rows}
 
 
 def test_lines_of_few_words_are_dropped(spark):
