@@ -135,19 +135,32 @@ def train(docs: DataFrame, seed: int = 3) -> Model | None:
                 for _ in range(SNIPPETS):
                     at = int(rng.integers(0, max(1, len(text) - 8)))
                     parts.append(text[at : at + int(rng.integers(12, 160))])
-                out += [(lang, int(draw_), n, features(p).tobytes()) for n, p in enumerate(parts) if any(map(str.isalpha, p))]
+                out += [(lang, int(draw_), n, features(p).astype(np.float16).tobytes()) for n, p in enumerate(parts) if any(map(str.isalpha, p))]
             yield pd.DataFrame(out, columns=["lang", "draw", "n", "x"])
 
-    rows = sorted(tuple(r) for r in chosen.mapInPandas(sample, "lang string, draw long, n int, x binary").collect())
-    kept, seen = [], {}
-    for lang, draw_, _, x in rows:  # the draw is close to its bound; the bound is kept exactly
-        group = seen.setdefault(lang, {})
-        group.setdefault(draw_, len(group))
-        if group[draw_] < each:
-            kept.append((lang, x))
-    if not kept:
+    def learn(batches):
+        rows = sorted(r for batch in batches for r in batch.itertuples(index=False, name=None))
+        kept, seen = [], {}
+        for lang, draw_, _, x in rows:  # the draw is close to its bound; the bound is kept exactly
+            group = seen.setdefault(lang, {})
+            group.setdefault(draw_, len(group))
+            if group[draw_] < each:
+                kept.append((lang, x))
+        del rows
+        if kept:
+            model = fit(np.stack([np.frombuffer(x, np.float16) for _, x in kept]).astype(np.float32), [lang for lang, _ in kept])
+            parts = [a.astype(np.float64).tobytes() for a in (model.code, model.weights, model.offsets)]
+            yield pd.DataFrame([(model.languages, *parts)], columns=["languages", "code", "weights", "offsets"])
+
+    # the sample is bounded, so one task learns from it; the driver gets the model alone
+    sampled = chosen.mapInPandas(sample, "lang string, draw long, n int, x binary").repartition(1)
+    found = sampled.mapInPandas(learn, "languages array<string>, code binary, weights binary, offsets binary").collect()
+    if not found:
         return None
-    return fit(np.stack([np.frombuffer(x, np.float32) for _, x in kept]), [lang for lang, _ in kept])
+    languages = list(found[0].languages)
+    code, weights, offsets = (np.frombuffer(bytes(a), np.float64) for a in found[0][1:])
+    code = code.reshape(len(languages), -1)
+    return Model(languages, code, weights.reshape(DIMENSIONS, -1).astype(np.float32), offsets.astype(np.float32))
 
 
 def classify(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
