@@ -2,9 +2,10 @@
 
 Every assistant turn becomes an example of its own: all turns before it are context and
 only its reply is trainable.  The contexts of a conversation are prefixes of one formatted
-text, so that text is kept once, a segment for each turn, and an example is a pair of
-spans in it: everything up to the end of its reply, and the reply under the loss mask.
-Output stays linear in the input even for one conversation of millions of turns;
+text, so that text is kept once, a segment for each turn.  ``expand`` makes a row of each
+example: its target (the reply's segment), a pointer to its context (the first
+``context_end`` characters of the conversation's text), and the loss mask inside the
+target.  Output stays linear in the input even for one conversation of millions of turns;
 ``render`` writes the examples out where a trainer wants whole strings.
 
 The template opens a turn with ``<|im_start|>``, the role and a line feed, and closes it
@@ -78,6 +79,18 @@ def segments(turns: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("conv_id", "turn", "role", "body").mapInPandas(lay, _SEGMENTS)
 
 
+def expand(laid: DataFrame) -> DataFrame:
+    """A row for each assistant turn: conv_id, ord, context_end, target, loss_start, loss_end.
+
+    The example's text is the first ``context_end`` characters of the conversation's text
+    and ``target``; the loss mask counts from the beginning of ``target``.
+    """
+    return laid.where(F.col("loss_start").isNotNull()).select(
+        "conv_id", "ord", F.col("start").alias("context_end"), F.col("segment").alias("target"),
+        (F.col("loss_start") - F.col("start")).alias("loss_start"), (F.col("loss_end") - F.col("start")).alias("loss_end"),
+    )
+
+
 def render(laid: DataFrame) -> DataFrame:
     """Whole examples: conv_id, example, text, loss_start, loss_end.
 
@@ -119,32 +132,41 @@ class Reader:
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, examples long, example_chars long"
 
 
-def read_back(laid: DataFrame) -> DataFrame:
-    """Per conversation, from the formatted output alone: what the turns and the loss mask say.
+def read_back(laid: DataFrame, examples: DataFrame) -> DataFrame:
+    """Per conversation, from the output alone: what the turns and the loss mask say.
 
+    Turns are read from the contexts' text, the loss from the examples, each at the place
+    where its context ends; an example without that place is an error.
     ``formatted_chars`` counts the formatted text once; ``example_chars`` is what the
-    rendered examples have together.
+    expanded examples have together.
     """
+    none = F.lit(None).cast("long")
+    texts = laid.select("conv_id", "ord", F.lit(0).alias("of"), F.col("segment").alias("text"), F.col("start").alias("at"), none.alias("lo"), none.alias("hi"))
+    targets = examples.select("conv_id", "ord", F.lit(1).alias("of"), F.col("target").alias("text"), F.col("context_end").alias("at"), F.col("loss_start").alias("lo"), F.col("loss_end").alias("hi"))
+    both = texts.unionAll(targets).repartition(shuffle_width(laid.sparkSession), "conv_id").sortWithinPartitions("conv_id", "ord", "of")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = object(), None
         for batch in batches:
             out = []
-            for conv, segment, start, lo, hi in zip(*(batch[c].array for c in ("conv_id", "segment", "start", "loss_start", "loss_end")), strict=True):
+            for conv, of, text, at, lo, hi in zip(*(batch[c].array for c in ("conv_id", "of", "text", "at", "lo", "hi")), strict=True):
                 key = None if pd.isna(conv) else int(conv)
                 if key != now:
                     if state:
                         out.append(_closed(now, state))
                     now, state = key, [Reader(), 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                for role, text in state[0].feed(segment):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if not pd.isna(lo):
-                    loss = unescape(segment[int(lo) - start : int(hi) - start])
-                    state[3] += len(loss)
-                    state[4].update(loss.encode("utf-8", "surrogatepass"))
-                    state[5] += 1
-                    state[6] += state[0].at
+                if of == 0:
+                    for role, said in state[0].feed(text):
+                        state[1] += 1
+                        state[2].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                    continue
+                if at + len(text) != state[0].at:
+                    raise ValueError("an example's context does not end where its target begins")
+                loss = unescape(text[int(lo) : int(hi)])
+                state[3] += len(loss)
+                state[4].update(loss.encode("utf-8", "surrogatepass"))
+                state[5] += 1
+                state[6] += at + len(text)
             yield _frame(out)
         if state:
             yield _frame([_closed(now, state)])
@@ -156,4 +178,4 @@ def read_back(laid: DataFrame) -> DataFrame:
     def _frame(rows):
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _DIGEST.split(", ")]).astype({"conv_id": "Int64"})
 
-    return laid.mapInPandas(read, _DIGEST)
+    return both.mapInPandas(read, _DIGEST)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docloom.storage import materialize
 from docloom.llm import chat, curriculum, grace, langid, lines, order_minhash, packing, shards, surrogates, topk
 
 SHARDS, SEED = 16, 20
@@ -50,7 +51,8 @@ def op6_chat_formatting(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.segments(turns.unionByName(more)))
+    laid = materialize(chat.segments(turns.unionByName(more)), "chat-segments")
+    return chat.read_back(laid, chat.expand(laid))
 
 
 def op7_grace_dedup(spark, sf_dir):
@@ -84,6 +86,15 @@ def oracle_sql() -> dict[str, str]:
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
+
+def _escaped(column: str) -> str:
+    """chat.escape in SQL: backslashes doubled, control strings broken by one."""
+    out = f"replace({column}, '\\', '\\\\')"
+    for control in chat.CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
 ORACLES = {
     "op2_exact_top_k": """
         WITH v AS (
@@ -95,6 +106,20 @@ ORACLES = {
           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op6_chat_formatting": rf"""
+        WITH t AS (
+          SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, {_escaped("text")} AS body, replace({_escaped("role")}, chr(10), '\\' || chr(10)) AS head FROM t),
+        f AS (SELECT *, length(head) + length(body) + {len(chat.OPEN) + len(chat.CLOSE) + 2} AS chars FROM e),
+        g AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body ROWS UNBOUNDED PRECEDING) AS upto FROM f)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, body)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(chars)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS examples,
+               coalesce(sum(upto) FILTER (role = 'assistant'), 0)::BIGINT AS example_chars
+        FROM g GROUP BY conv_id""",
     "op7_grace_dedup": rf"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

@@ -2,25 +2,36 @@
 
 Entities are found by pattern; each distinct entity gets one replacement of its own kind,
 drawn from a keyed hash, and every mention of it, in whatever case or punctuation, gets
-that replacement in the mention's own format.  Kinds: e-mail addresses, IPv4 addresses,
-payment cards, phone numbers, social security numbers, IBANs, secrets (a name such as
-``token``, ``key`` or ``password`` followed by a value), and names of persons after a form
-of address.  Replacements keep digits where digits were, letters where letters were, the
-case of the mention, the validity of card check digits, and for names the script (Latin or
-Cyrillic) and the gender that the form of address tells; given names and surnames are
-entities of their own, so "Mr Carl Brun" and "Mr Brun" stay one person.
+that replacement in the mention's own format.  Kinds: e-mail addresses, IPv4 and IPv6
+addresses, payment cards, phone numbers, social security numbers, IBANs, secrets (a name
+such as ``token``, ``key`` or ``password`` followed by a value; case matters), and names of
+persons after a form of address.  Replacements keep digits where digits were, letters
+where letters were, the case of the mention, the validity of check digits (cards, IBANs,
+which also keep their country), and for names the script (Latin, Cyrillic or Greek; names
+in other scripts are not taken) and the gender that the form of address tells.
+
+Coreference: given names and surnames are entities of their own, so "Mr Carl Brun" and
+"Mr Brun" stay one person; a name found in a text is replaced wherever else it stands in
+that text as a whole word; a given name whose form of address tells no gender takes the
+one it has elsewhere in the corpus.
 
 Collision checks: a replacement must not be an entity of the corpus itself, and no two
 entities of a kind may share one.  Draws that fail are repeated with the next attempt, in
 rounds over the few that are left, until none is left.  So distinct entities stay
-distinct and equal ones equal.
+distinct and equal ones equal.  Names, addresses and secrets get longer with the attempts,
+and a secret that a draw leaves as it is (of signs alone) gets hexadecimal digits; kinds
+of a fixed form could run out, so more than ``ROUNDS`` rounds are an error.
+
+The key is the session's ``spark.docloom.pii.key``, if no other is given; the constant
+here is for demonstrations.
 
 Scale: only distinct entities are shuffled for the draws; texts are shuffled once, and
 only those with an entity; equal texts are rebuilt once.
 
 Edge cases: null text stays null; texts without entities are returned as they are; a null
 doc_id is carried; repeated rows get equal results; an empty table gives an empty result;
-other columns are carried along.
+other columns, whatever their names, are carried along (``n_entities`` and ``kinds`` are
+replaced).
 """
 
 from __future__ import annotations
@@ -31,18 +42,20 @@ from docloom.storage import materialize
 
 #: Forms of address and the gender they tell.  Fixed values.
 TITLES = {
-    "m": ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин", "г-н"),
-    "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Госпожа", "г-жа"),
+    "m": ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин", "г-н", "Κύριος", "Κύριε"),
+    "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Госпожа", "г-жа", "Κυρία"),
     "n": ("Mx", "Dr", "Prof", "Professor", "Доктор"),
 }
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{Ll}]+(?:[-'’]\p{Lu}[\p{Ll}]+)?"
+_LETTER = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}&&\p{%s}]"
+_NAME = rf"{_LETTER % 'Lu'}{_LETTER % 'Ll'}+(?:[-'’]{_LETTER % 'Lu'}{_LETTER % 'Ll'}+)?"
 
 #: Kind -> pattern, in order of precedence at one place.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "secret": r"(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d|key)\b\"?\s{0,2}[:=]\s{0,2}[\"'])[^\"'\s]{6,}(?=[\"'])|(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d|key)\b\s{0,2}[:=]\s{0,2})[A-Za-z0-9+/_-]{16,}",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -54,9 +67,16 @@ PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 SYLLABLES = {
     "latin": ("ba", "ce", "di", "fo", "ga", "he", "ji", "ko", "lu", "ma", "ne", "pi", "ro", "sa", "tu", "ve"),
     "cyrillic": ("ба", "ве", "ги", "до", "жа", "зе", "ки", "ло", "му", "на", "пе", "ри", "со", "та", "ву", "ше"),
+    "greek": ("βα", "γε", "δι", "ζο", "θα", "κε", "λι", "μο", "να", "πε", "ρι", "σο", "τα", "φε", "χι", "ψο"),
 }
-ENDINGS = {("latin", "m"): "ron", ("latin", "f"): "lina", ("latin", "n"): "ris", ("latin", "s"): "sen", ("cyrillic", "m"): "мир", ("cyrillic", "f"): "лина", ("cyrillic", "n"): "рис", ("cyrillic", "s"): "енко"}
-KEY = "docloom-demonstration-key"
+ENDINGS = {("latin", "m"): "ron", ("latin", "f"): "lina", ("latin", "n"): "ris", ("latin", "s"): "sen", ("cyrillic", "m"): "мир", ("cyrillic", "f"): "лина", ("cyrillic", "n"): "рис", ("cyrillic", "s"): "енко", ("greek", "m"): "νος", ("greek", "f"): "νη", ("greek", "n"): "ρις", ("greek", "s"): "ιδης"}
+#: Letters that stand for letters of Han script.
+_HAN = "".join(chr(0x4E00 + i) for i in range(512))
+KEY, KEY_SETTING = "docloom-demonstration-key", "spark.docloom.pii.key"
+#: Rounds of draws after which a kind must have run out of replacements.
+ROUNDS = 64
+#: Rows of a table of entities up to which it is sent to every executor.
+SMALL_ROWS = 200_000
 
 
 def kind_of(match: Column) -> Column:
@@ -80,7 +100,7 @@ def _parts(match: Column) -> Column:
         F.slice(names, F.lit(2), F.size(names)),
         lambda name, i: F.struct(
             F.when(i == 0, F.concat(F.element_at(names, 1), F.lit(" "))).otherwise(F.lit(" ")).alias("lead"),
-            F.concat(F.when(name.rlike(r"\A\p{IsCyrillic}"), F.lit("cyrillic_")).otherwise(F.lit("latin_")), F.when(i == F.size(names) - 2, F.lit("s")).otherwise(gender)).alias("kind"),
+            F.concat(F.when(name.rlike(r"\A\p{IsCyrillic}"), F.lit("cyrillic_")).when(name.rlike(r"\A\p{IsGreek}"), F.lit("greek_")).otherwise(F.lit("latin_")), F.when(i == F.size(names) - 2, F.lit("s")).otherwise(gender)).alias("kind"),
             name.alias("surface"),
         ),
     )
@@ -90,7 +110,7 @@ def _parts(match: Column) -> Column:
 def canonical(kind: Column, surface: Column) -> Column:
     """What all mentions of an entity have in common."""
     compact = F.regexp_replace(surface, r"[^\p{L}\p{N}]", "")
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), F.upper(compact)).when(kind == "secret", F.lower(surface)).otherwise(F.lower(surface))
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), F.upper(compact)).when(kind == "secret", surface).otherwise(F.lower(surface))
 
 
 def _draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
@@ -106,11 +126,14 @@ def _draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     stream = F.transform(chars, lambda c, i: F.struct(c.alias("c"), F.conv(F.substring(F.sha2(F.concat(seed, (i.cast("string"))), 256), 1, 7), 16, 10).cast("long").alias("r")))
     alike = F.transform(
         stream,
-        lambda x: F.when(x["c"].rlike(r"\A\p{Nd}\z"), (x["r"] % 10).cast("string")).when(x["c"].rlike(r"\A[a-f]\z"), F.substring(F.lit("abcdef"), (x["r"] % 6 + 1).cast("int"), F.lit(1))).when(x["c"].rlike(r"\A\p{Ll}\z"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (x["r"] % 26 + 1).cast("int"), F.lit(1))).when(x["c"].rlike(r"\A\p{Lu}\z"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (x["r"] % 26 + 1).cast("int"), F.lit(1))).otherwise(x["c"]),
+        lambda x: F.when(x["c"].rlike(r"\A\p{Nd}\z"), (x["r"] % 10).cast("string")).when(x["c"].rlike(r"\A[a-f]\z"), F.substring(F.lit("abcdef"), (x["r"] % 6 + 1).cast("int"), F.lit(1))).when(x["c"].rlike(r"\A\p{Ll}\z"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (x["r"] % 26 + 1).cast("int"), F.lit(1))).when(x["c"].rlike(r"\A\p{Lu}\z"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (x["r"] % 26 + 1).cast("int"), F.lit(1))).when(x["c"].rlike(r"\A\p{IsHan}\z"), F.substring(F.lit(_HAN), (x["r"] % len(_HAN) + 1).cast("int"), F.lit(1))).when(x["c"].rlike(r"\A\p{L}\z"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (x["r"] % 26 + 1).cast("int"), F.lit(1))).otherwise(x["c"]),
     )
     same = F.array_join(alike, "")
     # the first digit tells a card's network and a phone's country
     same = F.when(kind.isin("card", "phone"), F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(same, F.lit(2), F.length(same)))).otherwise(same)
+    grown = F.substring(bits, F.lit(65), F.least(F.expr("attempt div 4"), F.lit(64)).cast("int"))
+    signs = F.substring(F.repeat(bits, 8), F.lit(1), F.greatest(F.length(canon), F.lit(8)))
+    same = F.when(kind == "secret", F.concat(F.when(same == canon, signs).otherwise(same), grown)).otherwise(same)
     octets = F.concat_ws(".", (number(F.lit(1), 7) % 222 + 1).cast("string"), *[(number(F.lit(at), 7) % 254 + 1).cast("string") for at in (9, 17, 25)])
 
     def syllables(script: str, count: int) -> Column:
@@ -122,9 +145,9 @@ def _draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     for (script, gender), ending in ENDINGS.items():
         longer = F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.expr("attempt div 2"), F.lit(8))), lambda i: F.when(i == 0, F.lit("")).otherwise(F.element_at(F.array(*[F.lit(s) for s in SYLLABLES[script]]), (F.conv(F.substring(bits, 40 + i * 2, F.lit(2)), 16, 10).cast("long") % 16 + 1).cast("int")))), "")
         out = F.when(kind == f"{script}_{gender}", F.concat(syllables(script, 3), longer, F.lit(ending))).otherwise(out)
-    local = F.concat(syllables("latin", 4), F.lit("."), (number(F.lit(40), 9) % 1000000000).cast("string"))
+    local = F.concat(syllables("latin", 4), F.lit("."), (number(F.lit(40), 9) % 1000000000).cast("string"), grown)
     out = F.when(kind == "email", F.concat(local, F.lit("@example."), F.element_at(F.array(*[F.lit(t) for t in ("com", "net", "org")]), (number(F.lit(60), 4) % 3 + 1).cast("int")))).otherwise(out)
-    return F.when(kind == "ip", octets).when(kind == "card", _checked(same, canon)).otherwise(out)
+    return F.when(kind == "ip", octets).when(kind == "card", _checked(same, canon)).when(kind == "iban", _checked_iban(same, canon)).otherwise(out)
 
 
 def _luhn(digits: Column) -> Column:
@@ -136,6 +159,20 @@ def _luhn(digits: Column) -> Column:
     ) % 10
 
 
+def _mod97(text: Column) -> Column:
+    """A string of digits and letters (A is 10) as a number modulo 97."""
+    digits = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"\A[A-Z]\z"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
+    return F.aggregate(F.split(digits, ""), F.lit(0), lambda a, c: ((a * 10 + c.cast("int")) % 97).cast("int"))
+
+
+def _checked_iban(drawn: Column, canon: Column) -> Column:
+    """Keep the country; give valid check digits if the original has them."""
+    country, body = F.substring(canon, 1, 2), F.substring(drawn, F.lit(5), F.length(drawn))
+    check = F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(F.substring(canon, F.lit(5), F.length(canon)), F.substring(canon, 1, 4))) == 1
+    return F.concat(country, F.when(valid, check).otherwise(F.substring(drawn, 3, 2)), body)
+
+
 def _checked(drawn: Column, canon: Column) -> Column:
     """Give the drawn number a valid check digit if the original has one."""
     body = F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), F.lit("0"))
@@ -159,6 +196,8 @@ def resolve(entities: DataFrame, key: str = KEY) -> DataFrame:
         if open_.isEmpty():
             return done
         attempt += 1
+        if attempt >= ROUNDS:
+            raise RuntimeError(f"no free replacements after {ROUNDS} rounds: " + ", ".join(r.kind for r in open_.select("kind").distinct().limit(8).collect()))
 
 
 def _formatted(kind: Column, surface: Column, drawn: Column) -> Column:
@@ -168,28 +207,66 @@ def _formatted(kind: Column, surface: Column, drawn: Column) -> Column:
     taken = F.transform(kept, lambda c, i: F.when(c.rlike(r"\A[\p{L}\p{N}]\z"), F.substring(drawn, F.size(F.filter(F.slice(kept, F.lit(1), i + 1), lambda d: d.rlike(r"\A[\p{L}\p{N}]\z"))), F.lit(1))).otherwise(c))
     spaced = F.array_join(taken, "")
     cased = F.when(surface == F.upper(surface), F.upper(drawn)).when(surface.rlike(r"\A\p{Lu}") & kind.contains("_"), F.initcap(drawn)).otherwise(drawn)
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), spaced).when(kind == "ip", drawn).otherwise(cased)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), spaced).when(kind.isin("ip", "secret"), drawn).otherwise(cased)
+
+
+def _with_later_mentions(runs: Column, last: Column) -> Column:
+    """``runs`` and the text after them, in which names of persons that a form of address
+    has told are mentions wherever they stand as whole words."""
+    persons = F.filter(runs, lambda r: r["kind"].contains("_"))
+    words = r"\p{L}+(?:[-'’]\p{Lu}\p{Ll}+)*|[^\p{L}]+"
+
+    def expanded(b: Column) -> Column:
+        def pieces(text: Column) -> Column:
+            return F.transform(F.regexp_extract_all(text, F.lit(words), F.lit(0)), lambda w: told(b, w))
+
+        def told(b: Column, w: Column) -> Column:
+            at = F.array_position(b["names"], w).cast("int")
+            kind = F.when(at > 0, F.get(b["kinds"], at - 1))
+            return F.struct(F.when(at > 0, "").otherwise(w).alias("lead"), kind.alias("kind"), F.when(at > 0, w).alias("surface"))
+
+        each = F.transform(runs, lambda r: F.concat(pieces(r["lead"]), F.array(F.struct(F.lit("").alias("lead"), r["kind"].alias("kind"), r["surface"].alias("surface")))))
+        return F.concat(F.flatten(each), pieces(last))
+
+    bound = F.struct(F.transform(persons, lambda r: r["surface"]).alias("names"), F.transform(persons, lambda r: r["kind"]).alias("kinds"))
+    plain = F.concat(runs, F.array(F.struct(last.alias("lead"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("surface"))))
+    return F.when(F.size(persons) > 0, F.transform(F.array(bound), expanded)[0]).otherwise(plain)
+
+
+def _gendered(rows: DataFrame) -> DataFrame:
+    """Give given names without a gender the one they have elsewhere."""
+    known = rows.where(r"kind rlike '_[mf]$'").groupBy(F.substring_index("kind", "_", 1).alias("_script"), F.col("canon").alias("_canon")).agg(F.min("kind").alias("_told"))
+    known = materialize(known, "pii-genders")
+    known = F.broadcast(known) if known.count() <= SMALL_ROWS else known
+    same = F.col("kind").endswith("_n") & (F.substring_index("kind", "_", 1) == F.col("_script")) & (F.col("canon") == F.col("_canon"))
+    return rows.join(known, same, "left").withColumn("kind", F.coalesce("_told", "kind")).drop("_script", "_canon", "_told")
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All columns, with ``text`` rewritten, ``n_entities`` and ``kinds`` (kind -> mentions)."""
+def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """All columns, with ``text`` rewritten, ``n_entities`` and ``kinds`` (kinds found)."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
+    made = ("n_entities", "kinds")
     found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
-    keyed = docs.withColumn("_key", F.md5(F.encode("text", "UTF-8")))
-    has = F.col("text").rlike(PATTERN)
-    texts = keyed.where(has).select("_key", "text").withColumn("_m", found).where(F.size("_m") > 0)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", F.md5(F.encode("text", "UTF-8")).alias("_key"))
+    texts = keyed.where(F.col("text").rlike(PATTERN)).select("_key", "text").withColumn("_m", found).where(F.size("_m") > 0)
     between = F.split("text", PATTERN, -1)
     # runs of (text before the mention + its lead, kind, surface), and the text after the last
     runs = F.flatten(F.zip_with(F.slice(between, F.lit(1), F.size("_m")), "_m", lambda before, m: F.transform(_parts(m), lambda p, i: F.struct(F.when(i == 0, F.concat(before, p["lead"])).otherwise(p["lead"]).alias("lead"), p["kind"].alias("kind"), p["surface"].alias("surface")))))
-    mentions = texts.dropDuplicates(["_key"]).select("_key", runs.alias("runs"), F.element_at(between, -1).alias("last"))
-    mentions = materialize(mentions, "pii-mentions")
+    mentions = texts.dropDuplicates(["_key"]).select("_key", F.inline(F.array(F.struct(runs.alias("runs"), F.element_at(between, -1).alias("last")))))
+    mentions = materialize(mentions.select("_key", _with_later_mentions(F.col("runs"), F.col("last")).alias("runs")), "pii-mentions")
     rows = mentions.select("_key", F.posexplode("runs").alias("at", "r")).select("_key", "at", "r.lead", "r.kind", "r.surface", canonical(F.col("r.kind"), F.col("r.surface")).alias("canon"))
-    drawn = resolve(rows.select("kind", "canon").distinct(), key)
-    written = rows.join(drawn, ["kind", "canon"]).select("_key", F.struct("at", F.concat("lead", _formatted(F.col("kind"), F.col("surface"), F.col("drawn"))).alias("s"), "kind").alias("p"))
-    rebuilt = written.groupBy("_key").agg(F.sort_array(F.collect_list("p")).alias("p")).join(mentions.select("_key", "last"), "_key")
-    rebuilt = rebuilt.select("_key", F.concat(F.array_join(F.transform("p", lambda x: x["s"]), ""), "last").alias("_text"), F.size("p").alias("_n"), F.transform("p", lambda x: x["kind"]).alias("_kinds"))
+    rows = materialize(_gendered(rows), "pii-rows")
+    entities = rows.where("kind IS NOT NULL").select("kind", "canon").distinct()
+    drawn = resolve(entities, key)
+    drawn = materialize(drawn, "pii-resolved")
+    replaced = F.concat("lead", F.coalesce(_formatted(F.col("kind"), F.col("surface"), F.col("drawn")), F.lit("")))
+    written = rows.join(F.broadcast(drawn) if drawn.count() <= SMALL_ROWS else drawn, ["kind", "canon"], "left").select("_key", F.struct("at", replaced.alias("s"), "kind").alias("p"))
+    rebuilt = written.groupBy("_key").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    told = F.filter(F.transform("p", lambda x: x["kind"]), lambda k: k.isNotNull())
+    rebuilt = rebuilt.select("_key", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("_text"), F.size(told).alias("_n"), told.alias("_kinds"))
     joined = keyed.join(rebuilt, "_key", "left")
     return joined.select(
-        *[F.coalesce("_text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        *[F.coalesce("_text", "_row.text").alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c not in made],
         F.coalesce("_n", F.lit(0)).cast("long").alias("n_entities"),
         F.array_sort(F.array_distinct(F.coalesce("_kinds", F.array().cast("array<string>")))).alias("kinds"),
     )

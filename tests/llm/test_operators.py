@@ -63,6 +63,42 @@ def test_surrogates_are_consistent_distinct_and_alike(spark):
     assert got[6].text is None and got[7].text == said[6][1] and got[7].n_entities == 0
 
 
+def test_secrets_always_move_and_end(spark):
+    said = [(1, 'password: "********" and password: "######"'), (2, 'token = "秘密秘密秘密秘密"'), (3, 'key = "AbCdEfGh1234" key = "abcdefgh1234"'), (4, 'password: "********"')]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(said, "doc_id long, text string")).collect()}
+    secrets = re.findall('"(.*?)"', " ".join(got[i] for i in (1, 2, 3)))
+    assert len(set(secrets)) == 5 and not set(secrets) & {"********", "######", "秘密秘密秘密秘密", "AbCdEfGh1234", "abcdefgh1234"}
+    assert re.fullmatch(r"[A-Z][a-z][A-Z][a-z][A-Z][a-z][A-Z][a-z]\d{4}", secrets[3]) and re.fullmatch(r"[\u4e00-\u4fff]{8}", secrets[2])
+    assert got[4] == f'password: "{secrets[0]}"'
+
+
+def test_names_stay_one_person(spark):
+    said = [
+        (1, "Dr Anna Brun came. Anna left; Brun's bag and Brunner stayed, said Brun."), (2, "Mrs Anna Brun"), (3, "Anna and Brun, without a form of address"),
+        (4, "Κύριος Νίκος Παππάς, ο Παππάς"), (5, "IBAN DE89370400440532013000 and GB29 NWBK 6016 1331 9268 19"), (6, "host 2001:db8:85a3:0:0:8a2e:370:7334 or fe80::1ff:fe23 at 12:30:45"),
+    ]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(said, "doc_id long, text string")).collect()}
+    first = re.fullmatch(r"Dr (\w+) (\w+) came\. (\w+) left; (\w+)'s bag and Brunner stayed, said (\w+)\.", got[1].text)
+    assert first and first[1] == first[3] and first[2] == first[4] == first[5] and {"Anna", "Brun"}.isdisjoint(first.groups())
+    assert got[2].text == f"Mrs {first[1]} {first[2]}" and got[3].text == said[2][1] and got[1].n_entities == 5
+    greek = re.fullmatch(r"Κύριος (\w+) (\w+), ο (\w+)", got[4].text)
+    assert greek[2] == greek[3] != "Παππάς" and all("Ͱ" <= c <= "Ͽ" for c in greek[1] + greek[2])
+    one, two = re.fullmatch(r"IBAN (DE\d{20}) and (GB\d\d \w{4} \d{4} \d{4} \d{4} \d\d)", got[5].text).groups()
+    for iban in (one, two.replace(" ", "")):
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban not in said[4][1].replace(" ", "")
+    assert re.fullmatch(r"host [0-9a-f:]+ or [0-9a-f:]+ at 12:30:45", got[6].text) and "2001:db8" not in got[6].text and "fe80" not in got[6].text
+
+
+def test_surrogates_follow_the_session_key_and_carry_any_column(spark):
+    docs = spark.createDataFrame([(1, "a@b.com"), (2, None)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("_text", "_key", "_row", "kinds", "n_entities", "_m", "runs", "lead")})
+    plain = surrogates.replace_entities(docs)
+    spark.conf.set(surrogates.KEY_SETTING, "another")
+    other = surrogates.replace_entities(docs)
+    spark.conf.unset(surrogates.KEY_SETTING)
+    assert sorted(plain.columns) == sorted(docs.columns) and plain.where("_text = 'x' and _key = 'x' and _row = 'x'").count() == 2
+    assert {r.text for r in plain.collect()} != {r.text for r in other.collect()}
+
+
 def test_surrogates_resolve_collisions(spark):
     # ten entities of a kind whose drawn form has only ten values but for the real ones
     entities = spark.createDataFrame([("ssn", str(n)) for n in range(5)], "kind string, canon string")
@@ -218,7 +254,7 @@ def test_chat_round_trip(spark):
     turns = [(c, t, rng.choice(("user", "assistant", "system", "x\ny\\")), "".join(rng.choices(bits, k=rng.randint(0, 8)))) for c in range(40) for t in range(rng.randint(1, 7))]
     turns += [(100, 1, "user", None), (100, 1, "user", None), (101, None, None, None), (None, 1, "assistant", "lost")]
     laid = chat.segments(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("ord", F.lit(1))).cache()
-    got = {r.conv_id: r for r in chat.read_back(laid).collect()}
+    got = {r.conv_id: r for r in chat.read_back(laid, chat.expand(laid)).collect()}
     groups = collections.defaultdict(list)
     for c, t, role, text in turns:
         groups[c].append((t if t is not None else -1, role or "", text or ""))
@@ -232,7 +268,8 @@ def test_chat_round_trip(spark):
     assert len(examples) == sum(r == "assistant" for _, _, r, _ in turns)
     for e in examples.itertuples():
         assert e.text.endswith(f"{chat.CLOSE}\n") and e.text[: e.loss_start].count(chat.OPEN) == e.text.count(chat.OPEN) and e.loss_end == len(e.text) - len(chat.CLOSE) - 1
-    assert chat.read_back(chat.segments(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    none = chat.segments(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert chat.read_back(none, chat.expand(none)).count() == 0
 
 
 # --- exact dedup ----------------------------------------------------------------------
