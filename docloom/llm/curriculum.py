@@ -12,14 +12,14 @@ How much is demanded: all sources share ``budget`` times all words by weight, no
 Edge cases: a null source is a source of its own (last in code-point order); null or
 wordless texts have size 0 and are taken 0 times; with no words at all every target is 0;
 rows equal in id and text are interchangeable.  At most one document of each source is
-cut, where the source's demand ends.
+taken in part, where the source's demand ends; the stream has it whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from docloom.llm.columns import SPACE, running_totals, stratum, text_of, word_count
+from docloom.llm.columns import running_totals, stratum, text_of, word_count
 from docloom.storage import shuffle_width
 
 #: Weights, dealt to sources in code-point order, repeating.
@@ -59,18 +59,21 @@ def targets(sizes: DataFrame, budget: float = BUDGET, most: float = MOST) -> Dat
     return level.withColumn("target", F.least(F.col("_cap"), F.coalesce(reached, F.lit(float("inf"))) * F.col("_w"))).select("_k", "source_size", "target", "start", "end")
 
 
-def assign(docs: DataFrame, seed: int = 11) -> DataFrame:
+def assign(docs: DataFrame, seed: int = 11, keep: list[str] | None = None) -> DataFrame:
     """Add ``size``, ``source_size``, ``target``, ``taken`` and ``passes`` to every document.
 
+    Of ``docs`` the columns ``keep`` are carried (all, if None): texts travel only if asked.
+
     ``passes`` is an array of (epoch, words, position), one entry for each time the mix
     takes the document.  Order within a source is a seeded shuffle.
     """
-    carried = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))  # so that no name clashes
+    carried = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("_row"))  # so that no name clashes
     sized = carried.withColumn("_k", stratum("source")).withColumn("size", word_count(text_of()))
     sources = targets(sized.groupBy("_k").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")))
-    tie = [F.col("_h"), F.col("doc_id"), F.crc32(F.encode(text_of(), "UTF-8"))]
-    shuffled = sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    ordered = running_totals(shuffled, "_k", F.col("_h"), tie, F.col("size")).drop("total", "_h")
+    tie = [F.col("_h"), F.col("doc_id"), F.col("_crc")]
+    told = {"_h": F.xxhash64(F.lit(seed), "doc_id", "text"), "_crc": F.crc32(F.encode(text_of(), "UTF-8"))}
+    shuffled = sized.withColumns(told).drop("text")
+    ordered = running_totals(shuffled, "_k", F.col("_h"), tie, F.col("size")).drop("total", "_h", "_crc")
     placed = ordered.join(sources, "_k").withColumn("_due", F.floor(F.col("target") + 0.5).cast("long"))
     epochs = F.when(F.col("source_size") > 0, F.expr("_due div source_size")).otherwise(F.lit(0).cast("long"))
     rest = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_due") - F.col("_e") * F.col("source_size") - F.col("before")))
@@ -86,26 +89,26 @@ def assign(docs: DataFrame, seed: int = 11) -> DataFrame:
     turns = F.array(*[F.when(F.col("_e") > n, entry(F.lit(n), F.col("size"))) for n in range(int(MOST))], F.when(F.col("_r") > 0, entry(F.col("_e"), F.col("_r"))))
     made = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("_e") * F.col("size") + F.col("_r"),
             "passes": F.filter(turns, lambda x: x.isNotNull() & (x["words"] > 0))}
-    return placed.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in made], *[v.alias(c) for c, v in made.items()])
+    return placed.select(*[F.col(f"_row.`{c}`") for c in keep or docs.columns if c not in made], *[v.alias(c) for c, v in made.items()])
 
 
 def training_order(df: DataFrame, position: str) -> DataFrame:
     """Range-sort by ``position``: partition i holds earlier positions than partition i+1.
 
-    Ties, and rows without a position, have no order among each other and may be spread.
+    Ties, and rows without a position (first), have no order among each other; those rows
+    are spread by hash.
     """
-    return df.repartitionByRange(shuffle_width(df.sparkSession), position).sortWithinPartitions(position)
+    spread = F.when(F.col(position).isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.repartitionByRange(shuffle_width(df.sparkSession), F.col(position), spread).sortWithinPartitions(position)
 
 
 def stream(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The training stream: documents once for each pass, in training order.
 
-    Columns of ``docs`` only.  The one document of a source at which its demand ends is
-    cut after the words due (its separators become single spaces); all others are whole.
+    Columns of ``docs`` only.  The one document of a source at which its demand ends comes
+    whole, so no text is cut and a source exceeds its target by less than one document.
     """
-    inner = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_own"))
-    taken = assign(inner, seed).withColumn("_p", F.explode("passes"))
-    cut = F.array_join(F.slice(F.filter(F.split(F.col("text"), SPACE), lambda w: w != ""), F.lit(1), F.col("_p.words").cast("int")), " ")
-    out = taken.withColumn("text", F.when(F.col("_p.words") < F.col("size"), cut).otherwise(F.col("text"))).withColumn("_at", F.col("_p.position"))
-    rows = out.select(*[F.col("text") if c == "text" else F.col(f"_own.`{c}`") for c in docs.columns], F.col("_at"))
+    inner = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"))
+    out = assign(inner, seed, ["_own"]).withColumn("_at", F.explode("passes.position"))
+    rows = out.select(*[F.col(f"_own.`{c}`") for c in docs.columns], F.col("_at"))
     return training_order(rows, "_at").drop("_at")

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from docloom.llm.columns import text_of
 from docloom.llm.components import components
-from docloom.storage import materialize
+from docloom.storage import Scratch, materialize
 
 WORDS, THRESHOLD = 5, 0.8
 #: Hash functions, and labelled shingles each of them picks.
@@ -363,10 +363,19 @@ def _by_parts(rows: DataFrame) -> DataFrame:
     return _pairs(met, "node", "b")
 
 
+def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, node of every document; node, root of every linked node)."""
+    with Scratch() as scratch:
+        sketched = sketches(docs)
+        classes = materialize(components(links(docs, sketched), "omh"), "omh-roots")
+        made = materialize(sketched.select("doc_id", "text_key", "node"), "omh-nodes-of")
+        scratch.leave(made.join(classes, "node", "left"))
+    return made, classes
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, class_id, class_size, kept."""
-    made = sketches(docs)
-    classes = components(links(docs, made), "omh")
+    made, classes = classed(docs)
     rows = made.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     groups = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rows.join(groups, "root").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
@@ -374,8 +383,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the first by id (then by text)."""
-    made = sketches(docs)
-    classes = components(links(docs, made), "omh")
+    made, classes = classed(docs)
     rows = made.select("doc_id", "text_key", F.col("node")).join(classes, "node", "left")
     firsts = rows.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(_known("doc_id").alias("d"), F.col("text_key").alias("k"))).alias("at")).select(F.col("at.d").alias("_omh_d"), F.col("at.k").alias("_omh_k"))
     keyed = docs.withColumns({"_omh_d": _known("doc_id"), "_omh_k": F.unhex(F.md5(F.encode(text_of(), "UTF-8")))})

@@ -64,7 +64,7 @@ def op8_order_minhash(spark, sf_dir):
 
 
 def op9_curriculum_mix(spark, sf_dir):
-    mixed = curriculum.assign(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = curriculum.assign(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id", "source"])
     rows = mixed.select("doc_id", "source", "size", "source_size", "target", "taken", F.size("passes").cast("int").alias("passes"), F.get("passes", F.lit(0))["position"].alias("first_position"))
     return curriculum.training_order(rows, "first_position")
 
