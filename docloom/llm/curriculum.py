@@ -12,14 +12,14 @@ How much is demanded: all sources share ``budget`` times all words by weight, no
 Edge cases: a null source is a source of its own (last in code-point order); null or
 wordless texts have size 0 and are taken 0 times; with no words at all every target is 0;
 rows equal in id and text are interchangeable.  At most one document of each source is
-taken in part, where the source's demand ends; the stream has it whole.
+cut, where the source's demand ends.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from docloom.llm.columns import running_totals, stratum, text_of, word_count
+from docloom.llm.columns import SPACE, running_totals, stratum, text_of, word_count
 from docloom.storage import shuffle_width
 
 #: Weights, dealt to sources in code-point order, repeating.
@@ -105,10 +105,14 @@ def training_order(df: DataFrame, position: str) -> DataFrame:
 def stream(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The training stream: documents once for each pass, in training order.
 
-    Columns of ``docs`` only.  The one document of a source at which its demand ends comes
-    whole, so no text is cut and a source exceeds its target by less than one document.
+    Columns of ``docs`` only.  The one document of a source at which its demand ends is
+    cut after the words due (its separators become single spaces); all others are whole.
     """
-    inner = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"))
-    out = assign(inner, seed, ["_own"]).withColumn("_at", F.explode("passes.position"))
-    rows = out.select(*[F.col(f"_own.`{c}`") for c in docs.columns], F.col("_at"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    inner = docs.select("doc_id", "text", "source", own.alias("_own"))
+    out = assign(inner, seed, ["_own"]).withColumn("_p", F.explode("passes")).withColumn("_at", F.col("_p.position"))
+    text = F.col("_own.text")
+    cut = F.array_join(F.slice(F.filter(F.split(text, SPACE), lambda w: w != ""), F.lit(1), F.col("_p.words").cast("int")), " ")
+    said = F.when(F.col("_p.words") < F.col("size"), cut).otherwise(text)
+    rows = out.select(*[said.alias(c) if c == "text" else F.col(f"_own.`{c}`") for c in docs.columns], F.col("_at"))
     return training_order(rows, "_at").drop("_at")
