@@ -56,19 +56,26 @@ def replace_documents(index: DataFrame, fresh: DataFrame) -> DataFrame:
     return index.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh)
 
 
-#: content type (null: any) -> columns that must be unique among its rows.
+#: Content type and section (null: any) -> columns that must be unique.
 UNIQUE = (
-    (None, ("chunk_id",)), ("table_row", ("metric", "year")), ("table_block", ("section", "subsection")), ("fact", ("section", "content")),
-    ("profile_row", ("entity_name",)), ("profile_bio", ("entity_name",)),
+    (None, None, ("chunk_id",)),
+    ("table_block", "Item 6. Selected Consolidated Financial Data", ("section",)),
+    ("table_row", "Item 6. Selected Consolidated Financial Data", ("metric", "year")),
+    ("table_block", "Item 8. Financial Statements and Supplementary Data", ("subsection", "table_name")),
+    ("table_row", None, ("section", "subsection", "metric", "year")),
+    ("fact", None, ("section", "subsection", "subsubsection", "content")),
+    ("profile_row", None, ("entity_name",)),
+    ("profile_bio", None, ("entity_name",)),
 )
 
 
 def violations(rows: DataFrame) -> DataFrame:
     """constraint, key, n of every broken uniqueness constraint."""
     found = []
-    for kind, keys in UNIQUE:
+    for kind, section, keys in UNIQUE:
         if set(keys) <= set(rows.columns):
             own = rows if kind is None else rows.where(F.col("content_type") == kind)
+            own = own if section is None else own.where(F.col("section") == section)
             found.append(own.groupBy(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("key")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(f"{kind or 'any'}: {', '.join(keys)}").alias("constraint"), "key", "n"))
     return reduce(DataFrame.unionByName, found)
 

@@ -46,7 +46,7 @@ FIGURE = r"(\(?\$?[\d,]+(?:\.\d+)?\)?)"
 ITEM_6_METRICS = r"(?i)(Net sales|Operating income|Net income \(loss\)|Basic earnings per share(?: \(2\))?|Diluted earnings per share(?: \(2\))?|Basic|Diluted|Total assets|Total long-term obligations)"
 ITEM_6_YEARS = ("2015", "2016", "2017", "2018", "2019")
 BODY_START = r"^(Our|We|If|This) "
-RISK_TITLE = r"(?:[A-Z][A-Za-z0-9,;:'’\-()&/ ]+?(?:Could|May) (?:Harm|Adversely Affect|Negatively Affect) Our Business|Risks Related to [A-Z][A-Za-z0-9,;:'’\-()&/ ]+?|We Are Subject to [A-Z][A-Za-z0-9,;:'’\-()&/ ]+?|We Face [A-Z][A-Za-z0-9,;:'’\-()&/ ]+?|Our [A-Z][A-Za-z0-9,;:'’\-()&/ ]+? Risks?)"
+RISK_TITLE = r"(?:[A-Z][A-Za-z0-9,;:'’\-()&/ ]+?(?:Could Harm Our Business|May Harm Our Business|May Adversely Affect Our Business|Could Adversely Affect Our Business|Could Negatively Affect Our Business)|Risks Related to [A-Z][A-Za-z0-9,;:'’\-()&/ ]+?|We Are Subject to [A-Z][A-Za-z0-9,;:'’\-()&/ ]+?|We Face [A-Z][A-Za-z0-9,;:'’\-()&/ ]+?|Our [A-Z][A-Za-z0-9,;:'’\-()&/ ]+? Risks?)"
 RISK_BODY = r"(?:Our|We|This|If)\s+[a-z][A-Za-z0-9'’\-]*"
 # -----------------------------------------------------------------------------------------
 

@@ -48,8 +48,12 @@ def claim(events: DataFrame, state: DataFrame, now: Column) -> DataFrame:
 
 
 def outcome(claimed: DataFrame, done: DataFrame, now: Column) -> DataFrame:
-    """State rows after the work: ``done`` has pk, sk, indexed_doc_count, error_message."""
-    rows = claimed.where("result = 'processing'").select("pk", "sk").join(done, ["pk", "sk"], "left")
+    """State rows after the work: ``done`` has pk, sk, indexed_doc_count, error_message.
+
+    Claimed work of which ``done`` says nothing is lost, and failed.
+    """
+    rows = claimed.where("result = 'processing'").select("pk", "sk").join(done.withColumn("_done", F.lit(True)), ["pk", "sk"], "left")
+    rows = rows.withColumn("error_message", F.when(F.col("_done").isNull(), F.lit("no result")).otherwise(F.col("error_message")))
     failed = F.col("error_message").isNotNull()
     stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return rows.select(

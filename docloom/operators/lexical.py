@@ -30,11 +30,13 @@ def postings(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
 def bm25(questions: DataFrame, index: DataFrame, n_rows: int, key: str = "doc_id") -> DataFrame:
     """query_id, key, field, score.  ``questions``: query_id, text; ``index``: postings."""
     wanted = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    lengths = index.select(key, "field", "dl").distinct().groupBy("field").agg((F.sum("dl") / n_rows).alias("mean"))  # a row for each field
-    df = index.groupBy("field", "term").agg(F.count("*").alias("df"))
+    # a row's tf add up to its dl, so mean lengths are sums by field; only terms asked for are counted
+    lengths = index.groupBy("field").agg((F.sum("tf") / n_rows).alias("mean"))
+    asked = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    df = asked.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_rows - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.join(F.broadcast(lengths), "field").select("field", "term", idf.alias("idf"), "mean")
-    met = index.join(wanted.select("term").distinct(), "term", "left_semi").join(weights, ["field", "term"])
+    met = asked.join(weights, ["field", "term"])
     part = F.col("idf") * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     return met.select(key, "field", "term", part.alias("part")).join(wanted, "term").groupBy("query_id", key, "field").agg(F.sum("part").alias("score"))
 

@@ -25,6 +25,8 @@ EXPECTED = {
     3: ("Item 1A. Risk Factors",), 4: ("Item 3. Legal Proceedings",), 5: ("Item 1A. Risk Factors",), 6: ("Item 2. Properties",), 13: ("Item 1. Business",),
     11: ("Item 7A. Quantitative and Qualitative Disclosures About Market Risk",), 14: ("Item 2. Properties", "Item 8. Financial Statements and Supplementary Data"), 15: ("Item 2. Properties",),
 }
+#: query_id of QUESTIONS -> item that the question names
+NAMED_ITEMS = {4: "Item 3. Legal Proceedings", 5: "Item 1A. Risk Factors"}
 #: value, name valid, iso date, last four valid
 IDENTITIES = (
     ("  Ada   Byron ", True, None, False), ("Ada", False, None, False), ("31-02-1990", False, None, False), ("09-11-1985", False, "1985-11-09", False),
@@ -35,12 +37,16 @@ MESSAGES = (
     ("my name is Ada Byron", "Ada Byron", None, None), ("born 09-11-1985", None, "09-11-1985", None), ("4321", None, None, "4321"),
     ("the last 4 are 9876", None, None, "9876"), ("track my order", "track my order", None, None), ("SSN: 1111 and 01-02-1999", None, "01-02-1999", "1111"),
 )
-#: session_id, turn, message, reply starts with
+#: session_id, turn, message, whole answer (null where no order was asked for)
+_ASK = "I can help check your order status, but I need to verify your identity first."
+_NAME, _DAY, _LAST4 = "Please share your full name.", "Please share your date of birth in DD-MM-YYYY format.", "Please share the last 4 digits of your SSN."
 DIALOGUE = (
-    ("s1", 1, "where is my order?", "I can help check"), ("s1", 2, "my name is Ada Byron", "I can help check"), ("s1", 3, "1985-11-09", "Please provide your date"),
-    ("s1", 4, "09-11-1985", "I can help check"), ("s1", 5, "4321", "Your order A-1 is currently in transit via Post. Estimated delivery is 2030-01-02."),
-    ("s2", 1, "hello there", None), ("s2", 2, "shipment of Bo Li?", "I can help check"), ("s2", 3, "i am Bo Li", "I can help check"), ("s2", 4, "01-01-1970", "I can help check"),
-    ("s2", 5, "0000", "I could not find"), ("s2", 6, "where is my order", "I can help check"),
+    ("s1", 1, "where is my order?", f"{_ASK} {_NAME}"), ("s1", 2, "my name is Ada Byron", f"{_ASK} {_DAY}"),
+    ("s1", 3, "1985-11-09", f"Please provide your date of birth in DD-MM-YYYY format. {_DAY}"), ("s1", 4, "09-11-1985", f"{_ASK} {_LAST4}"),
+    ("s1", 5, "4321", "Your order A-1 is currently in transit via Post. Estimated delivery is 2030-01-02."),
+    ("s2", 1, "hello there", None), ("s2", 2, "shipment of Bo Li?", f"{_ASK} {_NAME}"), ("s2", 3, "i am Bo Li", f"{_ASK} {_DAY}"), ("s2", 4, "01-01-1970", f"{_ASK} {_LAST4}"),
+    ("s2", 5, "0000", "I could not find a matching order with the verified details provided. Please confirm your full name, date of birth, and last 4 digits of your SSN."),
+    ("s2", 6, "where is my order", f"{_ASK} {_DAY}"),
 )
 ORDERS = (("c1", "ada  byron", "1985-11-09", "4321", "A-1", "in transit", "Post", "2030-01-02"),)
 #: raw, number

@@ -6,9 +6,10 @@ shuffled by question and holds at most a few dozen rows for each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docloom.functions import rules
+from docloom.functions.text import fold
 from docloom.operators import answers as say, fusion, lexical, rerank, vector
 from docloom.storage import materialize
 
@@ -70,7 +71,21 @@ def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     phrase = hits.join(per_query(True), ["query_id", "field"]).groupBy("query_id", "chunk_id").agg(F.max("boost").alias("score"))
     scores = words.unionByName(phrase).unionByName(exact_boosts(questions, chunks)).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
     most = scores.join(questions.select("query_id", "top_k"), "query_id")
-    return lexical.top(most, 1 << 30, "chunk_id").where(F.col("rank") <= CANDIDATES * F.col("top_k")).select("query_id", "chunk_id", "score", "rank")
+    return lexical.top(most, CANDIDATES * _widest(questions), "chunk_id").where(F.col("rank") <= CANDIDATES * F.col("top_k")).select("query_id", "chunk_id", "score", "rank")
+
+
+def _widest(questions: DataFrame) -> int:
+    """The largest top_k asked for: a literal bound lets ranks be cut before the shuffle."""
+    return questions.agg(F.max("top_k")).first()[0] or 1
+
+
+def _strong_entity() -> Column:
+    """Whether a profile is the person asked for; any profile is if nobody is named, or
+    several are asked for."""
+    plain = lambda c: F.trim(F.regexp_replace(fold(F.col(c)), r"[^\p{L}\p{N}]+", " "))
+    asked, name = F.regexp_extract(plain("question"), r"^who is (.*)$", 1), F.coalesce(plain("entity_name"), F.lit(""))
+    same = (name != "") & (F.contains(name, asked) | F.contains(asked, name))
+    return F.col("content_type").isin("profile_row", "profile_bio") & ((asked == "") | plain("question").startswith("who are ") | same)
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
@@ -84,12 +99,13 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None
     spark = chunks.sparkSession
     near = spark.createDataFrame([], "query_id long, chunk_id string, score double")
     if vectors is not None:
-        people = found.where("rank <= 3").join(chunks.select("chunk_id", "content_type"), "chunk_id").select("query_id", "score", F.col("content_type").isin("profile_row", "profile_bio").alias("strong_entity"))
+        people = found.where("rank <= 3").join(chunks.select("chunk_id", "content_type", "entity_name"), "chunk_id").join(asked.select("query_id", "question", "search_intent"), "query_id")
+        people = people.select("query_id", "score", ((F.col("search_intent") == "entity_lookup") & _strong_entity()).alias("strong_entity"))
         open_ = fusion.vector_gate(asked.select("query_id", "vector_weight", "vector_mode"), people).where("run")
-        top = vector.cosine_top(vectors.join(open_, "query_id", "left_semi"), chunks.where("embedding is not null"), 3 * 8)
+        top = vector.cosine_top(vectors.join(open_, "query_id", "left_semi"), chunks.where("embedding is not null"), CANDIDATES * _widest(asked))
         ids = chunks.select("vec_id", "chunk_id")
         near = top.join(ids, "vec_id").join(asked.select("query_id", "top_k"), "query_id").where(F.col("rank") <= CANDIDATES * F.col("top_k")).select("query_id", "chunk_id", ((1 + F.col("score")) / 2).alias("score"))
-    fused = lexical.top(fusion.fuse(found, near, asked), 1 << 30, "chunk_id").join(asked.select("query_id", "top_k"), "query_id").where(F.col("rank") <= FUSED * F.col("top_k"))
+    fused = lexical.top(fusion.fuse(found, near, asked), FUSED * _widest(asked), "chunk_id").join(asked.select("query_id", "top_k"), "query_id").where(F.col("rank") <= FUSED * F.col("top_k"))
     kept = fused.where(F.col("score") >= fusion.MIN_SCORE).withColumnRenamed("rank", "candidate_pos").drop("top_k")
     known = [c for c in chunks.columns if c not in ("embedding", "vec_id")]
     rows = kept.join(chunks.select(*known), "chunk_id").join(rerank.understood(questions.select("query_id", "question")), "query_id")

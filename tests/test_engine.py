@@ -135,6 +135,20 @@ def test_failure_is_recorded_short(spark):
     assert row.status == "failed" and len(row.error_message) == 1000 and row.completed_at is None
 
 
+def test_lost_work_is_failed(spark):
+    claimed = spark.createDataFrame([("p", "s", "processing")], "pk string, sk string, result string")
+    done = spark.createDataFrame([], "pk string, sk string, indexed_doc_count long, error_message string")
+    row = ingest.outcome(claimed, done, F.to_timestamp(F.lit("2026-01-01T00:00:00Z"))).first()
+    assert row.status == "failed" and row.completed_at is None and row.error_message
+
+
+def test_uniqueness_is_by_section(spark):
+    item6, item8 = "Item 6. Selected Consolidated Financial Data", "Item 8. Financial Statements and Supplementary Data"
+    rows = [("a", "table_row", item6, None, "Net sales", "2019"), ("b", "table_row", item8, "Income", "Net sales", "2019"), ("c", "table_row", item8, "Income", "Net sales", "2019")]
+    frame = spark.createDataFrame(rows, "chunk_id string, content_type string, section string, subsection string, metric string, year string")
+    assert [(r.constraint, r.n) for r in chunking.violations(frame).collect()] == [("table_row: section, subsection, metric, year", 2)]
+
+
 def test_entry_module_without_corpus(monkeypatch):
     import importlib
     import sys
