@@ -83,18 +83,25 @@ def citations(rows: DataFrame) -> DataFrame:
     """Up to six sources of each question, best first.
 
     ``rows``: limited candidates with their question's columns and ``place``.  The greedy
-    choice runs over the few candidates of a question in a fold: a row is taken unless its
-    semantic key was taken, or it is a narrative whose place in the document was.
+    choice is a fold: a row is taken unless its semantic key was taken, or it is a narrative
+    whose place in the document was.  Only rows that can be chosen reach the fold, however
+    many there are: with six sources at most six keys of each sort are taken, so the seventh
+    row of a key is never chosen, and at most (6 + 6) * 7 rows are passed over.
     """
-    mine = W.partitionBy("query_id")
     rank = F.lit(1)
     for kind, value in CITATION_RANK.items():
         rank = F.when(F.col("content_type") == kind, value).otherwise(rank)
-    fit = rows.withColumn("_o", heading_overlap()).withColumn("_best", F.max("_o").over(mine))
+    fit = rows.withColumn("_o", heading_overlap())
+    fit = fit.join(fit.groupBy("query_id").agg(F.max("_o").alias("_best")), "query_id")
     heading = F.col("intent") == "heading_lookup"
     kept = fit.where(~(heading & (F.col("_best") < MIN_HEADING_OVERLAP)) & (~heading | (F.col("_best") == 0) | (F.col("_o") == F.col("_best"))))
     row = F.struct((-rank).alias("r"), (-F.col("score")).alias("s"), F.col("place").alias("p"), F.col("chunk_id").alias("id"), semantic_key().alias("semantic"), _key("doc_id", "section", "item", "subsection", "subsubsection").alias("diverse"), (F.col("content_type") == "narrative").alias("prose"))
-    lists = kept.groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))  # at most eight rows
+    seven, most = MAX_SOURCES + 1, 2 * MAX_SOURCES * (MAX_SOURCES + 1) + MAX_SOURCES
+    able = kept.select("query_id", row.alias("row")).groupBy("query_id", "row.semantic", "row.diverse", "row.prose").agg(F.min("row").alias("row"))
+    nth = lambda *keys: F.row_number().over(W.partitionBy("query_id", *keys).orderBy("row"))
+    able = able.withColumn("_n", nth("semantic")).where(F.col("_n") <= seven).withColumn("_n", nth("diverse", "prose")).where(~F.col("prose") | (F.col("_n") <= seven))
+    able = able.withColumn("_n", nth()).where(F.col("_n") <= most)
+    lists = able.groupBy("query_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     empty = F.array().cast("array<string>")
 
     def take(state: Column, x: Column) -> Column:

@@ -14,7 +14,8 @@ BLOCK, SHARD = 1024, 8192
 
 def cosine_top(questions: DataFrame, rows: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """query_id, key, score, rank.  Both sides: an id and ``embedding``; an optional
-    ``scope`` column on both restricts a question to rows of its scope before the top k.
+    ``scope`` column on both restricts a question to rows of its scope before the top k
+    (a question whose scope is null takes all).
 
     Vectors that are null, too short or not numbers take no part; a zero vector scores 0.
     Scores are rounded to 9 places so that ties are ties on every machine.
@@ -36,8 +37,9 @@ def cosine_top(questions: DataFrame, rows: DataFrame, k: int, key: str = "vec_id
             a, b = (np.stack([np.pad(x, (0, size - len(x))) for x in col]) for col in (asked["q"], held["v"]))
             norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None]
             scores = np.round(np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0), 9)
-            allowed = asked["q_scope"].to_numpy()[:, None] == held["scope"].to_numpy()[None] if scoped else np.ones_like(scores, bool)
-            scores = np.where(allowed, scores, -np.inf)
+            if scoped:
+                own = asked["q_scope"].to_numpy()[:, None] == held["scope"].to_numpy()[None]
+                scores = np.where(asked["q_scope"].isna().to_numpy()[:, None] | own, scores, -np.inf)
             best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             for query, at, line in zip(asked["query_id"], best, scores, strict=True):
                 at = at[np.isfinite(line[at])]

@@ -49,6 +49,18 @@ DIALOGUE = (
     ("s2", 6, "where is my order", f"{_ASK} {_DAY}"),
 )
 ORDERS = (("c1", "ada  byron", "1985-11-09", "4321", "A-1", "in transit", "Post", "2030-01-02"),)
+#: what the store holds after DIALOGUE: session_id, turn, part, role, content, personal, tool result
+_PERSONAL = {("s1", 2), ("s1", 3), ("s1", 4), ("s1", 5), ("s2", 3), ("s2", 4), ("s2", 5)}
+_LOOKED_UP = {("s1", 5): "order_found", ("s2", 5): "order_not_found"}
+MESSAGE_LOG = tuple((s, n, 0, "user", said, (s, n) in _PERSONAL, None) for s, n, said, _ in DIALOGUE) + tuple((s, n, 1, "assistant", a, False, _LOOKED_UP.get((s, n))) for s, n, _, a in DIALOGUE if a)
+#: events logged in DIALOGUE: session_id, turn, place, type
+_OPENS, _COLLECTS, _REFUSED, _ENDS = "intent_classified", "order_workflow_collecting", "verification_failed", "chat_orchestration_completed"
+_BY_TURN = {
+    ("s1", 1): (_OPENS, _COLLECTS, _REFUSED, _ENDS), ("s1", 2): (_COLLECTS, _REFUSED, _ENDS), ("s1", 3): (_COLLECTS, _REFUSED, _ENDS), ("s1", 4): (_COLLECTS, _REFUSED, _ENDS),
+    ("s1", 5): (_COLLECTS, "order_workflow_succeeded", _ENDS), ("s2", 1): (_OPENS, "knowledge_query_completed", _ENDS), ("s2", 2): (_OPENS, _COLLECTS, _REFUSED, _ENDS),
+    ("s2", 3): (_COLLECTS, _REFUSED, _ENDS), ("s2", 4): (_COLLECTS, _REFUSED, _ENDS), ("s2", 5): (_COLLECTS, "order_workflow_not_found", _ENDS), ("s2", 6): (_OPENS, _COLLECTS, _REFUSED, _ENDS),
+}
+LOG_EVENTS = tuple((s, n, at, kind) for (s, n), kinds in _BY_TURN.items() for at, kind in enumerate(kinds))
 #: raw, number
 NUMBERS = (("(1,234)", -1234.0), ("$5", 5.0), ("1,000.25", 1000.25), ("-", None), ("—", None), ("n/a", None), ("($7.5)", -7.5), ("", None))
 #: key, state of the version, result at 2026-01-01T00:20:00

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from docloom.functions import rules, text, validate
-from docloom.operators import answers as say, chunking, filing, fusion, ingest, lexical, rerank, sessions, vector
+from docloom.operators import answers as say, chunking, filing, fusion, hits, ingest, lexical, rerank, sessions, vector
 from docloom.plans import fixtures as fx, search
 from docloom.storage import materialize
 
@@ -339,12 +339,16 @@ def order_lookup(t, spark):
     return rows.select("c_custkey", "o_orderkey", F.col("o_orderkey").isNotNull().alias("found"))
 
 
-@query(_values([(s, n, a) for s, n, _, a in fx.DIALOGUE], "session_id", "turn BIGINT", "answer"))
-def identity_dialogue(t, spark):
+def _dialogue(spark):
+    """The fixture's messages and the replies to them."""
     rows = spark.createDataFrame([d[:3] for d in fx.DIALOGUE], "session_id string, turn long, message string")
     orders = spark.createDataFrame(list(fx.ORDERS), "customer_id string, full_name string, dob string, ssn_last4 string, order_id string, shipment_status string, carrier string, estimated_delivery string")
-    said = sessions.with_orders(sessions.dialogue(rows), sessions.keyed_orders(orders))
-    return said.select("session_id", "turn", "answer")
+    return rows, sessions.with_orders(sessions.dialogue(rows), sessions.keyed_orders(orders))
+
+
+@query(_values([(s, n, a) for s, n, _, a in fx.DIALOGUE], "session_id", "turn BIGINT", "answer"))
+def identity_dialogue(t, spark):
+    return _dialogue(spark)[1].select("session_id", "turn", "answer")
 
 
 @query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INTEGER AS from_last FROM conversations QUALIFY from_last <= 10")
@@ -364,6 +368,25 @@ def message_ttl(t, spark):
     return t("events").select("event_id", "user_id", key.alias("sort_key"), ttl.alias("ttl")).where(F.col("ttl") > F.unix_timestamp(F.lit("2024-01-12 00:00:00")))
 
 
+@query(_values(fx.MESSAGE_LOG, "session_id", "turn BIGINT", "part INTEGER", "role", "content", "contains_pii BOOLEAN", "tool_result_summary"))
+def message_log(t, spark):
+    rows, said = _dialogue(spark)
+    log = sessions.message_log(rows, said, F.to_timestamp(F.lit("2026-01-01T00:00:00Z")))
+    return log.select("session_id", "turn", "part", "role", "content", "contains_pii", "tool_result_summary")
+
+
+@query(_values(fx.LOG_EVENTS, "session_id", "turn BIGINT", "seq INTEGER", "event_type"))
+def turn_events(t, spark):
+    events = sessions.turn_events(_dialogue(spark)[1])
+    return events.select("session_id", "turn", "seq", F.get_json_object("log_event", "$.event_type").alias("event_type"))
+
+
+@query(_values([(s, n, sessions.LOOKUP_FAILED, "lookup_failed") for s, n in (("s1", 5), ("s2", 5))], "session_id", "turn BIGINT", "answer", "tool_result"))
+def order_lookup_failed(t, spark):
+    said = sessions.with_orders(sessions.dialogue(_dialogue(spark)[0]), None)
+    return said.where("tool_result is not null").select("session_id", "turn", "answer", "tool_result")
+
+
 # --- ingestion ------------------------------------------------------------------------
 
 
@@ -513,6 +536,47 @@ def rerank_tier_limit(t, spark):
     return rerank.limit(rerank.rerank(rows.join(rerank.understood(_questions(spark)), "query_id"))).select("query_id", "chunk_id", "place")
 
 
+# --- hits and model output ------------------------------------------------------------
+
+
+@query("""SELECT doc_id::VARCHAR AS chunk_id, coalesce(lang, 'Untitled') AS title, text AS content, CASE WHEN doc_id % 3 = 0 THEN n_chars::DOUBLE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 0.25 END AS score
+    FROM documents WHERE regexp_matches(text, '[^ \t-\r]') AND NOT (doc_id % 3 = 0 AND n_chars = 0)""")
+def hit_normalize(t, spark):
+    rows = t("documents").where("not (doc_id % 3 = 0 and n_chars = 0)").select(
+        F.lit(None).cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("hit_id"), F.col("lang").alias("title"), F.col("text").alias("content"),
+        F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).alias("lexical_score"), F.when(F.col("doc_id") % 2 == 0, 0.5).otherwise(0.0).alias("vector_score"), F.lit(0.25).alias("hit_score"))
+    return hits.normalized(rows).select("chunk_id", "title", "content", "score")
+
+
+@query("""SELECT o_custkey AS query_id, string_agg(o_orderkey::VARCHAR, '|' ORDER BY r) AS source_ids FROM (
+    SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 6 GROUP BY o_custkey""")
+def answer_source_ids(t, spark):
+    rank = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
+    cited = t("orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").cast("string").alias("source_id"), rank.alias("source_rank")).where("source_rank <= 6")
+    return hits.source_ids(cited).select("query_id", F.array_join("source_ids", "|").alias("source_ids"))
+
+
+@query("SELECT conv_id, turn::BIGINT AS turn, text AS delta FROM conversations WHERE text <> ''")
+def streamed_deltas(t, spark):
+    choice = F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))
+    rows = t("conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.concat(F.lit("data: "), F.to_json(choice)).alias("line"))
+    return hits.stream_deltas(rows, "conv_id", "turn").select("conv_id", "turn", "delta")
+
+
+@query(_values([(1, "$50 million USD", True), (8, None, False)], "query_id BIGINT", "value_raw", "found BOOLEAN"))
+def rewrite_retry(t, spark):
+    asked = spark.createDataFrame([(1, "zzz qqq?", 4), (8, "zzz vvv?", 4)], "query_id long, question string, top_k int")
+    rewrites = spark.createDataFrame([(1, "net sales in 2019"), (8, "zzz")], "query_id long, rewrite string")
+    rows = search.retrieve(asked, _filing_index(spark), rewrites=rewrites)
+    rows = rows.groupBy("query_id").agg(F.max(F.when((F.col("metric") == "Net sales") & (F.col("year") == "2019"), F.concat_ws(" ", "value_raw", "unit"))).alias("value_raw"), F.lit(True).alias("found"))
+    return asked.select("query_id").join(rows, "query_id", "left").select("query_id", "value_raw", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query()
+def benchmark_capture(t, spark):
+    return search.capture(_questions(spark), _filing_index(spark))
+
+
 # --- relational baseline --------------------------------------------------------------
 
 

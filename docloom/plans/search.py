@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docloom.functions import rules
-from docloom.functions.text import fold
-from docloom.operators import answers as say, fusion, lexical, rerank, vector
+from docloom.functions.text import fold, token_set
+from docloom.operators import answers as say, fusion, hits, lexical, rerank, vector
 from docloom.storage import materialize
 
 #: Field boosts for all questions, and where an intent differs.
@@ -88,33 +88,85 @@ def _strong_entity() -> Column:
     return F.col("content_type").isin("profile_row", "profile_bio") & ((asked == "") | plain("question").startswith("who are ") | same)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+def heading_overlap() -> Column:
+    """Whether a candidate's subsection has the heading asked for, or four words of it."""
+    plain = lambda c: F.trim(F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", " "))
+    asked, sub = plain(F.coalesce(rules.risk_heading_reference(F.col("question")), F.col("question"))), fold(F.col("subsection"))
+    shared = F.size(F.array_intersect(token_set(asked), token_set(sub)))
+    return F.coalesce((sub != "") & (F.contains(asked, sub) | F.contains(sub, asked) | (shared >= 4)), F.lit(False))
+
+
+def _sides(asked: DataFrame, chunks: DataFrame, vectors: DataFrame | None, dimensions: int | None) -> tuple[DataFrame, DataFrame]:
+    """Candidates by words and by vectors (query_id, chunk_id, score) of routed questions."""
+    found = materialize(candidates(asked, chunks), "lexical")
+    if vectors is None:
+        return found, chunks.sparkSession.createDataFrame([], "query_id long, chunk_id string, score double")
+    people = found.where("rank <= 3").join(chunks.select("chunk_id", "content_type", "entity_name"), "chunk_id").join(asked.select("query_id", "question", "search_intent"), "query_id")
+    people = people.select("query_id", "score", ((F.col("search_intent") == "entity_lookup") & _strong_entity()).alias("strong_entity"))
+    best = found.select("query_id", "score", F.lit(False).alias("strong_entity"))
+    open_ = fusion.vector_gate(asked.select("query_id", "vector_weight", "vector_mode"), people.unionByName(best)).where("run")
+    # of questions about an item, only its rows take part in the top k
+    scope = F.when(F.col("search_intent").isin("narrative_explainer", "section_overview"), F.col("routed_item"))
+    sound = vectors if dimensions is None else vectors.where(F.size("embedding") == dimensions)
+    top = vector.cosine_top(sound.join(open_, "query_id", "left_semi").join(asked.select("query_id", scope.alias("scope")), "query_id"), chunks.where("embedding is not null").withColumn("scope", F.col("item")), CANDIDATES * _widest(asked))
+    near = top.join(chunks.select("vec_id", "chunk_id"), "vec_id").join(asked.select("query_id", "top_k"), "query_id").where(F.col("rank") <= CANDIDATES * F.col("top_k"))
+    return found, near.select("query_id", "chunk_id", ((1 + F.col("score")) / 2).alias("score"))
+
+
+def _fused(found: DataFrame, near: DataFrame, asked: DataFrame) -> DataFrame:
+    """The 2k best of both sides: query_id, chunk_id, scores, rank."""
+    best = lexical.top(fusion.fuse(found, near, asked), FUSED * _widest(asked), "chunk_id")
+    return best.join(asked.select("query_id", "top_k"), "query_id").where(F.col("rank") <= FUSED * F.col("top_k")).drop("top_k")
+
+
+def retried(asked: DataFrame, chunks: DataFrame, fused: DataFrame, rewrites: DataFrame) -> DataFrame:
+    """The routed questions to try again, with usable rewrites in place of their words; they
+    keep their intent and weights, and take the rewrite's item."""
+    seen = fused.join(chunks.select("chunk_id", "item", "subsection"), "chunk_id").join(asked.select("query_id", "question"), "query_id")
+    gate = fusion.retry_gate(asked.select("query_id", F.col("search_intent").alias("intent"), F.col("routed_item").alias("item")), seen.withColumn("heading_overlap", heading_overlap()))
+    again = asked.join(gate.where("retry").select("query_id"), "query_id").join(rewrites.select("query_id", "rewrite"), "query_id")
+    again = again.withColumn("question", rules.usable_rewrite(F.col("question"), F.col("rewrite"))).where("question is not null").drop("rewrite")
+    return again.withColumns({"routed_item": rules.routed_item(F.col("question")), "text": rules.expansion(F.col("question"), F.col("search_intent"))})
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, rewrites: DataFrame | None = None, dimensions: int | None = None) -> DataFrame:
     """Reranked, limited candidates of each question, with all columns.
 
     ``chunks``: the index's columns; ``vectors``: query_id, embedding of the questions (the
-    chunks then carry ``embedding`` and an id ``vec_id``); without them words decide alone.
+    chunks then carry ``embedding`` and an id ``vec_id``); without them, or where they
+    haven't ``dimensions`` components, words decide alone.  ``rewrites``: query_id, rewrite
+    and, if the vectors are to be asked too, its embedding; questions that found too little
+    are asked again by their rewrite, and both passes are fused.
     """
     asked = materialize(routed(questions), "routed")
-    found = materialize(candidates(asked, chunks), "lexical")
-    spark = chunks.sparkSession
-    near = spark.createDataFrame([], "query_id long, chunk_id string, score double")
-    if vectors is not None:
-        people = found.where("rank <= 3").join(chunks.select("chunk_id", "content_type", "entity_name"), "chunk_id").join(asked.select("query_id", "question", "search_intent"), "query_id")
-        people = people.select("query_id", "score", ((F.col("search_intent") == "entity_lookup") & _strong_entity()).alias("strong_entity"))
-        open_ = fusion.vector_gate(asked.select("query_id", "vector_weight", "vector_mode"), people).where("run")
-        top = vector.cosine_top(vectors.join(open_, "query_id", "left_semi"), chunks.where("embedding is not null"), CANDIDATES * _widest(asked))
-        ids = chunks.select("vec_id", "chunk_id")
-        near = top.join(ids, "vec_id").join(asked.select("query_id", "top_k"), "query_id").where(F.col("rank") <= CANDIDATES * F.col("top_k")).select("query_id", "chunk_id", ((1 + F.col("score")) / 2).alias("score"))
-    fused = lexical.top(fusion.fuse(found, near, asked), FUSED * _widest(asked), "chunk_id").join(asked.select("query_id", "top_k"), "query_id").where(F.col("rank") <= FUSED * F.col("top_k"))
-    kept = fused.where(F.col("score") >= fusion.MIN_SCORE).withColumnRenamed("rank", "candidate_pos").drop("top_k")
+    found, near = _sides(asked, chunks, vectors, dimensions)
+    fused = _fused(found, near, asked)
+    if rewrites is not None:
+        fused = materialize(fused, "fused")
+        again = materialize(retried(asked, chunks, fused, rewrites), "retried")
+        by_vector = rewrites.select("query_id", "embedding") if vectors is not None and "embedding" in rewrites.columns else None
+        found2, near2 = _sides(again, chunks, by_vector, dimensions)
+        both = _fused(found.unionByName(found2), near.unionByName(near2), asked).join(again.select("query_id"), "query_id", "left_semi")
+        fused = fused.join(again.select("query_id"), "query_id", "left_anti").unionByName(both)
+    kept = fused.where(F.col("score") >= fusion.MIN_SCORE).withColumnRenamed("rank", "candidate_pos")
     known = [c for c in chunks.columns if c not in ("embedding", "vec_id")]
     rows = kept.join(chunks.select(*known), "chunk_id").join(rerank.understood(questions.select("query_id", "question")), "query_id")
     return rerank.limit(rerank.rerank(rows))
 
 
-def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(answers, citations) of all questions; a fallback cites nothing."""
-    rows = materialize(retrieve(questions, chunks, vectors), "retrieved")
+def capture(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """The benchmark report of a question set (query_id, question): see ``hits.report``."""
+    asked = questions.select("query_id", "question", rules.answer_intent(F.col("question")).alias("intent"), rules.answer_top_k(F.col("question")).alias("top_k"))
+    rows = materialize(retrieve(asked.drop("intent"), chunks, vectors), "retrieved")
+    said, cited = _said(asked, rows)
+    return hits.report(asked, rows, said, cited)
+
+
+def _said(questions: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = say.answers(rerank.understood(questions.select("query_id", "question")), rows)
-    cited = say.citations(rows).join(said.where("mode <> 'fallback_stream'").select("query_id"), "query_id", "left_semi")
-    return said, cited
+    return said, say.citations(rows).join(said.where("mode <> 'fallback_stream'").select("query_id"), "query_id", "left_semi")
+
+
+def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, rewrites: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(answers, citations) of all questions; a fallback cites nothing."""
+    return _said(questions, materialize(retrieve(questions, chunks, vectors, rewrites), "retrieved"))

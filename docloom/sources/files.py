@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from docloom.functions.text import collapse, content_id
 from docloom.operators.chunking import MAX_PARAGRAPHS, packed
 from docloom.operators.ingest import route
+from docloom.storage import materialize
 
 INDEX_VERSION = "1"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -65,14 +66,78 @@ def read_orders(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("customer_id string, full_name string, dob string, ssn_last4 string, order_id string, shipment_status string, carrier string, estimated_delivery string").json(path, multiLine=True)
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def index_exists(spark: SparkSession, path: str) -> bool:
+    system, at = _folder(spark, path)
+    return system.exists(at)
+
+
+def remove_documents(spark: SparkSession, path: str, documents: DataFrame, version: str = INDEX_VERSION) -> int:
+    """Delete all chunks of the documents (doc_id) that the index has; how many it had."""
+    if not index_exists(spark, path):
+        return 0
+    held = read_index(spark, path, version).select("doc_id").distinct().join(documents.select("doc_id").distinct(), "doc_id")
+    gone = 0
+    for row in held.toLocalIterator():  # streamed; one folder at a time
+        system, at = _folder(spark, f"{path}/index_version={version}/doc_folder=d-{row.doc_id}")
+        gone += bool(system.delete(at, True))
+    return gone
+
+
 def write_index(chunks: DataFrame, path: str) -> None:
-    """Replace the documents in ``chunks``: their partitions are overwritten, others stay."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_version", "doc_id").parquet(path)
+    """Replace the documents in ``chunks``: their partitions are overwritten, others stay.
+    Documents that have no chunk any more go by ``remove_documents``."""
+    rows = chunks.withColumn("doc_folder", F.concat(F.lit("d-"), "doc_id"))  # never taken for a number
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_version", "doc_folder").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str, version: str = INDEX_VERSION) -> DataFrame:
     """The chunks of one schema version (partition-pruned)."""
-    return spark.read.parquet(path).where(F.col("index_version") == version)
+    rows = spark.read.parquet(path).where(F.col("index_version") == version)
+    return rows.withColumn("index_version", F.lit(version)).drop("doc_folder")
+
+
+def count_by_document(spark: SparkSession, path: str, documents: DataFrame, version: str = INDEX_VERSION) -> DataFrame:
+    """doc_id, n: how many chunks the index has of each document asked for; 0 if it has
+    none, or isn't there."""
+    asked = documents.select("doc_id").distinct()
+    if not index_exists(spark, path):
+        return asked.withColumn("n", F.lit(0).cast("long"))
+    found = read_index(spark, path, version).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return asked.join(found, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def verify_index(spark: SparkSession, path: str, present: DataFrame, gone: DataFrame | None = None, version: str = INDEX_VERSION) -> None:
+    """Raise unless the index has chunks of every document of ``present`` and none of
+    ``gone`` (both: doc_id); the first of those that are wrong is named."""
+    wrong = count_by_document(spark, path, present, version).where("n = 0")
+    if gone is not None:
+        wrong = wrong.unionByName(count_by_document(spark, path, gone, version).where("n > 0"))
+    if (first := wrong.first()) is not None:
+        raise RuntimeError(f"document {first.doc_id} {'is not in the index' if first.n == 0 else 'is still in the index'}")
+
+
+def ensure_index(spark: SparkSession, path: str, wanted: dict[str, str], version: str = INDEX_VERSION) -> None:
+    """Refuse an index whose columns differ from the wanted ones; one that isn't there yet
+    is made by the first write."""
+    if index_exists(spark, path) and (lacks := missing_columns(read_index(spark, path, version), wanted)):
+        raise ValueError(f"the index lacks columns or has them otherwise: {', '.join(lacks)}")
+
+
+def index_paths(spark: SparkSession, paths: list[str], path: str, provider, dimensions: int) -> int:
+    """Read, cut, embed, check, replace, verify: how many chunks the documents now have."""
+    documents, _ = read_documents(spark, *paths)
+    chunks = materialize(embed(text_chunks(documents), provider, dimensions), "chunks")
+    ensure_index(spark, path, dict(chunks.dtypes))
+    named = documents.select(content_id(F.col("name")).alias("doc_id"))
+    remove_documents(spark, path, named.join(chunks.select("doc_id"), "doc_id", "left_anti"))
+    write_index(chunks, path)
+    verify_index(spark, path, chunks.select("doc_id"))
+    return chunks.count()
 
 
 def missing_columns(index: DataFrame, wanted: dict[str, str]) -> list[str]:

@@ -128,6 +128,78 @@ def test_ingestion_is_done_once(spark, tmp_path):
     assert [(r.pk, r.status, r.indexed_doc_count) for r in state] == [("DOC#b#a.md", "completed", 3)]
 
 
+def test_a_claim_is_seen_while_it_is_worked_on(spark, tmp_path):
+    from docloom.streaming.ingestion import ingest_batch, read_state
+
+    path = str(tmp_path / "state")
+    body = json.dumps({"Records": [{"s3": {"bucket": {"name": "b"}, "object": {"key": "a.md", "versionId": "1"}}}]})
+    bodies = spark.createDataFrame([(body,)], "body string")
+    seen = []
+
+    def dies(claimed):
+        seen.append([r.status for r in read_state(spark, path).collect()])
+        raise RuntimeError("lost")
+
+    def works(claimed):
+        seen.append(claimed.count())
+        return claimed.select("pk", "sk", F.lit(1).cast("long").alias("indexed_doc_count"), F.lit(None).cast("string").alias("error_message"))
+
+    with pytest.raises(RuntimeError, match="lost"):
+        ingest_batch(bodies, 0, path, dies)
+    ingest_batch(bodies, 1, path, works)  # somebody else is at it
+    ingest_batch(bodies, 0, path, works)  # the batch that failed runs again
+    assert seen == [["processing"], 0, 1]
+    assert [r.status for r in read_state(spark, path).collect()] == ["completed"]
+
+
+def test_index_of_paths(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("One.\n\nTwo.")
+    (tmp_path / "in/b.md").write_text("Three.")
+    index, source = str(tmp_path / "index"), [str(tmp_path / "in")]
+    provider = lambda texts: [[1.0] * 8 for _ in texts]
+    ids = spark.createDataFrame([("x",)], "doc_id string")
+    assert [tuple(r) for r in files.count_by_document(spark, index, ids).collect()] == [("x", 0)]
+    assert files.index_paths(spark, source, index, provider, 8) == 2
+    (tmp_path / "in/b.md").write_text(" ")  # no chunk any more: its old one goes
+    assert files.index_paths(spark, source, index, provider, 8) == 1
+    held = files.read_index(spark, index).select("doc_id")
+    assert held.count() == 1
+    files.verify_index(spark, index, held, ids)
+    with pytest.raises(RuntimeError, match="x is not in the index"):
+        files.verify_index(spark, index, ids)
+    with pytest.raises(RuntimeError, match="is still in the index"):
+        files.verify_index(spark, index, held, held)
+    with pytest.raises(ValueError, match="embedding"):
+        files.ensure_index(spark, index, {"embedding": "array<double>"})
+
+
+def test_streamed_model_output(spark):
+    from docloom.operators import hits
+
+    said = lambda c: "data: " + json.dumps({"choices": [{"delta": {"content": c}}]})
+    lines = [": ping", said("[1]"), "", said(["a", {"type": "text", "text": "b"}, {"type": "image"}]), said(None), said(""), "data: {}", "data: [DONE]", "data: 3", "data: {", said("late")]
+    rows = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "id string, at int, line string")
+    assert [(r.at, r.delta, r.error) for r in hits.stream_deltas(rows, "id", "at").orderBy("at").collect()] == [(1, "[1]", None), (3, "ab", None), (9, None, "invalid JSON")]
+
+
+def test_blank_hits_go_and_defaults_are_filled(spark):
+    from docloom.operators import hits
+
+    rows = spark.createDataFrame([(None, "h1", " \u2003", None, 1.0, 1.0, 1.0), (None, "h2", "x", None, 0.0, None, 3.0)], "chunk_id string, hit_id string, content string, title string, lexical_score double, vector_score double, hit_score double")
+    got = hits.normalized(rows).collect()
+    assert [(r.chunk_id, r.title, r.section, r.score, r.vector_score) for r in got] == [("h2", "Untitled", "", 3.0, 0.0)]
+
+
+def test_vector_scope_is_optional_by_question(spark):
+    from docloom.operators import vector
+
+    base = [1.0] * 8
+    rows = spark.createDataFrame([(1, base, "a"), (2, base, "b")], "vec_id long, embedding array<double>, scope string")
+    asked = spark.createDataFrame([(7, base, "b"), (8, base, None)], "query_id long, embedding array<double>, scope string")
+    assert {(r.query_id, r.vec_id) for r in vector.cosine_top(asked, rows, 5).collect()} == {(7, 2), (8, 1), (8, 2)}
+
+
 def test_failure_is_recorded_short(spark):
     claimed = spark.createDataFrame([("p", "s", "processing")], "pk string, sk string, result string")
     done = spark.createDataFrame([("p", "s", None, "e" * 3000)], "pk string, sk string, indexed_doc_count long, error_message string")
