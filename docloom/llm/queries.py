@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.storage import materialize
-from docloom.llm import chat, curriculum, filter_audit, grace, langid, lines, order_minhash, packing, shards, surrogates, topk, txlog
+from docloom.llm import chat, curriculum, embedding_cells, filter_audit, grace, langid, lines, order_minhash, packing, shards, surrogates, topk, txlog
 
 SHARDS, SEED = 16, 20
 
@@ -77,6 +77,10 @@ def op11_transaction_log(spark, sf_dir):
     return txlog.reassemble(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op12_embedding_near_dedup(spark, sf_dir):
+    return embedding_cells.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.interactions(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _table(spark, sf_dir, "labels"))
 
@@ -85,7 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pii_surrogates, op2_exact_top_k, op3_language_id, op4_best_fit_packing, op5_stratified_shards,
         op6_chat_formatting, op7_grace_dedup, op8_order_minhash, op9_curriculum_mix, op10_fuzzy_lines,
-        op11_transaction_log, op13_filter_audit,
+        op11_transaction_log, op12_embedding_near_dedup, op13_filter_audit,
     )}
 
 
@@ -158,6 +162,14 @@ ORACLES = {
         e AS (SELECT unnest(range(1, (max(commits) + 63) // 64 + 1)) AS epoch FROM n)
         SELECT 'state' AS kind, e.epoch AS id, count(v.crc) AS n, coalesce(sum(v.crc), 0)::BIGINT AS value FROM e LEFT JOIN v ON v.epoch <= e.epoch AND (v.until IS NULL OR v.until > e.epoch) GROUP BY e.epoch
         UNION ALL SELECT CASE WHEN undoing IS NULL THEN 'abort' ELSE 'rollback' END, doc_id, coalesce(undoing, ending), key FROM f WHERE m > 6 AND (undoing IS NOT NULL OR rank IS NULL)""",
+    "op12_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+                 embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS sound FROM embeddings),
+        p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.sound AND b.sound WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT c.vec_id, count(p.b) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN p ON p.a = c.vec_id GROUP BY ALL""",
     "op13_filter_audit": r"""
         WITH l AS (SELECT doc_id, bool_or(quality IS NOT DISTINCT FROM 1) AS good, bool_or(toxic IS NOT DISTINCT FROM 1) AS toxic FROM labels GROUP BY doc_id),
         t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
