@@ -1,13 +1,15 @@
 """Reassembly of a transaction log into store states, in shards that DuckDB joins.
 
-The log is dealt into stretches of ascending doc_id.  Counts of transaction ends and of
+The log is dealt into ``STRETCHES`` stretches of ascending doc_id, between ids drawn by
+hash (``DRAWN`` of them at any size; they decide how even the stretches are, nothing else).  Counts of transaction ends and of
 commits are summed by stretch first, so a row's transaction and commit number need only
 its own stretch; no source, and not the log, is ever in one task.  Then whole transactions
 go to hash shards, where DuckDB ASOF-joins each change with the next rollback of its own
 savepoint level and with its transaction's end.  Changes that stay are cut down to the
 last of each key and epoch; hash shards of (key, run of epochs) ASOF-join each with the
 key's previous version, which gives what an epoch adds to the store's count and checksum.
-States are running sums of those, again by stretches.
+States are running sums of those, again by stretches.  Joins with tables that grow are
+merge joins; what goes to the driver is the drawn ids and counts.
 
 Rows that reach a shard are narrow: a text is its checksum from the scan on.  A shard gets
 ``ROWS`` rows on average; its memory is bounded by them, a transaction's length (ends are
@@ -32,6 +34,9 @@ from docloom.storage import materialize, shuffle_width
 
 #: Rows of a shard on average, commits of an epoch, keys of the store, runs of epochs of a key.
 ROWS, EPOCH, KEYS, RUNS = 100_000, 64, 30_000, 64
+#: Stretches of the log and of the epochs (SIDE by SIDE), and ids drawn for their ends.
+SIDE = 32
+STRETCHES, DRAWN = SIDE * SIDE, 8192
 RESULT = "kind string, id long, n long, value long"
 
 
@@ -48,7 +53,7 @@ def records(docs: DataFrame, labels: DataFrame) -> DataFrame:
     key = (F.floor(h / 100) % KEYS).cast("long")
     crc = F.when(F.col("text").isNotNull(), F.crc32(F.concat_ws(":", key.cast("string"), "text").cast("binary")))
     told = docs.where("doc_id is not null").select("doc_id", stratum("source").alias("tag"), operation(h).alias("op"), key.alias("key"), crc.alias("crc"))
-    return told.join(toxic, "doc_id", "left").select("doc_id", "tag", "op", "key", F.when(F.col("_toxic").isNull(), F.col("crc")).alias("crc"))
+    return told.join(toxic.hint("merge"), "doc_id", "left").select("doc_id", "tag", "op", "key", F.when(F.col("_toxic").isNull(), F.col("crc")).alias("crc"))
 
 
 def _before(sums: DataFrame, column: str, *keys: str) -> DataFrame:
@@ -57,11 +62,23 @@ def _before(sums: DataFrame, column: str, *keys: str) -> DataFrame:
     return sums.withColumn(column, F.coalesce(F.sum(column).over(earlier), F.lit(0)))
 
 
-def numbered(log: DataFrame) -> DataFrame:
-    """The log with ``seq`` (place), ``txn`` (number in its source) and ``rank`` (of a
+def stretch(ids: DataFrame) -> Column:
+    """The number of a record's stretch, found in two steps of ``SIDE`` comparisons."""
+    one_in = max(1, ids.count() // DRAWN)
+    drawn = sorted({r.doc_id for r in ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).limit(4 * DRAWN).collect()})
+    ends = sorted({drawn[len(drawn) * i // STRETCHES] for i in range(1, STRETCHES)}) if drawn else []
+    rows = [ends[at : at + SIDE] for at in range(0, len(ends), SIDE)]
+    if not rows:
+        return F.lit(0)
+    passed = lambda held: F.size(F.filter(held, lambda end: end <= F.col("doc_id")))
+    row = F.greatest(passed(F.lit([r[0] for r in rows])) - 1, F.lit(0))
+    return row * SIDE + passed(F.get(F.array(*[F.lit(r) for r in rows]), row))
+
+
+def numbered(log: DataFrame, ids: DataFrame) -> DataFrame:
+    """The log, whose doc_ids are ``ids``, with ``seq`` (place), ``txn`` (number in its source) and ``rank`` (of a
     commit among all commits, from 1)."""
-    width = 4 * shuffle_width(log.sparkSession)
-    dealt = materialize(log.repartitionByRange(width, "doc_id").withColumn("part", F.spark_partition_id()), "log-stretches")
+    dealt = materialize(log.withColumn("part", stretch(ids)), "log-stretches")
     ends, commit = F.col("op").isin("commit", "abort").cast("long"), (F.col("op") == "commit").cast("long")
     by_source = _before(dealt.groupBy("tag", "part").agg(F.sum(ends).alias("txn_from")), "txn_from", "tag")
     whole = dealt.groupBy("part").agg(F.count("*").alias("seq_from"), F.sum(commit).alias("rank_from"))
@@ -70,7 +87,7 @@ def numbered(log: DataFrame) -> DataFrame:
     inside, own = W.partitionBy("part").orderBy(*order), W.partitionBy("part", "tag").orderBy(*order)
     placed = dealt.select("*", F.row_number().over(inside).alias("_seq"), F.sum(commit).over(inside.rowsBetween(W.unboundedPreceding, 0)).alias("_rank"))
     placed = placed.withColumn("_txn", F.coalesce(F.sum(ends).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(whole, "part").join(by_source, ["part", "tag"]).select(
+    return placed.join(whole, "part").join(by_source.hint("merge"), ["part", "tag"]).select(
         "doc_id", "tag", "op", "key", "crc", (F.col("seq_from") + F.col("_seq")).alias("seq"), (F.col("txn_from") + F.col("_txn")).alias("txn"),
         F.when(F.col("op") == "commit", F.col("rank_from") + F.col("_rank")).alias("rank"),
     )
@@ -143,9 +160,9 @@ def deltas(kept: DataFrame, epochs: int) -> DataFrame:
 def states(changed: DataFrame, epochs: int) -> DataFrame:
     """epoch, keys, crcs: running sums over all ``epochs``, in stretches of epochs."""
     spark = changed.sparkSession
-    width = min(epochs, 4 * shuffle_width(spark)) or 1
+    width = min(epochs, STRETCHES) or 1
     every = spark.range(1, epochs + 1, numPartitions=shuffle_width(spark)).withColumnRenamed("id", "epoch")
-    filled = every.join(changed, "epoch", "left").select("epoch", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("keys", "crcs")], F.expr(f"(epoch - 1) * {width} div {epochs or 1}").alias("part"))
+    filled = every.join(changed.hint("merge"), "epoch", "left").select("epoch", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("keys", "crcs")], F.expr(f"(epoch - 1) * {width} div {epochs or 1}").alias("part"))
     filled = materialize(filled, "log-epochs")
     sums = filled.groupBy("part").agg(F.sum("keys").alias("keys_from"), F.sum("crcs").alias("crcs_from"))
     offsets = _before(_before(sums, "keys_from"), "crcs_from")
@@ -156,7 +173,7 @@ def states(changed: DataFrame, epochs: int) -> DataFrame:
 
 def reassemble(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """States after each epoch and all undone changes of the log: kind, id, n, value."""
-    log = materialize(numbered(records(docs, labels)), "log-numbered")
+    log = materialize(numbered(records(docs, labels), docs.select("doc_id").where("doc_id is not null")), "log-numbered")
     n, commits = log.agg(F.count("*"), F.count("rank")).first()  # two numbers
     fates = materialize(resolved(log, n), "log-fates")
     epochs = -(-commits // EPOCH)
