@@ -1,6 +1,6 @@
-"""Lexical top-k: postings, BM25 by field, phrases with slop.
+"""BM25 by field over postings, boosted fields, top k.
 
-Tokens are made once into postings; questions meet them on the term.  A term that half of
+Questions meet the postings (``index.postings``) on the term.  A term that half of
 all texts contain is a hot key of that join, which is left to skew splitting; scores are
 summed before they are shuffled by question and text.
 """
@@ -14,19 +14,6 @@ from docloom.functions.text import tokens
 K1, B = 1.2, 0.75
 
 
-def positions(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """key, field, term, pos of every token of every field (name -> column)."""
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("ts")) for f, c in fields.items()])).alias("x")
-    return rows.select(key, cells).select(key, F.col("x.field").alias("field"), F.posexplode("x.ts").alias("pos", "term"))
-
-
-def postings(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """key, field, term, tf, dl (tokens of the field in the row)."""
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("ts")) for f, c in fields.items()])).alias("x")
-    terms = rows.select(key, cells).select(key, F.col("x.field").alias("field"), F.size("x.ts").alias("dl"), F.explode("x.ts").alias("term"))
-    return terms.groupBy(key, "field", "term", "dl").agg(F.count("*").alias("tf"))
-
-
 def bm25(questions: DataFrame, index: DataFrame, n_rows: int, key: str = "doc_id") -> DataFrame:
     """query_id, key, field, score.  ``questions``: query_id, text; ``index``: postings."""
     wanted = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
@@ -51,13 +38,3 @@ def top(scores: DataFrame, k: int, key: str = "doc_id", score: str = "score") ->
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col(score).desc(), F.col(key)))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
-
-def phrases(questions: DataFrame, placed: DataFrame, slop: int = 1, key: str = "doc_id") -> DataFrame:
-    """query_id, key, field of rows that hold the question's words in order, moved by at
-    most ``slop`` places.  ``placed``: positions."""
-    words = questions.select("query_id", tokens(F.col("text")).alias("ts")).where(F.size("ts") > 0)
-    asked = words.select("query_id", F.size("ts").alias("n"), F.posexplode("ts").alias("i", "term"))
-    met = placed.join(asked, "term").select("query_id", key, "field", "n", "i", (F.col("pos") - F.col("i")).alias("d"))
-    based = met.select("query_id", key, "field", "n", "i", F.explode(F.sequence(F.col("d") - slop, F.col("d"))).alias("base"))
-    whole = based.groupBy("query_id", key, "field", "n", "base").agg(F.count_distinct("i").alias("hit")).where("hit = n")
-    return whole.select("query_id", key, "field").distinct()

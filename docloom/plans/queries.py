@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from docloom.functions import rules, text, validate
-from docloom.operators import answers as say, chunking, filing, fusion, hits, ingest, lexical, rerank, sessions, vector
+from docloom.operators import answers as say, chunking, filing, fusion, hits, index as postings, ingest, lexical, rerank, sessions, vector
 from docloom.plans import fixtures as fx, search
-from docloom.storage import materialize
+from docloom.storage import materialize, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,23 +158,37 @@ _BM25 = f"""
     top AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s)"""
 
 
-def _bm25(t):
+def _index(t):
     docs = t("documents").select("doc_id", "text")
-    index = materialize(lexical.postings(docs, "doc_id", {"text": "text"}), "postings")
-    asked = t("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return lexical.bm25(asked, index, docs.count()).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return materialize(postings.postings(docs, "doc_id", {"text": "text"}), "postings"), docs.count()
+
+
+def _passages(t):
+    return t("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM top WHERE rank <= 10")
 def lexical_bm25_topk(t, spark):
-    return lexical.top(_bm25(t), 10)
+    return lexical.top(lexical.bm25(_passages(t), *_index(t)).select("query_id", "doc_id", F.round("score", 6).alias("score")), 10)
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM top WHERE rank <= 10")
+def lexical_pruned_topk(t, spark):
+    return postings.pruned_top(_passages(t), *_index(t), 10)[0]
+
+
+@query(f"WITH {_BM25} SELECT query_id, sum(df)::BIGINT AS postings, TRUE AS fewer FROM q JOIN f USING (term) GROUP BY query_id")
+def pruned_postings(t, spark):
+    """The postings of each passage's words, and whether the pruned top k met fewer."""
+    report = postings.pruned_top(_passages(t), *_index(t), 10)[1]
+    return report.select("query_id", "postings", (F.col("read") <= F.col("postings")).alias("fewer"))
 
 
 @query(f"""WITH {_BM25.replace('documents', '(SELECT doc_id, source AS text FROM documents UNION ALL SELECT doc_id, lang FROM documents WHERE FALSE)').replace('benchmark', "(SELECT 1 AS item_id, 'src1 src12 nothing' AS text)")}
     SELECT query_id, doc_id, round(score * 8, 6) AS score FROM s""")
 def lexical_boosted_field(t, spark):
     docs = t("documents").select("doc_id", F.col("source").alias("section"), F.lit("").alias("title"))
-    index = lexical.postings(docs, "doc_id", {"section": "section", "title": "title"})
+    index = postings.postings(docs, "doc_id", {"section": "section", "title": "title"})
     asked = spark.createDataFrame([(1, "src1 src12 nothing")], "query_id int, text string")
     boosts = search.boost_table(spark).where("intent = 'general_lookup'").select(F.lit(1).alias("query_id"), "field", "boost")
     scores = lexical.bm25(asked, index, docs.count()).withColumn("score", F.round("score", 6))
@@ -183,8 +198,33 @@ def lexical_boosted_field(t, spark):
 @query(f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS s FROM documents), q AS (SELECT item_id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS s FROM benchmark)
     SELECT item_id AS query_id, doc_id FROM q JOIN d ON contains(d.s, q.s)""")
 def phrase_match(t, spark):
-    placed = lexical.positions(t("documents"), "doc_id", {"text": "text"})
-    return lexical.phrases(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), placed, 0).select("query_id", "doc_id")
+    return postings.phrases(_passages(t), _index(t)[0], 0).select("query_id", "doc_id")
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM (SELECT doc_id, {_TOKENS.format('text')} AS ts FROM documents)),
+    q AS (SELECT item_id AS query_id, len(ts) AS n, unnest(ts) AS term, generate_subscripts(ts, 1) AS i FROM (SELECT item_id, {_TOKENS.format('text')} AS ts FROM benchmark)),
+    m AS (SELECT query_id, doc_id, n, i, unnest([pos - i - 1, pos - i]) AS base FROM q JOIN d USING (term))
+    SELECT DISTINCT query_id, doc_id FROM m GROUP BY query_id, doc_id, n, base HAVING count(DISTINCT i) = n""")
+def phrase_match_slop(t, spark):
+    return postings.phrases(_passages(t), _index(t)[0], 1).select("query_id", "doc_id")
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'new words for ' || coalesce(lang, '') || ' ' || coalesce(source, '') ELSE text END AS text FROM documents WHERE doc_id % 70 <> 3),
+    w AS (SELECT doc_id, coalesce({_TOKENS.format('text')}, []) AS ts FROM d)
+    SELECT 'term' AS kind, term AS name, count(DISTINCT doc_id) AS n, count(*) AS total FROM (SELECT doc_id, unnest(ts) AS term FROM w) GROUP BY term
+    UNION ALL SELECT 'length', 'text', count(*), sum(len(ts))::BIGINT FROM w""")
+def index_upkeep(t, spark):
+    """An index of which a seventh of the documents is replaced and some are removed."""
+    docs = t("documents").select("doc_id", "text", "lang", "source")
+    path = f"{scratch_dir(spark)}/docloom-index-{uuid.uuid4().hex}"
+    postings.build(docs, path, "doc_id", {"text": "text"})
+    fresh = F.concat(F.lit("new words for "), F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce("source", F.lit("")))
+    gone = F.col("doc_id") % 70 == 3
+    postings.replace(docs.where(~gone & (F.col("doc_id") % 7 == 0)).withColumn("text", fresh), path, "doc_id", {"text": "text"}, docs.where(gone))
+    held = postings.read(spark, path)
+    totals = held["postings"].groupBy("term").agg(F.sum("tf").alias("total"))
+    terms = held["terms"].join(totals, "term").select(F.lit("term").alias("kind"), F.col("term").alias("name"), F.col("df").alias("n"), "total")
+    return terms.unionByName(held["lengths"].groupBy(F.lit("length").alias("kind"), F.col("field").alias("name")).agg(F.count("*").alias("n"), F.sum("dl").alias("total")))
 
 
 _COSINE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -214,7 +254,7 @@ _FUSED = f"""{_BM25},
 
 
 def _fused(t, spark):
-    words = lexical.top(_bm25(t), 12)
+    words = postings.pruned_top(_passages(t), *_index(t), 12)[0]
     e = t("embeddings")
     near = vector.cosine_top(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 12)
     near = near.select("query_id", F.col("vec_id").alias("doc_id"), ((1 + F.col("score")) / 2).alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docloom.functions import rules
 from docloom.functions.text import fold, token_set
-from docloom.operators import answers as say, fusion, hits, lexical, rerank, vector
+from docloom.operators import answers as say, fusion, hits, index as postings, lexical, rerank, vector
 from docloom.storage import materialize
 
 #: Field boosts for all questions, and where an intent differs.
@@ -62,13 +62,12 @@ def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, chunk_id, score, rank: the 3k best by words, phrases and exact fields."""
     fields = {f: f for f in BOOSTS}
     n = chunks.count()
-    index = materialize(lexical.postings(chunks, "chunk_id", fields), "postings")
+    index = materialize(postings.postings(chunks, "chunk_id", fields), "postings")
     spark = chunks.sparkSession
     per_query = lambda phrase: questions.join(F.broadcast(boost_table(spark, phrase)), questions["search_intent"] == F.col("intent")).select("query_id", "field", "boost")
     words = lexical.best_fields(lexical.bm25(questions.select("query_id", "text"), index, n, "chunk_id"), per_query(False), "chunk_id")
-    places = lexical.positions(chunks, "chunk_id", fields)
-    hits = lexical.phrases(questions.select("query_id", F.col("question").alias("text")), places, 1, "chunk_id")
-    phrase = hits.join(per_query(True), ["query_id", "field"]).groupBy("query_id", "chunk_id").agg(F.max("boost").alias("score"))
+    found = postings.phrases(questions.select("query_id", F.col("question").alias("text")), index, 1, "chunk_id")
+    phrase = found.join(per_query(True), ["query_id", "field"]).groupBy("query_id", "chunk_id").agg(F.max("boost").alias("score"))
     scores = words.unionByName(phrase).unionByName(exact_boosts(questions, chunks)).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
     most = scores.join(questions.select("query_id", "top_k"), "query_id")
     return lexical.top(most, CANDIDATES * _widest(questions), "chunk_id").where(F.col("rank") <= CANDIDATES * F.col("top_k")).select("query_id", "chunk_id", "score", "rank")
