@@ -29,35 +29,45 @@ SLACK = 1e-5
 _WORD = re.compile("[a-z0-9]+")
 
 
-def postings(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """key, field, term, tf, dl (words of the field in the row), pos (its places).
+def postings(rows: DataFrame, key: str, fields: dict[str, str], only: DataFrame | None = None, places: bool = True) -> DataFrame:
+    """key, field, term, tf, dl (words of the field in the row), pos (its places, or none
+    if ``places`` aren't wanted).
 
-    ``fields``: name -> column.  Null texts have no words.  Words are counted in Python, a
-    dictionary for each text: sorting or shuffling the words takes five times as long.
+    ``fields``: name -> column.  Null texts have no words.  ``only``: terms besides which
+    nothing is wanted.  Words are counted in Python, a dictionary for each text: exploding,
+    shuffling and collecting them takes longer, and so do nested functions over arrays.
     """
     kind = dict(rows.dtypes)[key]
-    names = list(fields)
+    names, wanted = list(fields), None
+    if only is not None:
+        only = only.select("term").distinct()
+        some = [r.term for r in only.limit(BROADCAST_ROWS // 10 + 1).collect()]
+        if len(some) > BROADCAST_ROWS // 10:  # too many to send to every task
+            return postings(rows, key, fields, None, places).join(only, "term", "left_semi")
+        wanted = rows.sparkSession.sparkContext.broadcast(frozenset(some))
 
     def count(batches):
         for batch in batches:
-            keys, cells, terms, tf, dl, places = [], [], [], [], [], []
+            keys, cells, terms, tf, dl, spots = [], [], [], [], [], []
             for i, name in enumerate(names):
                 for at, text in enumerate(batch.column(i + 1).to_pylist()):
                     words = _WORD.findall(text) if text else ()
                     found: dict[str, list[int]] = {}
+                    kept = wanted.value if wanted else None
                     for pos, word in enumerate(words):
-                        found.setdefault(word, []).append(pos)
+                        if kept is None or word in kept:
+                            found.setdefault(word, []).append(pos)
                     keys += [at] * len(found)
                     cells += [name] * len(found)
                     terms += found
                     tf += map(len, found.values())
                     dl += [len(words)] * len(found)
-                    for of_word in found.values():
-                        places += of_word
-            ends = pa.array(np.concatenate([[0], np.cumsum(tf, dtype=np.int64)]).astype(np.int32))
+                    for of_word in found.values() if places else ():
+                        spots += of_word
+            ends = pa.array(np.concatenate([[0], np.cumsum(tf if places else np.zeros(len(tf)), dtype=np.int64)]).astype(np.int32))
             for part in pa.Table.from_arrays([
                 batch.column(0).take(pa.array(keys, pa.int32())), pa.array(cells, pa.string()), pa.array(terms, pa.string()), pa.array(tf, pa.int32()),
-                pa.array(dl, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(places, pa.int32())),
+                pa.array(dl, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(spots, pa.int32())),
             ], [key, "field", "term", "tf", "dl", "pos"]).to_batches(max_chunksize=65_536):
                 yield part
 
@@ -72,6 +82,12 @@ def _limited(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return df.join(F.broadcast(held) if held.count() <= BROADCAST_ROWS else held, on, "left_semi")
 
 
+def mean_lengths(rows: DataFrame, fields: dict[str, str]) -> dict[str, float]:
+    """field -> words of a row on average."""
+    sums = rows.agg(*[F.avg(F.regexp_count(F.coalesce(fold(F.col(c)), F.lit("")), F.lit("[a-z0-9]+"))).alias(f) for f, c in fields.items()]).first()
+    return {f: sums[f] or 0.0 for f in fields}
+
+
 def _impact(tf: Column, dl: Column, mean: float) -> Column:
     return (K1 + 1) * tf / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
 
@@ -84,7 +100,7 @@ def _best(scores: DataFrame, k: int, key: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), key))).where(F.col("rank") <= k)
 
 
-def pruned_top(questions: DataFrame, index: DataFrame, n_rows: int, k: int, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def pruned_top(questions: DataFrame, index: DataFrame, n_rows: int, k: int, key: str = "doc_id", mean: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(top, report): the ``k`` best rows of each question by BM25 over one field's
     postings, and what was read for them.  ``questions``: query_id, text.
 
@@ -98,8 +114,9 @@ def pruned_top(questions: DataFrame, index: DataFrame, n_rows: int, k: int, key:
     report: query_id, postings (all of the question's words), read (met), rows (brought
     in), kept.
     """
-    length = index.agg(F.sum("tf")).first()[0] or 0
-    mean = max(length / max(n_rows, 1), 1e-9)
+    if mean is None:  # of an index of all words
+        mean = (index.agg(F.sum("tf")).first()[0] or 0) / max(n_rows, 1)
+    mean = max(mean, 1e-9)
     wanted = _asked(questions)
     blocks = max(1, n_rows // (8 * BLOCK_ROWS))
     block = (F.floor(F.log2(F.col("dl"))) * blocks + F.pmod(F.xxhash64(key), F.lit(blocks))).cast("int")

@@ -14,11 +14,14 @@ from docloom.functions.text import tokens
 K1, B = 1.2, 0.75
 
 
-def bm25(questions: DataFrame, index: DataFrame, n_rows: int, key: str = "doc_id") -> DataFrame:
-    """query_id, key, field, score.  ``questions``: query_id, text; ``index``: postings."""
+def bm25(questions: DataFrame, index: DataFrame, n_rows: int, key: str = "doc_id", means: dict[str, float] | None = None) -> DataFrame:
+    """query_id, key, field, score.  ``questions``: query_id, text; ``index``: postings;
+    ``means``: mean lengths by field, for an index that holds only the questions' words."""
     wanted = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     # a row's tf add up to its dl, so mean lengths are sums by field; only terms asked for are counted
     lengths = index.groupBy("field").agg((F.sum("tf") / n_rows).alias("mean"))
+    if means is not None:
+        lengths = index.sparkSession.createDataFrame(list(means.items()), "field string, mean double")
     asked = index.join(wanted.select("term").distinct(), "term", "left_semi")
     df = asked.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_rows - F.col("df") + 0.5) / (F.col("df") + 0.5))

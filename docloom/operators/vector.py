@@ -12,6 +12,44 @@ from docloom.storage import shuffle_width
 BLOCK, SHARD = 1024, 8192
 
 
+def _padded(vectors, size: int) -> np.ndarray:
+    return np.stack([np.pad(x, (0, size - len(x))) for x in vectors])
+
+
+def chosen(scores: np.ndarray, k: int) -> np.ndarray:
+    """Which of each row's scores are among its k best, ties to the left."""
+    if scores.shape[1] <= k:
+        return np.isfinite(scores)
+    kth = np.partition(scores, -k, axis=1)[:, -k][:, None]
+    above, tied = scores > kth, scores == kth
+    return np.isfinite(scores) & (above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True))))
+
+
+def tile_of(k: int, scoped: bool):
+    """The k best rows of a tile for each of its questions."""
+
+    def tile(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(asked) and len(held):
+            held = held.sort_values("row_id")
+            ids, size = held["row_id"].to_numpy(), max(max(map(len, asked["q"])), max(map(len, held["v"])))
+            rows = _padded(held["v"], size)
+            lengths = np.linalg.norm(rows, axis=1)[None]
+            for at in range(0, len(asked), 128):  # a strip of the tile at a time
+                some = asked.iloc[at : at + 128]
+                questions = _padded(some["q"], size)
+                norms = np.linalg.norm(questions, axis=1)[:, None] * lengths
+                scores = np.round(np.divide(questions @ rows.T, norms, out=np.zeros_like(norms), where=norms > 0), 9)
+                if scoped:
+                    own = some["q_scope"].to_numpy()[:, None] == held["scope"].to_numpy()[None]
+                    scores = np.where(some["q_scope"].isna().to_numpy()[:, None] | own, scores, -np.inf)
+                line, column = np.nonzero(chosen(scores, k))
+                parts.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[line], "row_id": ids[column], "score": scores[line, column]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "row_id": [], "score": []})
+
+    return tile
+
+
 def cosine_top(questions: DataFrame, rows: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """query_id, key, score, rank.  Both sides: an id and ``embedding``; an optional
     ``scope`` column on both restricts a question to rows of its scope before the top k
@@ -29,25 +67,7 @@ def cosine_top(questions: DataFrame, rows: DataFrame, k: int, key: str = "vec_id
     left = q.withColumn("block", F.pmod(F.hash("query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = r.withColumn("shard", F.pmod(F.hash("row_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def tile(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "row_id": [], "score": []}
-        if len(asked) and len(held):
-            held = held.sort_values("row_id")
-            size = max(max(map(len, asked["q"])), max(map(len, held["v"])))
-            a, b = (np.stack([np.pad(x, (0, size - len(x))) for x in col]) for col in (asked["q"], held["v"]))
-            norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None]
-            scores = np.round(np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0), 9)
-            if scoped:
-                own = asked["q_scope"].to_numpy()[:, None] == held["scope"].to_numpy()[None]
-                scores = np.where(asked["q_scope"].isna().to_numpy()[:, None] | own, scores, -np.inf)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            for query, at, line in zip(asked["query_id"], best, scores, strict=True):
-                at = at[np.isfinite(line[at])]
-                out["query_id"] += [query] * len(at)
-                out["row_id"] += held["row_id"].to_numpy()[at].tolist()
-                out["score"] += line[at].tolist()
-        return pd.DataFrame(out)
-
+    tile = tile_of(k, scoped)
     tiles = left.repartition(width, "block", "shard").groupBy("block", "shard").cogroup(right.repartition(width, "block", "shard").groupBy("block", "shard")).applyInPandas(tile, "query_id long, row_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "row_id"))
     return tiles.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("row_id").alias(key), "score", "rank")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from docloom.functions import rules, text, validate
-from docloom.operators import answers as say, chunking, filing, fusion, hits, index as postings, ingest, lexical, rerank, sessions, vector
+from docloom.operators import ann, answers as say, chunking, filing, fusion, hits, index as postings, ingest, lexical, rerank, sessions, vector
 from docloom.plans import fixtures as fx, search
 from docloom.storage import materialize, scratch_dir
 
@@ -159,8 +159,20 @@ _BM25 = f"""
 
 
 def _index(t):
+    """The whole index with all places."""
+    return materialize(postings.postings(t("documents").select("doc_id", "text"), "doc_id", {"text": "text"}), "postings")
+
+
+def _asked_words(t):
+    """Counts of the passages' words in all documents, how many documents, mean length."""
     docs = t("documents").select("doc_id", "text")
-    return materialize(postings.postings(docs, "doc_id", {"text": "text"}), "postings"), docs.count()
+    words = _passages(t).select(F.explode(text.token_set(F.col("text"))).alias("term"))
+    return materialize(postings.postings(docs, "doc_id", {"text": "text"}, words, False), "postings"), docs.count(), postings.mean_lengths(docs, {"text": "text"})
+
+
+def _pruned(t, k):
+    index, n, means = _asked_words(t)
+    return postings.pruned_top(_passages(t), index, n, k, mean=means["text"])
 
 
 def _passages(t):
@@ -169,18 +181,19 @@ def _passages(t):
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM top WHERE rank <= 10")
 def lexical_bm25_topk(t, spark):
-    return lexical.top(lexical.bm25(_passages(t), *_index(t)).select("query_id", "doc_id", F.round("score", 6).alias("score")), 10)
+    index, n, means = _asked_words(t)
+    return lexical.top(lexical.bm25(_passages(t), index, n, means=means).select("query_id", "doc_id", F.round("score", 6).alias("score")), 10)
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM top WHERE rank <= 10")
 def lexical_pruned_topk(t, spark):
-    return postings.pruned_top(_passages(t), *_index(t), 10)[0]
+    return _pruned(t, 10)[0]
 
 
 @query(f"WITH {_BM25} SELECT query_id, sum(df)::BIGINT AS postings, TRUE AS fewer FROM q JOIN f USING (term) GROUP BY query_id")
 def pruned_postings(t, spark):
     """The postings of each passage's words, and whether the pruned top k met fewer."""
-    report = postings.pruned_top(_passages(t), *_index(t), 10)[1]
+    report = _pruned(t, 10)[1]
     return report.select("query_id", "postings", (F.col("read") <= F.col("postings")).alias("fewer"))
 
 
@@ -198,7 +211,7 @@ def lexical_boosted_field(t, spark):
 @query(f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS s FROM documents), q AS (SELECT item_id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS s FROM benchmark)
     SELECT item_id AS query_id, doc_id FROM q JOIN d ON contains(d.s, q.s)""")
 def phrase_match(t, spark):
-    return postings.phrases(_passages(t), _index(t)[0], 0).select("query_id", "doc_id")
+    return postings.phrases(_passages(t), _index(t), 0).select("query_id", "doc_id")
 
 
 @query(f"""WITH d AS (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM (SELECT doc_id, {_TOKENS.format('text')} AS ts FROM documents)),
@@ -206,7 +219,7 @@ def phrase_match(t, spark):
     m AS (SELECT query_id, doc_id, n, i, unnest([pos - i - 1, pos - i]) AS base FROM q JOIN d USING (term))
     SELECT DISTINCT query_id, doc_id FROM m GROUP BY query_id, doc_id, n, base HAVING count(DISTINCT i) = n""")
 def phrase_match_slop(t, spark):
-    return postings.phrases(_passages(t), _index(t)[0], 1).select("query_id", "doc_id")
+    return postings.phrases(_passages(t), _index(t), 1).select("query_id", "doc_id")
 
 
 @query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'new words for ' || coalesce(lang, '') || ' ' || coalesce(source, '') ELSE text END AS text FROM documents WHERE doc_id % 70 <> 3),
@@ -243,6 +256,23 @@ def vector_prefiltered_topk(t, spark):
     return vector.cosine_top(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "scope"), e, 12).withColumn("score", F.round("score", 6))
 
 
+def _near(t, recall):
+    e = t("embeddings")
+    cells = ann.build(e)
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return ann.top(asked, cells, 12, ann.probes_for(cells, recall, 12) if recall < 1 else None).withColumn("score", F.round("score", 6))
+
+
+@query()
+def vector_ann_topk(t, spark):
+    return _near(t, 0.95)
+
+
+@query(f"WITH {_COSINE} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY fine DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 12")
+def vector_ann_all_cells(t, spark):
+    return _near(t, 1)
+
+
 _FUSED = f"""{_BM25},
     l AS (SELECT query_id, doc_id, score FROM top WHERE rank <= 12),
     e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -254,7 +284,7 @@ _FUSED = f"""{_BM25},
 
 
 def _fused(t, spark):
-    words = postings.pruned_top(_passages(t), *_index(t), 12)[0]
+    words = _pruned(t, 12)[0]
     e = t("embeddings")
     near = vector.cosine_top(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 12)
     near = near.select("query_id", F.col("vec_id").alias("doc_id"), ((1 + F.col("score")) / 2).alias("score"))
