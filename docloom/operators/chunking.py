@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from itertools import pairwise
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docloom.functions.text import content_id
@@ -11,23 +14,43 @@ from docloom.functions.text import content_id
 MAX_CHARS, MAX_PARAGRAPHS = 800, 3
 
 
+def breaks(lengths: np.ndarray, joiner: int, most: int, many: int | None) -> list[int]:
+    """Where chunks begin: from prefix sums each part knows where a chunk that begins with
+    it ends, and the chunks are the pointers followed from the first part."""
+    if not len(lengths):
+        return []
+    begins = np.concatenate([[0], np.cumsum(lengths + joiner)])[:-1]
+    following = np.searchsorted(begins + lengths, begins + most, side="right")
+    places = np.arange(len(lengths))
+    following = np.maximum(following, places + 1)
+    if many:
+        following = np.minimum(following, places + many)
+    out, at, pointers = [], 0, following.tolist()
+    while at < len(pointers):
+        out.append(at)
+        at = pointers[at]
+    return out
+
+
 def packed(parts: Column, joiner: str, most: int = MAX_CHARS, many: int | None = None) -> Column:
-    """Fold an array of texts into chunks: a part joins the open chunk if it still fits.
+    """Pack an array of texts greedily into chunks: a part joins the open chunk if it fits.
 
-    A part longer than ``most`` is a chunk by itself; parts are never cut.
+    A part longer than ``most`` is a chunk by itself; parts are never cut.  The time is in
+    proportion to the number of parts.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
 
-    def add(state: Column, part: Column) -> Column:
-        full = F.length(state["open"]) + len(joiner) + F.length(part) > most
-        if many:
-            full = full | (state["n"] >= many)
-        joined = F.struct(state["done"].alias("done"), F.concat(state["open"], F.lit(joiner), part).alias("open"), (state["n"] + 1).alias("n"))
-        opened = F.struct(F.concat(state["done"], F.array(state["open"])).alias("done"), part.alias("open"), F.lit(1).alias("n"))
-        first = F.struct(state["done"].alias("done"), part.alias("open"), F.lit(1).alias("n"))
-        return F.when(state["open"].isNull(), first).when(full, opened).otherwise(joined)
+    @F.pandas_udf("array<string>")
+    def pack(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            if row is not None:
+                held = list(row)
+                starts = breaks(np.fromiter(map(len, held), np.int64, len(held)), len(joiner), most, many)
+                row = [joiner.join(held[a:b]) for a, b in pairwise([*starts, len(held)])]
+            out.append(row)
+        return pd.Series(out)
 
-    return F.aggregate(parts, start, add, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    return pack(parts)
 
 
 def paragraphs(text: Column) -> Column:
@@ -67,17 +90,34 @@ UNIQUE = (
     ("profile_row", None, ("entity_name",)),
     ("profile_bio", None, ("entity_name",)),
 )
+NOISE = "Overview: index noise"
+
+
+def is_index_noise(content: Column) -> Column:
+    """Whether a text is a table of contents or an index."""
+    up = F.upper(content)
+    return F.contains(up, F.lit("TABLE OF CONTENTS")) | (F.contains(up, F.lit("INDEX")) & F.contains(up, F.lit("ITEM 1.")) & F.contains(up, F.lit("PART I")))
 
 
 def violations(rows: DataFrame) -> DataFrame:
-    """constraint, key, n of every broken uniqueness constraint."""
-    found = []
+    """constraint, key, n of every broken constraint: values that must be unique, and
+    overviews that are a table of contents.
+
+    Each row says once which constraints it falls under and with what key; all are counted
+    together, in one scan and one shuffle of counts.
+    """
+    cells = []
     for kind, section, keys in UNIQUE:
         if set(keys) <= set(rows.columns):
-            own = rows if kind is None else rows.where(F.col("content_type") == kind)
-            own = own if section is None else own.where(F.col("section") == section)
-            found.append(own.groupBy(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("key")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(f"{kind or 'any'}: {', '.join(keys)}").alias("constraint"), "key", "n"))
-    return reduce(DataFrame.unionByName, found)
+            under = F.lit(True) if kind is None else F.col("content_type") == kind
+            under = under if section is None else under & (F.col("section") == section)
+            key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+            cells.append(F.when(under, F.struct(F.lit(f"{kind or 'any'}: {', '.join(keys)}").alias("constraint"), key.alias("key"), F.lit(2).alias("least"))))
+    if {"section", "content"} <= set(rows.columns):
+        noise = (F.col("section") == "Overview") & is_index_noise(F.col("content"))
+        cells.append(F.when(noise, F.struct(F.lit(NOISE).alias("constraint"), F.col("content").alias("key"), F.lit(1).alias("least"))))
+    said = rows.select(F.inline(F.array_compact(F.array(*cells))))
+    return said.groupBy("constraint", "key", "least").agg(F.count("*").alias("n")).where("n >= least").drop("least")
 
 
 def last_messages(messages: DataFrame, key: str, order: list, keep: int = 10) -> DataFrame:
@@ -86,17 +126,32 @@ def last_messages(messages: DataFrame, key: str, order: list, keep: int = 10) ->
     return messages.withColumn("from_last", rank).where(F.col("from_last") <= keep)
 
 
+_TOKEN, _END = re.compile(r"\S+\s*|\s+", re.ASCII), re.compile(r"(?:[.!?;:]\s*|\n+)\Z", re.ASCII)
+
+
+def cut(text: str, least: int, most: int) -> list[str]:
+    """One text's deltas; only the last token and the one before it decide on an end."""
+    tokens = (t[at : at + most] for t in _TOKEN.findall(text) for at in range(0, len(t), most))
+    out, open_, size = [], [], 0
+    for token in tokens:
+        if open_ and size + len(token) > most:
+            out.append("".join(open_))
+            open_, size = [], 0
+        open_.append(token)
+        size += len(token)
+        if size >= least and _END.search("".join(open_[-2:])) and len("".join(open_).strip(" ")) >= least:
+            out.append("".join(open_))
+            open_, size = [], 0
+    return [*out, "".join(open_)] if open_ else out
+
+
 def deltas(text: Column, least: int = 12, most: int = 40) -> Column:
     """Cut a text for streaming: pieces of at most ``most`` characters, ended early at
-    sentence marks once they have ``least``; joined they give the text back."""
-    small = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"(\S+\s*|\s+)"), F.lit(1)), lambda t: F.when(F.length(t) <= most, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(rf"([\s\S]{{1,{most}}})"), F.lit(1)))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(state: Column, token: Column) -> Column:
-        over = (state["open"] != "") & (F.length(state["open"]) + F.length(token) > most)
-        done = F.when(over, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
-        now = F.when(over, token).otherwise(F.concat(state["open"], token))
-        ends = (F.length(F.trim(now)) >= least) & now.rlike(r"([.!?;:]\s*|\n+)\z")
-        return F.struct(F.when(ends, F.concat(done, F.array(now))).otherwise(done).alias("done"), F.when(ends, F.lit("")).otherwise(now).alias("open"))
-
-    return F.aggregate(small, start, add, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    sentence marks once they have ``least``; joined they give the text back.  The time is
+    in proportion to the text."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut(t, least, most) for t in texts])
+
+    return pieces(text)

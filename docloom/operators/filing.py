@@ -267,6 +267,31 @@ def risk_sections(blocks: DataFrame) -> DataFrame:
     return rows.select("doc_id", "block_id", "part", "item", "page_start", "page_end", F.col("s.h").alias("subsection"), F.array_join(F.concat(F.array("s.h"), "s.ls"), "\n").alias("content"), F.lit("narrative").alias("content_type"))
 
 
+def full_text_sections(blocks: DataFrame) -> DataFrame:
+    """Risk factors whose heading runs on inside a line: doc_id, block_id, subsection,
+    content, as ``risk_sections`` has them.
+
+    One scan with a look-ahead over the block's joined text: a section is a title, the
+    start of a sentence, and what follows up to the next title with one.  The first
+    section of each title counts.
+    """
+    text = collapse(F.regexp_replace(F.array_join("lines", " "), r"(?<=[a-z)])(?=[A-Z])", " "))
+    start = rf"(?:{RISK_TITLE})\s+{RISK_BODY}"
+    one = rf"({RISK_TITLE})\s+({RISK_BODY}.*)"
+    found = F.regexp_extract_all(text, F.lit(rf"({start}.*?)(?={start}|$)"), F.lit(1))
+    rows = blocks.where(F.col("item") == rules.ITEM_1A).select("doc_id", "block_id", "part", "item", "page_start", "page_end", F.posexplode(found).alias("_at", "_s"))
+    rows = rows.withColumns({"subsection": collapse(F.regexp_extract("_s", one, 1)), "_body": collapse(F.regexp_extract("_s", one, 2))}).where("subsection <> '' and _body <> ''")
+    first = rows.groupBy("doc_id", "block_id", "part", "item", "page_start", "page_end", "subsection").agg(F.min_by("_body", "_at").alias("_body"))
+    return first.select("doc_id", "block_id", "part", "item", "page_start", "page_end", "subsection", F.concat_ws("\n", "subsection", "_body").alias("content"), F.lit("narrative").alias("content_type"))
+
+
+def all_risk_sections(blocks: DataFrame) -> DataFrame:
+    """The sections of the line fold, and of the full text those whose heading it missed."""
+    by_line = risk_sections(blocks)
+    missed = full_text_sections(blocks).join(by_line.select("doc_id", "block_id", "subsection"), ["doc_id", "block_id", "subsection"], "left_anti")
+    return by_line.unionByName(missed)
+
+
 def profiles(blocks: DataFrame, roster: list[str]) -> DataFrame:
     """Officers: a profile row (name, age, role) and a biography for each name of a roster."""
     text = collapse(F.array_join("lines", " "))
@@ -312,7 +337,7 @@ def filing_chunks(pages: DataFrame, roster: list[str] | None = None) -> DataFram
     five, statements = five_year_rows(blocks), unpivot_rows(lines.where(F.col("item") == rules.ITEM_8))
     block_of = lambda rows: rows.select("doc_id", "part", "item", "table_name").distinct().withColumns({"content_type": F.lit("table_block"), "content": F.col("table_name")})
     out = None
-    for rows in (prose.drop("lines", "label", "block_id"), facts(plain).drop("lines", "label", "block_id"), front, risk_sections(blocks).drop("block_id"), five.drop("block_id").withColumnsRenamed({"page_no": "page_start"}),
+    for rows in (prose.drop("lines", "label", "block_id"), facts(plain).drop("lines", "label", "block_id"), front, all_risk_sections(blocks).drop("block_id"), five.drop("block_id").withColumnsRenamed({"page_no": "page_start"}),
                  statements.drop("block_id").withColumnsRenamed({"page_no": "page_start"}), block_of(five), block_of(statements), profiles(blocks, roster).drop("block_id") if roster else None):
         if rows is not None:
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)

@@ -188,6 +188,23 @@ def phrases(questions: DataFrame, index: DataFrame, slop: int = 1, key: str = "d
     return met.where(F.size(common) > 0).select("query_id", key, "field")
 
 
+def containing(sets: DataFrame, index: DataFrame, key: str = "doc_id") -> DataFrame:
+    """set_id, key of rows that hold all words of a set, in any order and field.
+
+    ``sets``: set_id, text; ``index``: postings.  A set meets the rows of its rarest word,
+    and only those rows' postings of its other words; a set without words meets nothing.
+    """
+    words = sets.select("set_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    mine = materialize(_limited(index.select(key, "term"), words, ["term"]).distinct(), "set-words")
+    counted = words.join(mine.groupBy("term").agg(F.count("*").alias("df")), "term", "left")
+    rarest = counted.groupBy("set_id").agg(F.count("*").alias("n"), F.count("df").alias("found"), F.min(F.struct("df", "term")).alias("r")).where("found = n")
+    led = materialize(rarest.select("set_id", "n", F.col("r.term").alias("term")).join(mine, "term").withColumnRenamed("term", "_rare"), "set-rows")
+    others = led.join(words, "set_id").where("term <> _rare").select("set_id", key, "term")
+    near = _limited(mine, led, [key])
+    more = others.join(near, [key, "term"]).groupBy("set_id", key).agg(F.count("*").alias("more"))
+    return led.join(more, ["set_id", key], "left").where(F.coalesce("more", F.lit(0)) == F.col("n") - 1).select("set_id", key)
+
+
 # --- stored ---------------------------------------------------------------------------
 
 

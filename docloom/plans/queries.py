@@ -133,9 +133,24 @@ def replace_by_doc(t, spark):
     return chunking.replace_documents(docs.select("doc_id", "text"), docs.where("doc_id % 7 = 0").select("doc_id", F.upper("lang").alias("text")))
 
 
-@query("SELECT 'fact: section, subsection, subsubsection, content' AS \"constraint\", coalesce(source, '') || '|' || coalesce(lang, '') || '||' || coalesce(text, '') AS key, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
-def validate_uniqueness(t, spark):
-    rows = t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("section"), F.col("lang").alias("subsection"), F.lit(None).cast("string").alias("subsubsection"), F.col("text").alias("content"), F.lit("fact").alias("content_type"))
+_ITEM_6, _ITEM_8 = chunking.UNIQUE[1][1], chunking.UNIQUE[3][1]
+_CHUNK_ROWS = f"""r AS (SELECT doc_id % 150 AS chunk_id, ['table_block', 'table_row', 'fact', 'profile_row', 'profile_bio'][doc_id % 5 + 1] AS content_type,
+    ['{_ITEM_6}', '{_ITEM_8}', 'Overview'][doc_id % 3 + 1] AS section, lang AS subsection, source AS metric, (doc_id % 4)::VARCHAR AS year,
+    CASE WHEN doc_id % 50 = 2 THEN 'Table of Contents ' || doc_id % 10 WHEN doc_id % 50 = 5 THEN 'index Item 1. part I' ELSE text END AS content FROM documents)"""
+_BROKEN = " UNION ALL ".join(
+    f"SELECT '{kind or 'any'}: {', '.join(keys)}' AS \"constraint\", " + " || '|' || ".join({"subsubsection": "''", "table_name": "coalesce(subsection, '')", "entity_name": "coalesce(metric, '')", "chunk_id": "chunk_id::VARCHAR"}.get(k, f"coalesce({k}, '')") for k in keys)
+    + " AS key, count(*) AS n FROM r WHERE TRUE" + (f" AND content_type = '{kind}'" if kind else "") + (f" AND section = '{section}'" if section else "") + " GROUP BY 1, 2 HAVING count(*) > 1"
+    for kind, section, keys in chunking.UNIQUE)
+
+
+@query(f"WITH {_CHUNK_ROWS} {_BROKEN} UNION ALL SELECT '{chunking.NOISE}', content, count(*) FROM r WHERE section = 'Overview' AND (contains(upper(content), 'TABLE OF CONTENTS') OR contains(upper(content), 'INDEX') AND contains(upper(content), 'ITEM 1.') AND contains(upper(content), 'PART I')) GROUP BY content")
+def validate_constraints(t, spark):
+    """All nine constraints over documents put into the columns of chunks."""
+    by = lambda n, *values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % n).cast("int"))
+    content = F.when(F.col("doc_id") % 50 == 2, F.concat(F.lit("Table of Contents "), (F.col("doc_id") % 10).cast("string"))).when(F.col("doc_id") % 50 == 5, "index Item 1. part I").otherwise(F.col("text"))
+    rows = t("documents").select(
+        (F.col("doc_id") % 150).alias("chunk_id"), by(5, "table_block", "table_row", "fact", "profile_row", "profile_bio").alias("content_type"), by(3, _ITEM_6, _ITEM_8, "Overview").alias("section"), F.col("lang").alias("subsection"),
+        F.lit(None).cast("string").alias("subsubsection"), F.col("lang").alias("table_name"), F.col("source").alias("metric"), F.col("source").alias("entity_name"), (F.col("doc_id") % 4).cast("string").alias("year"), content.alias("content"))
     return chunking.violations(rows)
 
 
@@ -240,6 +255,12 @@ def index_upkeep(t, spark):
     return terms.unionByName(held["lengths"].groupBy(F.lit("length").alias("kind"), F.col("field").alias("name")).agg(F.count("*").alias("n"), F.sum("dl").alias("total")))
 
 
+@query(f"SELECT item_id AS set_id, doc_id FROM (SELECT item_id, list_distinct({_TOKENS.format('text')}) AS q FROM benchmark) JOIN (SELECT doc_id, {_TOKENS.format('text')} AS ts FROM documents) ON len(q) > 0 AND list_has_all(ts, q)")
+def passage_containment(t, spark):
+    """Documents that hold all words of a passage, in any order."""
+    return postings.containing(_passages(t).withColumnRenamed("query_id", "set_id"), _asked_words(t)[0])
+
+
 _COSINE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
     s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 9) AS fine, round(fine, 6) AS score, q.label = c.label AS same FROM v q, v c WHERE q.vec_id % 20 = 0)"""
 
@@ -457,6 +478,22 @@ def order_lookup_failed(t, spark):
     return said.where("tool_result is not null").select("session_id", "turn", "answer", "tool_result")
 
 
+_RUN_ON = r"trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_RUN_ON} AS w, upper(left(coalesce(source, 'none'), 1)) || substr(coalesce(source, 'none'), 2) AS s, upper(left(coalesce(lang, 'none'), 1)) || substr(coalesce(lang, 'none'), 2) AS l FROM documents)
+    SELECT doc_id, 'We Face ' || s || ' Competition' AS subsection, 'We Face ' || s || ' Competition' || chr(10) || trim('Our words are ' || w) || '. and then' AS content FROM d
+    UNION ALL SELECT doc_id, 'Risks Related to ' || l, 'Risks Related to ' || l || chr(10) || trim('This is told ' || w) || '.' FROM d""")
+def run_on_headings(t, spark):
+    """Headings inside lines, found by the full text of a block that holds the document."""
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " "))
+    title = lambda c: F.concat(F.upper(F.substring(F.coalesce(c, F.lit("none")), 1, 1)), F.expr(f"substring(coalesce({c}, 'none'), 2)"))
+    lines = F.array(F.concat(words, F.lit(".")), F.concat(F.lit("more words We Face "), title("source"), F.lit(" Competition "), F.trim(F.concat(F.lit("Our words are "), words)), F.lit(".")),
+                    F.concat(F.lit("and then Risks Related to "), title("lang"), F.lit(" "), F.trim(F.concat(F.lit("This is told "), words)), F.lit(".")))
+    blocks = t("documents").select("doc_id", F.lit(0).alias("block_id"), F.lit("PART I").alias("part"), F.lit(rules.ITEM_1A).alias("item"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), lines.alias("lines"))
+    return filing.all_risk_sections(blocks).select("doc_id", "subsection", "content")
+
+
 # --- ingestion ------------------------------------------------------------------------
 
 
