@@ -85,7 +85,3 @@ def sound_vector(vector: Column, least: int = 8) -> Column:
     """The vector as doubles if it has at least ``least`` components, all numbers."""
     cells = F.transform(vector, lambda x: x.try_cast("double"))
     return F.when((F.size(vector) >= least) & F.forall(cells, lambda x: x.isNotNull()), cells)
-
-
-def without_scheme(endpoint: Column) -> Column:
-    return F.regexp_replace(endpoint, "^https?://", "")

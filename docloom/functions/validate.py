@@ -23,6 +23,10 @@ RESTARTS = (
     r"\bwhere(?: s| is)? my order\b", r"\bwhere(?: s| is)? my package\b", r"\btrack(?:ing)?(?: my)? order\b", r"\btrack(?:ing)?(?: my)? package\b",
     r"\bcheck(?:ing)?(?: my)? order(?: status)?\b", r"\bcheck(?:ing)?(?: my)? shipment(?: status)?\b", r"\border status\b", r"\bshipment status\b", r"\bdelivery status\b",
 )
+#: How a message tells a field.
+NAME_TOLD, NAME_BARE = r"(?i)(?:my name is|i am|this is)\s+([A-Za-z]+(?:\s+[A-Za-z]+)+)", r"^([A-Za-z]+(?:\s+[A-Za-z]+)+)$"
+BIRTH_TOLD, ISO_TOLD = r"\b([0-9]{2}-[0-9]{2}-[0-9]{4})\b", r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b"
+SSN_BARE, SSN_TOLD = r"^\s*([0-9]{4})\s*$", r"(?i)(?:ssn|last\s*4|last\s*four)[^0-9]*([0-9]{4})"
 
 
 def _verdict(error: Column, value: Column) -> Column:
@@ -53,29 +57,17 @@ def date_of_birth(value: Column) -> Column:
 
 def find_name(message: Column) -> Column:
     """After an introduction, or a message that is nothing but words."""
-    told = F.regexp_extract(message, r"(?i)(?:my name is|i am|this is)\s+([A-Za-z]+(?:\s+[A-Za-z]+)+)", 1)
-    bare = F.regexp_extract(message, r"^([A-Za-z]+(?:\s+[A-Za-z]+)+)$", 1)
-    return F.nullif(F.trim(F.when(told != "", told).otherwise(bare)), F.lit(""))
+    told = F.regexp_extract(message, NAME_TOLD, 1)
+    return F.nullif(F.trim(F.when(told != "", told).otherwise(F.regexp_extract(message, NAME_BARE, 1))), F.lit(""))
 
 
 def find_birth_date(message: Column) -> Column:
-    return F.nullif(F.regexp_extract(message, r"\b([0-9]{2}-[0-9]{2}-[0-9]{4})\b", 1), F.lit(""))
-
-
-def find_iso_date(message: Column) -> Column:
-    return F.nullif(F.regexp_extract(message, r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(message, BIRTH_TOLD, 1), F.lit(""))
 
 
 def find_ssn_last4(message: Column) -> Column:
-    bare = F.regexp_extract(message, r"^\s*([0-9]{4})\s*$", 1)
-    told = F.regexp_extract(message, r"(?i)(?:ssn|last\s*4|last\s*four)[^0-9]*([0-9]{4})", 1)
-    return F.nullif(F.when(bare != "", bare).otherwise(told), F.lit(""))
-
-
-def asks_anew(message: Column) -> Column:
-    """Whether a message starts a new order question."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(fold(message), r"[^a-z0-9\s]", " "), r"\s+", " "))
-    return plain.rlike("|".join(RESTARTS))
+    bare = F.regexp_extract(message, SSN_BARE, 1)
+    return F.nullif(F.when(bare != "", bare).otherwise(F.regexp_extract(message, SSN_TOLD, 1)), F.lit(""))
 
 
 def customer_ref(name: Column, birth: Column, last4: Column) -> Column:

@@ -309,10 +309,12 @@ def profiles(blocks: DataFrame, roster: list[str]) -> DataFrame:
 
 
 def metadata(pages: DataFrame) -> DataFrame:
-    """doc_id, filing_type, fiscal_year from a filing's first page."""
+    """doc_id, filing_type, fiscal_year, company_name from a filing's first page; the name
+    stands above the words that say so on a form's cover."""
     first = pages.groupBy("doc_id").agg(F.min_by("lines", "page_no").alias("lines")).withColumn("_t", F.array_join("lines", " "))
     year = F.nullif(F.regexp_extract("_t", r"(?i)fiscal year ended [A-Za-z]+ \d{1,2}, (20\d{2})", 1), F.lit(""))
-    return first.select("doc_id", F.when(F.upper("_t").contains("10-K"), "10-K").alias("filing_type"), F.coalesce(year, F.lit("2019")).alias("fiscal_year"))
+    name = F.nullif(collapse(F.regexp_extract(F.array_join("lines", "\n"), r"(?i)([^\n]+)\n\s*\(exact name of registrant", 1)), F.lit(""))
+    return first.select("doc_id", F.when(F.upper("_t").contains("10-K"), "10-K").alias("filing_type"), F.coalesce(year, F.lit("2019")).alias("fiscal_year"), name.alias("company_name"))
 
 
 def filing_chunks(pages: DataFrame, roster: list[str] | None = None) -> DataFrame:
@@ -320,7 +322,7 @@ def filing_chunks(pages: DataFrame, roster: list[str] | None = None) -> DataFram
 
     doc_id, chunk_id, content_type, part, item, section, subsection, content, page_start,
     page_end, table_name, metric, year, value_raw, value_normalized, unit, entity_name,
-    entity_role.  Repeated chunk ids collapse.
+    entity_role, and the filing's type, year and company.  Repeated chunk ids collapse.
     """
     lines = skeleton(ordered_lines(content_pages(pages)))
     blocks = lines.groupBy("doc_id", "block_id", "part", "item", "label").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"), F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"))
@@ -352,4 +354,5 @@ def filing_chunks(pages: DataFrame, roster: list[str] | None = None) -> DataFram
         .when(kind == "fact", F.concat_ws("|", blank("section"), blank("subsection"), F.col("content")))
         .otherwise(F.concat_ws("|", blank("section"), blank("subsection"), blank("page_start"), blank("page_end"), F.col("content")))
     )
-    return out.withColumn("chunk_id", content_id(F.col("doc_id").cast("string"), kind, key)).dropDuplicates(["chunk_id"])
+    chunked = out.withColumn("chunk_id", content_id(F.col("doc_id").cast("string"), kind, key)).dropDuplicates(["chunk_id"])
+    return chunked.join(metadata(pages), "doc_id", "left")

@@ -41,18 +41,18 @@ def step(state: dict, message: str) -> tuple[dict, dict]:
     if any(state.get(f) for f in FIELDS) and any(re.search(p, plain) for p in validate.RESTARTS):
         state = {}
     state, errors = dict(state), []
-    told = re.search(r"(?i)(?:my name is|i am|this is)\s+([A-Za-z]+(?:\s+[A-Za-z]+)+)", message) or re.search(r"^([A-Za-z]+(?:\s+[A-Za-z]+)+)$", message)
+    told = re.search(validate.NAME_TOLD, message) or re.search(validate.NAME_BARE, message)
     if told and not state.get("full_name"):
         state["full_name"] = " ".join(told[1].split())
     if not state.get("date_of_birth"):
-        if day := re.search(r"\b(\d{2}-\d{2}-\d{4})\b", message):
+        if day := re.search(validate.BIRTH_TOLD, message):
             try:
                 state["date_of_birth"] = datetime.strptime(day[1], "%d-%m-%Y").strftime("%Y-%m-%d")
             except ValueError:
                 errors.append(validate.DOB_WRONG)
-        elif re.search(r"\b\d{4}-\d{2}-\d{2}\b", message):
+        elif re.search(validate.ISO_TOLD, message):
             errors.append(validate.DOB_WRONG)
-    last4 = re.fullmatch(r"\s*(\d{4})\s*", message) or re.search(r"(?i)(?:ssn|last\s*4|last\s*four)[^\d]*(\d{4})", message)
+    last4 = re.search(validate.SSN_BARE, message) or re.search(validate.SSN_TOLD, message)
     if last4 and not state.get("ssn_last4"):
         state["ssn_last4"] = last4[1]
     missing = [f for f in FIELDS if not state.get(f)]
@@ -113,14 +113,6 @@ def with_orders(replies: DataFrame, orders: DataFrame | None) -> DataFrame:
     })
 
 
-def events(intent: Column, deltas: Column, final: Column) -> Column:
-    """The event sequence of a streamed answer as an array of (event, data)."""
-    status = lambda s: F.struct(F.lit("status").alias("event"), F.to_json(F.struct(F.lit(1).alias("event_version"), F.lit(s).alias("status"))).alias("data"))
-    parts = F.transform(deltas, lambda d: F.struct(F.lit("delta").alias("event"), F.to_json(F.struct(F.lit(1).alias("event_version"), d.alias("delta"))).alias("data")))
-    last = F.struct(F.when(intent == "ORDER_STATUS", "error").otherwise("final").alias("event"), F.to_json(F.struct(F.lit(1).alias("event_version"), final.alias("answer"))).alias("data"))
-    return F.concat(F.array(status("retrieving"), status("generating")), parts, F.array(last))
-
-
 def _collected_before() -> Column:
     """Whether a message met a session that was collecting."""
     before = F.lag("workflow").over(W.partitionBy("session_id").orderBy("turn"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.functions.text import collapse, content_id
@@ -16,6 +16,9 @@ from docloom.operators.ingest import route
 from docloom.storage import materialize
 
 INDEX_VERSION = "1"
+#: Hash buckets of a version's documents; a replaced document rewrites its bucket.
+BUCKETS = 64
+EMPTY = "chunk_id string, doc_id string, title string, section string, content string, source_path string, source_uri string, updated_at timestamp, content_type string, index_version string"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -76,29 +79,60 @@ def index_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(at)
 
 
+def _in_bucket(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(BUCKETS)).cast("int"))
+
+
+def _rewrite(spark: SparkSession, path: str, replaced: DataFrame, fresh: DataFrame | None) -> None:
+    """Overwrite the buckets of ``replaced`` (index_version, doc_id): their other documents
+    stay, ``fresh`` is added.  What is written is complete before anything is overwritten."""
+    replaced = materialize(_in_bucket(replaced.select("index_version", "doc_id").distinct()), "replaced")
+    touched = {tuple(r) for r in replaced.select("index_version", "bucket").distinct().collect()}  # BUCKETS a version at most
+    if not touched:
+        return
+    new = None if fresh is None else _in_bucket(fresh)
+    if index_exists(spark, path):
+        buckets = sorted({b for _, b in touched})
+        held = spark.read.parquet(path).where(F.col("bucket").isin(buckets) & F.col("index_version").isin(sorted({v for v, _ in touched})))
+        held = held.withColumn("index_version", F.col("index_version").cast("string")).join(replaced.drop("bucket"), ["index_version", "doc_id"], "left_anti")
+        new = held if new is None else held.unionByName(new)
+    if new is None:
+        return
+    new = materialize(new, "buckets")
+    left = {tuple(r) for r in new.select("index_version", "bucket").distinct().collect()}
+    by = ("index_version", "bucket")
+    new.repartition(min(BUCKETS, len(touched)), *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    for version, bucket in touched - left:  # nothing is left in these
+        system, at = _folder(spark, f"{path}/index_version={version}/bucket={bucket}")
+        system.delete(at, True)
+
+
 def remove_documents(spark: SparkSession, path: str, documents: DataFrame, version: str = INDEX_VERSION) -> int:
     """Delete all chunks of the documents (doc_id) that the index has; how many it had."""
     if not index_exists(spark, path):
         return 0
     held = read_index(spark, path, version).select("doc_id").distinct().join(documents.select("doc_id").distinct(), "doc_id")
-    gone = 0
-    for row in held.toLocalIterator():  # streamed; one folder at a time
-        system, at = _folder(spark, f"{path}/index_version={version}/doc_folder=d-{row.doc_id}")
-        gone += bool(system.delete(at, True))
-    return gone
+    held = materialize(held.withColumn("index_version", F.lit(version)), "removed")
+    _rewrite(spark, path, held, None)
+    return held.count()
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
-    """Replace the documents in ``chunks``: their partitions are overwritten, others stay.
+    """Replace the documents in ``chunks``, in the hash buckets they lie in; others stay.
     Documents that have no chunk any more go by ``remove_documents``."""
-    rows = chunks.withColumn("doc_folder", F.concat(F.lit("d-"), "doc_id"))  # never taken for a number
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_version", "doc_folder").parquet(path)
+    chunks = materialize(chunks, "fresh-chunks")
+    _rewrite(chunks.sparkSession, path, chunks, chunks)
 
 
 def read_index(spark: SparkSession, path: str, version: str = INDEX_VERSION) -> DataFrame:
     """The chunks of one schema version (partition-pruned)."""
-    rows = spark.read.parquet(path).where(F.col("index_version") == version)
-    return rows.withColumn("index_version", F.lit(version)).drop("doc_folder")
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:  # every document is gone
+        if "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        return spark.createDataFrame([], EMPTY)
+    return rows.where(F.col("index_version") == version).withColumn("index_version", F.lit(version)).drop("bucket")
 
 
 def count_by_document(spark: SparkSession, path: str, documents: DataFrame, version: str = INDEX_VERSION) -> DataFrame:
@@ -147,15 +181,11 @@ def missing_columns(index: DataFrame, wanted: dict[str, str]) -> list[str]:
     return [c for c, kind in wanted.items() if have.get(c) != kind]
 
 
-def object_uri(bucket: str | None, prefix: str, name: str) -> str:
-    return f"s3://{bucket}/{prefix}{name}" if bucket else re.sub(r"^file:", "", name)
-
-
 def embed(chunks: DataFrame, provider, dimensions: int, column: str = "content") -> DataFrame:
     """Add ``embedding`` by a provider (list of texts -> list of vectors), 32 at a time.
 
-    A provider that fails leaves nulls, so such rows are found by their words alone; one
-    that returns vectors of another size is an error.
+    All or nothing: if the provider fails for any batch, no chunk gets a vector and all are
+    found by their words alone; one that returns vectors of another size is an error.
     """
 
     @F.pandas_udf("array<float>")
@@ -172,4 +202,7 @@ def embed(chunks: DataFrame, provider, dimensions: int, column: str = "content")
             out += got
         return pd.Series(out, index=texts.index)
 
-    return chunks.withColumn("embedding", vectors(column))
+    made = materialize(chunks.withColumn("embedding", vectors(column)), "embedded")
+    if made.where("embedding is null").isEmpty():
+        return made
+    return made.withColumn("embedding", F.lit(None).cast("array<float>"))

@@ -85,8 +85,8 @@ def blocks(spark, *lines):
 
 
 def test_headings_that_the_lines_miss(spark):
-    got = blocks(spark, "Patent Claims and Disputes About Copying Designs", "Our games rely in part on licensed artwork from others.", "We Face Fierce Rivalry Our markets are changing fast and are crowded, with many rivals in every region.")
-    assert set(got) == {"Patent Claims and Disputes About Copying Designs", "We Face Fierce Rivalry"}
+    got = blocks(spark, "Patent Claims and Disputes About Copying of Designs", "Our games rely in part on licensed artwork from others.", "We Face Fierce Rivalry Our markets are changing fast and are crowded, with many rivals in every region.")
+    assert set(got) == {"Patent Claims and Disputes About Copying of Designs", "We Face Fierce Rivalry"}
     inside = blocks(spark, "The year was a good one for all of us, and many things were done that had been left undone. Risks Related to Shipping This is what can go wrong at seaRisks Related to Storms If ships sink we lose goods.")
     assert inside == {"Risks Related to Shipping": "Risks Related to Shipping\nThis is what can go wrong at sea", "Risks Related to Storms": "Risks Related to Storms\nIf ships sink we lose goods."}
     assert blocks(spark) == {} and blocks(spark, "", "Nothing here.") == {}
