@@ -9,10 +9,11 @@ SUFFIXES = ("pdf", "md", "txt", "docx")
 NOTIFICATION = "struct<Records:array<struct<s3:struct<bucket:struct<name:string>,object:struct<key:string,versionId:string,eTag:string,sequencer:string>>>>>"
 
 
-def notifications(rows: DataFrame, column: str = "body") -> DataFrame:
-    """JSON notifications -> bucket, key, version_id, etag, pk, sk, source_uri, suffix."""
-    one = rows.select(F.explode(F.from_json(column, NOTIFICATION)["Records"]).alias("r")).select("r.s3.bucket.name", "r.s3.object.*")
-    named = one.select(F.col("name").alias("bucket"), F.try_url_decode("key").alias("key"), F.coalesce(F.nullif("versionId", F.lit("")), F.nullif("sequencer", F.lit("")), F.lit("null")).alias("version_id"), F.col("eTag").alias("etag"))
+def notifications(rows: DataFrame, column: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """JSON notifications -> bucket, key, version_id, etag, pk, sk, source_uri, suffix, and
+    the columns to ``keep``."""
+    one = rows.select(*keep, F.explode(F.from_json(column, NOTIFICATION)["Records"]).alias("r")).select(*keep, "r.s3.bucket.name", "r.s3.object.*")
+    named = one.select(*keep, F.col("name").alias("bucket"), F.try_url_decode("key").alias("key"), F.coalesce(F.nullif("versionId", F.lit("")), F.nullif("sequencer", F.lit("")), F.lit("null")).alias("version_id"), F.col("eTag").alias("etag"))
     uri = F.concat(F.lit("s3://"), "bucket", F.lit("/"), "key")
     return named.where("bucket <> '' and key <> ''").withColumns({"pk": F.concat(F.lit("DOC#"), "bucket", F.lit("#"), "key"), "sk": F.concat(F.lit("VERSION#"), "version_id"), "source_uri": uri, "suffix": suffix(F.col("key"))})
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from docloom.functions import rules, text, validate
 from docloom.operators import ann, answers as say, chunking, filing, fusion, hits, index as postings, ingest, lexical, rerank, sessions, vector
-from docloom.plans import fixtures as fx, search
+from docloom.plans import fixtures as fx, rule_sql, search
 from docloom.storage import materialize, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,9 +69,20 @@ def keyword_extract(t, spark):
     return t("benchmark").select("item_id", F.array_join(F.array_sort(text.keywords(F.col("text"))), " ").alias("keywords"))
 
 
-@query(_values(fx.NUMBERS, "raw", "value DOUBLE"))
+_RAW = "r AS (SELECT o_orderkey AS id, round(o_totalprice, 2) AS v, o_orderkey % 7 AS form FROM orders)"
+
+
+@query(f"WITH {_RAW} SELECT id, CASE form WHEN 0 THEN v WHEN 1 THEN -v WHEN 2 THEN v WHEN 3 THEN -v WHEN 4 THEN floor(v) END AS value FROM r")
 def numeric_parse(t, spark):
-    return spark.createDataFrame([(r,) for r, _ in fx.NUMBERS], "raw string").select("raw", text.number(F.col("raw")).alias("value"))
+    """Figures as filings print them, from the totals of orders, read back."""
+    v = F.round("o_totalprice", 2)
+    shown = F.format_number(v, 2)
+    raw = (
+        F.when(F.col("form") == 0, shown).when(F.col("form") == 1, F.concat(F.lit("("), shown, F.lit(")"))).when(F.col("form") == 2, F.concat(F.lit(" $"), shown)).when(F.col("form") == 3, F.concat(F.lit("($"), shown, F.lit(")")))
+        .when(F.col("form") == 4, F.format_number(F.floor(v), 0)).when(F.col("form") == 5, "\u2014").otherwise("n/a")
+    )
+    rows = t("orders").withColumn("form", F.col("o_orderkey") % 7)
+    return rows.select(F.col("o_orderkey").alias("id"), text.number(raw).alias("value"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(s) <= 220 THEN s ELSE rtrim(left(s, 217)) || '...' END AS sentence
@@ -330,17 +341,32 @@ def minmax_normalize(t, spark):
     return rows.withColumn("scaled", F.round(fusion.min_max("n_chars"), 9)).select("doc_id", "source", "scaled")
 
 
-@query(_values([(1, False), (2, True), (3, False), (4, True), (5, False), (6, True), (7, True)], "query_id BIGINT", "run BOOLEAN"))
+_GATED = """p AS (SELECT doc_id AS query_id, (doc_id % 3) * 0.25 AS vector_weight, ['disabled', 'always', 'weak_lexical_fallback', 'weak_lexical_fallback'][doc_id % 4 + 1] AS vector_mode FROM documents),
+    f AS (SELECT doc_id % 400 AS query_id, max(n_chars % 50 / 10.0) AS best, bool_or(doc_id % 13 = 0) AS strong FROM documents WHERE doc_id % 6 <> 0 GROUP BY 1)"""
+
+
+@query(f"WITH {_GATED} SELECT query_id, CASE WHEN vector_weight <= 0 OR vector_mode = 'disabled' THEN FALSE WHEN vector_mode = 'weak_lexical_fallback' THEN best IS NULL OR NOT strong AND best < 3 ELSE TRUE END AS run FROM p LEFT JOIN f USING (query_id)")
 def vector_gate(t, spark):
-    asked = spark.createDataFrame([(1, 0.0, "disabled"), (2, 0.35, "always"), (3, 0.1, "weak_lexical_fallback"), (4, 0.1, "weak_lexical_fallback"), (5, 0.1, "weak_lexical_fallback"), (6, 0.1, "weak_lexical_fallback"), (7, 0.2, "always")], "query_id long, vector_weight double, vector_mode string")
-    found = spark.createDataFrame([(3, 9.0, False), (4, 2.5, False), (5, 1.0, True), (1, 1.0, False)], "query_id long, score double, strong_entity boolean")
+    docs = t("documents")
+    mode = F.get(F.array(*[F.lit(m) for m in ("disabled", "always", "weak_lexical_fallback", "weak_lexical_fallback")]), (F.col("doc_id") % 4).cast("int"))
+    asked = docs.select(F.col("doc_id").alias("query_id"), ((F.col("doc_id") % 3) * 0.25).alias("vector_weight"), mode.alias("vector_mode"))
+    found = docs.where("doc_id % 6 <> 0").select((F.col("doc_id") % 400).alias("query_id"), (F.col("n_chars") % 50 / 10.0).alias("score"), (F.col("doc_id") % 13 == 0).alias("strong_entity"))
     return fusion.vector_gate(asked, found)
 
 
-@query(_values([(1, True), (2, True), (3, False), (4, True), (5, False), (6, True)], "query_id BIGINT", "retry BOOLEAN"))
+_RETRIED = f"""i AS (SELECT doc_id AS query_id, ['general_lookup', 'heading_lookup', 'section_overview', 'narrative_explainer'][doc_id % 4 + 1] AS intent, CASE WHEN doc_id % 3 > 0 THEN {_sql(rules.ITEM_2)} END AS item FROM documents),
+    c AS (SELECT doc_id % 300 AS query_id, n_chars % 20 / 20.0 AS score, CASE doc_id % 5 WHEN 0 THEN {_sql(rules.ITEM_1A)} WHEN 1 THEN {_sql(rules.ITEM_2)} WHEN 2 THEN {_sql(rules.ITEM_1)} END AS item, doc_id // 300 % 8 + 1 AS rank, doc_id % 7 = 0 AS heading FROM documents WHERE doc_id % 300 < 250),
+    g AS (SELECT i.query_id, max(score) AS best, bool_or(c.item = {_sql(rules.ITEM_1A)}) AS risk, bool_or(rank <= 4 AND heading) AS heading, bool_or(rank <= 4 AND c.item = i.item) AS in4, bool_or(rank <= 6 AND c.item = i.item) AS in6 FROM i JOIN c USING (query_id) GROUP BY 1)"""
+
+
+@query(f"""WITH {_RETRIED} SELECT query_id, CASE WHEN best IS NULL OR best < 0.2 THEN TRUE WHEN intent = 'heading_lookup' THEN NOT coalesce(risk, FALSE) OR NOT coalesce(heading, FALSE)
+    WHEN intent = 'section_overview' AND item IS NOT NULL THEN NOT coalesce(in6, FALSE) WHEN intent = 'narrative_explainer' AND item IS NOT NULL THEN NOT coalesce(in4, FALSE) ELSE FALSE END AS retry FROM i LEFT JOIN g USING (query_id)""")
 def retry_gate(t, spark):
-    asked = spark.createDataFrame([(1, "general_lookup", None), (2, "general_lookup", None), (3, "heading_lookup", None), (4, "narrative_explainer", rules.ITEM_2), (5, "section_overview", rules.ITEM_2), (6, "heading_lookup", None)], "query_id long, intent string, item string")
-    found = spark.createDataFrame([(2, 0.1, None, 1, False), (3, 0.9, rules.ITEM_1A, 1, True), (4, 0.9, rules.ITEM_2, 5, False), (4, 0.5, rules.ITEM_1, 1, False), (5, 0.9, rules.ITEM_2, 6, False), (6, 0.9, rules.ITEM_1A, 5, True)], "query_id long, score double, item string, rank int, heading_overlap boolean")
+    docs, d = t("documents"), F.col("doc_id")
+    intent = F.get(F.array(*[F.lit(m) for m in ("general_lookup", "heading_lookup", "section_overview", "narrative_explainer")]), (d % 4).cast("int"))
+    asked = docs.select(d.alias("query_id"), intent.alias("intent"), F.when(d % 3 > 0, rules.ITEM_2).alias("item"))
+    item = F.when(d % 5 == 0, rules.ITEM_1A).when(d % 5 == 1, rules.ITEM_2).when(d % 5 == 2, rules.ITEM_1)
+    found = docs.where("doc_id % 300 < 250").select((d % 300).alias("query_id"), (F.col("n_chars") % 20 / 20.0).alias("score"), item.alias("item"), F.expr("doc_id div 300 % 8 + 1").alias("rank"), (d % 7 == 0).alias("heading_overlap"))
     return fusion.retry_gate(asked, found)
 
 
@@ -352,68 +378,104 @@ def intent_order(t, spark):
     return t("conversations").select("conv_id", "turn", rules.order_intent(F.col("text")).alias("intent"))
 
 
-@query(_values([(q[0], q[2]) for q in fx.QUESTIONS], "query_id BIGINT", "intent"))
+def _asked_of(t):
+    """A question for each document."""
+    return rule_sql.questions(t("documents"))
+
+
+@query(f"WITH {rule_sql.TOLD} SELECT query_id, search_intent AS intent FROM told")
 def intent_retrieval(t, spark):
-    return _questions(spark).select("query_id", rules.search_intent(F.col("question")).alias("intent"))
+    return _asked_of(t).select("query_id", rules.search_intent(F.col("question")).alias("intent"))
 
 
-@query(_values([(q[0], q[3]) for q in fx.QUESTIONS], "query_id BIGINT", "intent"))
+@query(f"WITH {rule_sql.TOLD} SELECT query_id, answer_intent AS intent FROM told")
 def intent_answer(t, spark):
-    return _questions(spark).select("query_id", rules.answer_intent(F.col("question")).alias("intent"))
+    return _asked_of(t).select("query_id", rules.answer_intent(F.col("question")).alias("intent"))
 
 
-@query(_values([(q[0], "|".join(fx.EXPECTED.get(q[0], ()))) for q in fx.QUESTIONS], "query_id BIGINT", "items"))
+@query(f"WITH {rule_sql.TOLD} SELECT query_id, array_to_string(items, '|') AS items FROM told")
 def expected_items(t, spark):
-    return _questions(spark).select("query_id", F.array_join(rules.expected_items(F.col("question")), "|").alias("items"))
+    return _asked_of(t).select("query_id", F.array_join(rules.expected_items(F.col("question")), "|").alias("items"))
 
 
-@query(_values(sorted(fx.OVERVIEWS.items()), "query_id BIGINT", "item"))
+@query(f"WITH {rule_sql.TOLD} SELECT query_id, reference FROM told")
+def question_reference(t, spark):
+    return _asked_of(t).select("query_id", rules.reference(F.col("question")).alias("reference"))
+
+
+@query(f"WITH {rule_sql.TOLD} SELECT query_id, overview AS item FROM told WHERE overview IS NOT NULL")
 def overview_alias_join(t, spark):
-    keyed = _questions(spark).withColumn("alias_key", rules.reference_key(F.col("question")))
+    keyed = _asked_of(t).withColumn("alias_key", rules.reference_key(F.col("question")))
     return keyed.join(F.broadcast(rules.alias_table(spark)), "alias_key").select("query_id", "item")
 
 
-@query(_values([(q[0], fx.NAMED_ITEMS.get(q[0])) for q in fx.QUESTIONS], "query_id BIGINT", "item"))
+@query(f"WITH {rule_sql.TOLD} SELECT query_id, explicit AS item FROM told")
 def item_rule_theta(t, spark):
-    return _questions(spark).select("query_id", rules.explicit_item(F.col("question")).alias("item"))
+    return _asked_of(t).select("query_id", rules.explicit_item(F.col("question")).alias("item"))
 
 
-@query(_values([(q[0], *next(p[1:] for p in rules.PROFILES if p[0] == q[2])) for q in fx.QUESTIONS], "query_id BIGINT", "lexical_weight DOUBLE", "vector_weight DOUBLE", "vector_mode"))
+@query(f"WITH {rule_sql.TOLD}, p AS ({_values(rules.PROFILES, 'intent', 'lexical_weight DOUBLE', 'vector_weight DOUBLE', 'vector_mode')}) SELECT query_id, lexical_weight, vector_weight, vector_mode FROM told JOIN p ON search_intent = intent")
 def profile_join(t, spark):
-    return search.routed(_questions(spark)).select("query_id", "lexical_weight", "vector_weight", "vector_mode")
+    return search.routed(_asked_of(t)).select("query_id", "lexical_weight", "vector_weight", "vector_mode")
 
 
-@query(_values([(q[0], 8 if q[3] == "section_overview" or q[0] == 12 else 4) for q in fx.QUESTIONS], "query_id BIGINT", "top_k INTEGER"))
+@query(f"WITH {rule_sql.TOLD} SELECT query_id, CASE WHEN answer_intent = 'section_overview' OR answer_intent = 'entity_lookup' AND starts_with(low, 'who are ') THEN 8 ELSE 4 END AS top_k FROM told")
 def answer_top_k(t, spark):
-    return _questions(spark).select("query_id", rules.answer_top_k(F.col("question")).alias("top_k"))
+    return _asked_of(t).select("query_id", rules.answer_top_k(F.col("question")).alias("top_k"))
 
 
-@query(_values([(2, "Dana Whitfield"), (12, "the directors")], "query_id BIGINT", "target"))
+@query(f"WITH {rule_sql.QUESTIONS} SELECT query_id, target FROM (SELECT query_id, nullif(regexp_replace(regexp_extract(trim(question), '(?i)^who (?:is|are) (.*)$', 1), '^[ ?.]+|[ ?.]+$', '', 'g'), '') AS target FROM q) WHERE target IS NOT NULL")
 def entity_target(t, spark):
-    return _questions(spark).select("query_id", rules.entity_target(F.col("question")).alias("target")).where("target is not null")
+    return _asked_of(t).select("query_id", rules.entity_target(F.col("question")).alias("target")).where("target is not null")
+
+
+@query(f"WITH {rule_sql.TOLD} {rule_sql.RISK_HEADING}")
+def risk_heading_reference(t, spark):
+    return _asked_of(t).select("query_id", rules.risk_heading_reference(F.col("question")).alias("heading"))
 
 
-@query(_values([(1, "net sales figures 2019"), (2, None), (3, None)], "query_id BIGINT", "rewrite"))
+_REWRITES = f"r AS (SELECT query_id, question, CASE query_id % 4 WHEN 0 THEN upper(question) || ' ?' WHEN 1 THEN '  figures  of ' || question WHEN 2 THEN substr(question, 1, 9) ELSE question || ' and ' || question || ' and ' || question END AS rewrite FROM q)"
+
+
+@query(f"WITH {rule_sql.QUESTIONS}, {_REWRITES} SELECT query_id, CASE WHEN len(string_split(c, ' ')) BETWEEN 3 AND 18 AND {rule_sql.key('c')} <> {rule_sql.key('question')} THEN c END AS rewrite FROM (SELECT *, {rule_sql.collapsed('rewrite')} AS c FROM r)")
 def rewrite_filter(t, spark):
-    rows = spark.createDataFrame([(1, "net sales?", "  net sales  figures 2019"), (2, "one two three", "One two three?"), (3, "a", "too short")], "query_id long, question string, rewrite string")
-    return rows.select("query_id", rules.usable_rewrite(F.col("question"), F.col("rewrite")).alias("rewrite"))
+    q = F.col("question")
+    rewrite = F.when(F.col("query_id") % 4 == 0, F.concat(F.upper(q), F.lit(" ?"))).when(F.col("query_id") % 4 == 1, F.concat(F.lit("  figures  of "), q)).when(F.col("query_id") % 4 == 2, F.substring(q, 1, 9)).otherwise(F.concat_ws(" and ", q, q, q))
+    return _asked_of(t).select("query_id", rules.usable_rewrite(q, rewrite).alias("rewrite"))
 
 
 # --- identity and orders --------------------------------------------------------------
 
 
-@query(_values([(v, n, d, s) for v, n, d, s in fx.IDENTITIES], "value", "name_ok BOOLEAN", "iso", "last4_ok BOOLEAN"))
+_PERSONS = """p AS (SELECT c_custkey AS id, chr((97 + c_custkey % 26)::INTEGER) || 'da' AS given, 'by' || chr((97 + c_custkey // 26 % 26)::INTEGER) || 'on' AS family, lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') AS day,
+    lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') AS month, (1940 + c_custkey % 60)::VARCHAR AS year, lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS last4 FROM customer)"""
+
+
+def _persons(t):
+    """A made-up identity for each customer, as the oracles make it."""
+    c = F.col("c_custkey")
+    two = lambda v: F.lpad(v.cast("string"), 2, "0")
+    return t("customer").select(
+        c.alias("id"), F.concat(F.chr(97 + c % 26), F.lit("da")).alias("given"), F.concat(F.lit("by"), F.chr(F.expr("97 + c_custkey div 26 % 26")), F.lit("on")).alias("family"),
+        two(c % 28 + 1).alias("day"), two(c % 12 + 1).alias("month"), (1940 + c % 60).cast("string").alias("year"), F.lpad((c % 10000).cast("string"), 4, "0").alias("last4"))
+
+
+@query(f"""WITH {_PERSONS} SELECT id, id % 5 <> 1 AS name_ok, CASE WHEN id % 4 = 0 THEN year || '-' || month || '-' || day END AS iso, id % 6 < 4 AS last4_ok FROM p""")
 def validate_fields(t, spark):
-    v = F.col("value")
-    rows = spark.createDataFrame([(i[0],) for i in fx.IDENTITIES], "value string")
-    return rows.select("value", validate.full_name(v)["is_valid"].alias("name_ok"), validate.date_of_birth(v)["normalized_value"].alias("iso"), validate.ssn_last4(v)["is_valid"].alias("last4_ok"))
+    """Names of one word, days that don't exist or are written otherwise, three digits."""
+    name = F.when(F.col("id") % 5 == 1, F.concat(F.lit(" "), "given", F.lit(" "))).otherwise(F.concat(F.lit("  "), "given", F.lit("   "), "family"))
+    day = F.when(F.col("id") % 4 == 0, F.concat_ws("-", "day", "month", "year")).when(F.col("id") % 4 == 1, F.concat_ws("-", "year", "month", "day")).when(F.col("id") % 4 == 2, F.concat(F.lit("31-02-"), "year")).otherwise("")
+    last4 = F.when(F.col("id") % 6 < 4, F.concat(F.lit(" "), "last4")).when(F.col("id") % 6 == 4, F.substring("last4", 1, 3)).otherwise(F.concat("last4", F.lit("0")))
+    return _persons(t).select("id", validate.full_name(name)["is_valid"].alias("name_ok"), validate.date_of_birth(day)["normalized_value"].alias("iso"), validate.ssn_last4(last4)["is_valid"].alias("last4_ok"))
 
 
-@query(_values(fx.MESSAGES, "message", "full_name", "birth_date", "last4"))
+@query(f"""WITH {_PERSONS} SELECT id, CASE id % 4 WHEN 0 THEN given || ' ' || family WHEN 1 THEN given || ' ' || family END AS full_name, CASE id % 4 WHEN 2 THEN day || '-' || month || '-' || year END AS birth_date,
+    CASE id % 4 WHEN 2 THEN last4 WHEN 3 THEN last4 END AS last4 FROM p""")
 def slot_extract(t, spark):
-    m = F.col("message")
-    rows = spark.createDataFrame([(i[0],) for i in fx.MESSAGES], "message string")
-    return rows.select("message", validate.find_name(m).alias("full_name"), validate.find_birth_date(m).alias("birth_date"), validate.find_ssn_last4(m).alias("last4"))
+    said = lambda *parts: F.concat(*[F.lit(p) if " " in p or p == "-" else F.col(p) for p in parts])
+    message = F.when(F.col("id") % 4 == 0, said("Well, MY NAME is ", "given", " ", "family")).when(F.col("id") % 4 == 1, said("given", " ", "family")).when(
+        F.col("id") % 4 == 2, said("born ", "day", "-", "month", "-", "year", " and the last four are ", "last4")).otherwise(said("  ", "last4", " "))
+    return _persons(t).select("id", validate.find_name(message).alias("full_name"), validate.find_birth_date(message).alias("birth_date"), validate.find_ssn_last4(message).alias("last4"))
 
 
 @query("SELECT c_custkey, 'CUSTOMER#' || replace(lower(trim(regexp_replace(c_name, '\\s+', ' ', 'g'))), 'ß', 'ss') || '#1970-01-01#' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS customer_ref FROM customer")
@@ -430,16 +492,36 @@ def order_lookup(t, spark):
     return rows.select("c_custkey", "o_orderkey", F.col("o_orderkey").isNotNull().alias("found"))
 
 
-def _dialogue(spark):
-    """The fixture's messages and the replies to them."""
-    rows = spark.createDataFrame([d[:3] for d in fx.DIALOGUE], "session_id string, turn long, message string")
-    orders = spark.createDataFrame(list(fx.ORDERS), "customer_id string, full_name string, dob string, ssn_last4 string, order_id string, shipment_status string, carrier string, estimated_delivery string")
-    return rows, sessions.with_orders(sessions.dialogue(rows), sessions.keyed_orders(orders))
-
-
-@query(_values([(s, n, a) for s, n, _, a in fx.DIALOGUE], "session_id", "turn BIGINT", "answer"))
+_DIALOGUE = f"""{_PERSONS},
+    o AS (SELECT o_custkey, max_by({{'id': o_orderkey::VARCHAR, 'status': o_orderstatus, 'carrier': o_orderpriority, 'day': strftime(o_orderdate, '%Y-%m-%d')}}, o_orderkey) AS o FROM orders GROUP BY o_custkey),
+    s AS (SELECT p.*, o, unnest([x for x in [CASE WHEN id % 7 = 0 THEN 'hello' END, 'order', 'name', CASE WHEN id % 3 = 0 THEN 'iso' END, 'birth', 'last4'] if x is not null]) AS step,
+          unnest(range(1, 5 + (id % 7 = 0)::INT + (id % 3 = 0)::INT)) AS turn FROM p LEFT JOIN o ON o_custkey = id),
+    d AS (SELECT 's' || id AS session_id, turn, step, o IS NOT NULL AS found,
+      CASE step WHEN 'hello' THEN 'hello there' WHEN 'order' THEN 'where is my order?' WHEN 'name' THEN 'my name is ' || given || ' ' || family WHEN 'iso' THEN year || '-' || month || '-' || day WHEN 'birth' THEN day || '-' || month || '-' || year ELSE last4 END AS message,
+      CASE step WHEN 'hello' THEN NULL WHEN 'order' THEN {_sql(f"{sessions.INTRO} {validate.PROMPTS['full_name']}")} WHEN 'name' THEN {_sql(f"{sessions.INTRO} {validate.PROMPTS['date_of_birth']}")}
+        WHEN 'iso' THEN {_sql(f"{validate.DOB_WRONG} {validate.PROMPTS['date_of_birth']}")} WHEN 'birth' THEN {_sql(f"{sessions.INTRO} {validate.PROMPTS['ssn_last4']}")}
+        ELSE CASE WHEN o IS NULL THEN {_sql(sessions.NOT_FOUND)} ELSE 'Your order ' || o.id || ' is currently ' || o.status || ' via ' || o.carrier || '. Estimated delivery is ' || o.day || '.' END END AS answer FROM s)"""
+
+
+def _dialogue(t):
+    """Each customer asks for an order and proves who they are; some say hello first, some
+    give their birthday in the wrong form.  The messages and the replies to them."""
+    people = _persons(t)
+    iso, birth = F.concat_ws("-", "year", "month", "day"), F.concat_ws("-", "day", "month", "year")
+    said = F.array_compact(F.array(
+        F.when(F.col("id") % 7 == 0, "hello there"), F.lit("where is my order?"), F.concat(F.lit("my name is "), "given", F.lit(" "), "family"), F.when(F.col("id") % 3 == 0, iso), birth, F.col("last4")))
+    rows = people.select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("session_id"), F.posexplode(said).alias("turn", "message")).withColumn("turn", (F.col("turn") + 1).cast("long"))
+    name = F.concat(F.lit(" "), F.upper("given"), F.lit("  "), "family")
+    orders = t("orders").join(people, F.col("o_custkey") == F.col("id")).select(
+        F.col("o_custkey").cast("string").alias("customer_id"), name.alias("full_name"), iso.alias("dob"), F.col("last4").alias("ssn_last4"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("_k"), F.col("o_orderkey").cast("string").alias("order_id"),
+        F.col("o_orderstatus").alias("shipment_status"), F.col("o_orderpriority").alias("carrier"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("estimated_delivery"))
+    last = orders.groupBy("customer_id").agg(F.max_by(F.struct(*[c for c in orders.columns if c not in ("customer_id", "_k")]), "_k").alias("o")).select("customer_id", "o.*")
+    return rows, sessions.with_orders(sessions.dialogue(rows), sessions.keyed_orders(last))
+
+
+@query(f"WITH {_DIALOGUE} SELECT session_id, turn, answer FROM d")
 def identity_dialogue(t, spark):
-    return _dialogue(spark)[1].select("session_id", "turn", "answer")
+    return _dialogue(t)[1].select("session_id", "turn", "answer")
 
 
 @query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INTEGER AS from_last FROM conversations QUALIFY from_last <= 10")
@@ -459,22 +541,25 @@ def message_ttl(t, spark):
     return t("events").select("event_id", "user_id", key.alias("sort_key"), ttl.alias("ttl")).where(F.col("ttl") > F.unix_timestamp(F.lit("2024-01-12 00:00:00")))
 
 
-@query(_values(fx.MESSAGE_LOG, "session_id", "turn BIGINT", "part INTEGER", "role", "content", "contains_pii BOOLEAN", "tool_result_summary"))
+@query(f"""WITH {_DIALOGUE} SELECT session_id, turn, 0 AS part, 'user' AS role, message AS content, step NOT IN ('hello', 'order') AS contains_pii, NULL AS tool_result_summary FROM d
+    UNION ALL SELECT session_id, turn, 1, 'assistant', answer, FALSE, CASE WHEN step = 'last4' THEN CASE WHEN found THEN 'order_found' ELSE 'order_not_found' END END FROM d WHERE answer IS NOT NULL""")
 def message_log(t, spark):
-    rows, said = _dialogue(spark)
-    log = sessions.message_log(rows, said, F.to_timestamp(F.lit("2026-01-01T00:00:00Z")))
+    log = sessions.message_log(*_dialogue(t), F.to_timestamp(F.lit("2026-01-01T00:00:00Z")))
     return log.select("session_id", "turn", "part", "role", "content", "contains_pii", "tool_result_summary")
 
 
-@query(_values(fx.LOG_EVENTS, "session_id", "turn BIGINT", "seq INTEGER", "event_type"))
+@query(f"""WITH {_DIALOGUE}, e AS (SELECT session_id, turn, [x for x in [CASE WHEN step IN ('hello', 'order') THEN 'intent_classified' END, CASE WHEN step <> 'hello' THEN 'order_workflow_collecting' END,
+      CASE WHEN step = 'last4' THEN CASE WHEN found THEN 'order_workflow_succeeded' ELSE 'order_workflow_not_found' END END, CASE WHEN step NOT IN ('hello', 'last4') THEN 'verification_failed' END,
+      CASE WHEN step = 'hello' THEN 'knowledge_query_completed' END, 'chat_orchestration_completed'] if x is not null] AS es FROM d)
+    SELECT session_id, turn, (generate_subscripts(es, 1) - 1)::INTEGER AS seq, unnest(es) AS event_type FROM e""")
 def turn_events(t, spark):
-    events = sessions.turn_events(_dialogue(spark)[1])
+    events = sessions.turn_events(_dialogue(t)[1])
     return events.select("session_id", "turn", "seq", F.get_json_object("log_event", "$.event_type").alias("event_type"))
 
 
-@query(_values([(s, n, sessions.LOOKUP_FAILED, "lookup_failed") for s, n in (("s1", 5), ("s2", 5))], "session_id", "turn BIGINT", "answer", "tool_result"))
+@query(f"WITH {_DIALOGUE} SELECT session_id, turn, {_sql(sessions.LOOKUP_FAILED)} AS answer, 'lookup_failed' AS tool_result FROM d WHERE step = 'last4'")
 def order_lookup_failed(t, spark):
-    said = sessions.with_orders(sessions.dialogue(_dialogue(spark)[0]), None)
+    said = sessions.with_orders(sessions.dialogue(_dialogue(t)[0]), None)
     return said.where("tool_result is not null").select("session_id", "turn", "answer", "tool_result")
 
 
@@ -497,10 +582,20 @@ def run_on_headings(t, spark):
 # --- ingestion ------------------------------------------------------------------------
 
 
-@query(_values([(k, r) for k, _, _, r in fx.INGEST], "key", "result"))
+_INGESTED = f"""e AS (SELECT event_id, 'in/f' || event_id % 500 || {rule_sql.listed(('.md', '.PDF', '.txt', '.docx', '.exe'))}[event_id % 5 + 1] AS key FROM events),
+    s AS (SELECT 'in/f' || e % 500 || {rule_sql.listed(('.md', '.PDF', '.txt', '.docx', '.exe'))}[e % 5 + 1] AS key, ['completed', 'processing', 'processing', 'failed', 'processing'][e % 7 % 5 + 1] AS status, e % 7 % 5 AS n FROM (SELECT DISTINCT event_id % 500 AS e FROM events) WHERE e % 3 > 0)"""
+
+
+@query(f"""WITH {_INGESTED} SELECT DISTINCT e.key, CASE WHEN suffix(e.key, '.exe') THEN 'unsupported_type' WHEN status = 'completed' THEN 'completed' WHEN status = 'processing' AND n = 1 THEN 'skipped' ELSE 'processing' END AS result FROM e LEFT JOIN s USING (key)""")
 def ingest_claim(t, spark):
-    events = spark.createDataFrame([(k, "v", k) for k, *_ in fx.INGEST] * 2, "pk string, sk string, key string")
-    state = spark.createDataFrame([(k, "v", s, a) for k, s, a, _ in fx.INGEST if s], "pk string, sk string, status string, started_at string")
+    """Events of five hundred versions against states: fresh, stale and undated work."""
+    ends = F.array(*[F.lit(x) for x in (".md", ".PDF", ".txt", ".docx", ".exe")])
+    key = lambda e: F.concat(F.lit("in/f"), (e % 500).cast("string"), F.get(ends, (e % 5).cast("int")))
+    events = t("events").select(key(F.col("event_id")).alias("key")).withColumns({"pk": F.col("key"), "sk": F.lit("v")})
+    e, n = F.col("e"), F.col("e") % 7 % 5
+    status = F.get(F.array(*[F.lit(x) for x in ("completed", "processing", "processing", "failed", "processing")]), n.cast("int"))
+    started = F.when(n == 1, "2026-01-01T00:10:00Z").when(n == 2, "2025-12-31T00:00:00Z")
+    state = t("events").select((F.col("event_id") % 500).alias("e")).distinct().where("e % 3 > 0").select(key(e).alias("pk"), F.lit("v").alias("sk"), status.alias("status"), started.alias("started_at"))
     return ingest.claim(events, state, F.to_timestamp(F.lit("2026-01-01T00:20:00Z"))).select("key", "result")
 
 
@@ -512,10 +607,18 @@ def ingest_antijoin(t, spark):
     return ingest.unfinished(events, state).select("event_id", "user_id")
 
 
-@query(_values([("b", "in/my file.md", "v1", "s3://b/in/my file.md", "md"), ("b", "in/x.PDF", "7", "s3://b/in/x.PDF", "pdf"), ("b", "y", "null", "s3://b/y", "")], "bucket", "key", "version_id", "source_uri", "suffix"))
+@query("""SELECT page_id, 'b' || page_id % 3 AS bucket, 'in/my file ' || page_id || CASE WHEN page_id % 2 = 0 THEN '.MD' ELSE '' END AS key, CASE page_id % 4 WHEN 0 THEN 'v' || page_id WHEN 1 THEN page_id::VARCHAR ELSE 'null' END AS version_id,
+    's3://b' || page_id % 3 || '/in/my file ' || page_id || CASE WHEN page_id % 2 = 0 THEN '.MD' ELSE '' END AS source_uri, CASE WHEN page_id % 2 = 0 THEN 'md' ELSE '' END AS suffix FROM pages WHERE page_id % 5 > 0
+    UNION ALL SELECT page_id, 'second', 'x', 'null', 's3://second/x', '' FROM pages""")
 def parse_notifications(t, spark):
-    body = '{"Records":[{"s3":{"bucket":{"name":"b"},"object":{"key":"in/my+file.md","versionId":"v1"}}},{"s3":{"bucket":{"name":"b"},"object":{"key":"in/x.PDF","versionId":"","sequencer":"7"}}},{"s3":{"bucket":{"name":"b"},"object":{"key":"y"}}},{"s3":{"bucket":{"name":""},"object":{"key":"z"}}}]}'
-    return ingest.notifications(spark.createDataFrame([(body,)], "body string")).select("bucket", "key", "version_id", "source_uri", "suffix")
+    """A notification of two or three records for each page, one of them without a bucket."""
+    p = F.col("page_id")
+    record = lambda bucket, key, version, seq: F.struct(F.struct(F.struct(bucket.alias("name")).alias("bucket"), F.struct(key.alias("key"), version.alias("versionId"), seq.alias("sequencer")).alias("object")).alias("s3"))
+    none = F.lit(None).cast("string")
+    key = F.concat(F.lit("in/my+file%20"), p.cast("string"), F.when(p % 2 == 0, ".MD").otherwise(""))
+    first = record(F.when(p % 5 > 0, F.concat(F.lit("b"), (p % 3).cast("string"))).otherwise(""), key, F.when(p % 4 == 0, F.concat(F.lit("v"), p.cast("string"))).when(p % 4 == 1, ""), F.when(p % 4 == 1, p.cast("string")))
+    bodies = t("pages").select("page_id", F.to_json(F.struct(F.array(first, record(F.lit("second"), F.lit("x"), none, none)).alias("Records"))).alias("body"))
+    return ingest.notifications(bodies, keep=("page_id",)).select("page_id", "bucket", "key", "version_id", "source_uri", "suffix")
 
 
 @query("SELECT page_id, CASE WHEN lower(url) LIKE '%.pdf' THEN 'filing' WHEN regexp_matches(lower(url), '\\.(md|txt)$') THEN 'text' WHEN lower(url) LIKE '%.docx' THEN 'docx' ELSE 'unsupported_type' END AS route FROM pages")
@@ -532,40 +635,75 @@ def log_events(t, spark):
 # --- filings --------------------------------------------------------------------------
 
 
-def _pages(spark):
-    return spark.createDataFrame([("f1", n, list(lines)) for n, lines in fx.PAGES], "doc_id string, page_no int, lines array<string>")
+def _pages(t):
+    """A filing for each document: its figures from the id, its lines among those of Item 2."""
+    d = F.col("doc_id")
+    lines = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("about "), F.trim(F.regexp_replace(F.lower(x), "[^a-z]+", " "))))
+    number = lambda n: (d % 90 + 10 + n).cast("string")
+    sales = F.concat(F.lit("Net sales"), *[F.concat(F.lit(" $"), number(n)) for n in range(5)])
+    goods = F.concat(F.lit("Cost of goods"), *[F.concat(F.lit(" "), number(100 * n)) for n in range(3)])
+    pages = []
+    for number_, texts in fx.PAGES:
+        page = F.array(*[F.lit(x) for x in texts])
+        page = F.concat(page, lines) if number_ == 4 else F.transform(page, lambda x: F.when(x.startswith("Net sales"), sales).when(x.startswith("Cost of goods"), goods).otherwise(x))
+        pages.append(F.struct(F.lit(number_).alias("page_no"), page.alias("lines")))
+    return t("documents").select("doc_id", F.inline(F.array(*pages)))
+
 
+_N_LINES = "len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> ''))"
+_SECTIONS = [("PART I", "Item 1. Business", 4), ("PART I", "Item 1A. Risk Factors", 3), ("PART I", "Item 2. Properties", 1), ("PART II", rules.ITEM_6, 4), ("PART II", rules.ITEM_8, 3), (None, "Overview", 7)]
 
-@query(_values([("PART I", "Item 1. Business", 4), ("PART I", "Item 1A. Risk Factors", 3), ("PART I", "Item 2. Properties", 1), ("PART II", "Item 6. Selected Consolidated Financial Data", 4), ("PART II", "Item 8. Financial Statements and Supplementary Data", 3), (None, "Overview", 7)], "part", "label", "n BIGINT"))
+
+@query(f"SELECT doc_id, part, label, n + CASE WHEN label = 'Item 2. Properties' THEN {_N_LINES} ELSE 0 END AS n FROM documents, ({_values(_SECTIONS, 'part', 'label', 'n BIGINT')})")
 def block_islands(t, spark):
-    return filing.skeleton(filing.ordered_lines(filing.content_pages(_pages(spark)))).groupBy("part", "label").agg(F.count("*").alias("n"))
+    return filing.skeleton(filing.ordered_lines(filing.content_pages(_pages(t)))).groupBy("doc_id", "part", "label").agg(F.count("*").alias("n"))
+
 
+_SOLD = [("Net sales", str(y), "million USD", n) for n, y in enumerate(range(2015, 2020))]
+_EARNED = [("Operating income", str(y), v, n) for y, v, n in zip(range(2015, 2020), ("1", "(2)", "3", "4", "5"), (1.0, -2.0, 3.0, 4.0, 5.0), strict=True)]
+_SPENT = [("Cost of goods", str(y), 100 * n) for n, y in enumerate((2017, 2018, 2019))]
 
-@query(_values([("Net sales", str(y), f"${v}", float(v), "million USD") for y, v in zip(range(2015, 2020), (10, 20, 30, 40, 50), strict=True)] + [("Operating income", str(y), v, n, "million USD") for y, v, n in zip(range(2015, 2020), ("1", "(2)", "3", "4", "5"), (1.0, -2.0, 3.0, 4.0, 5.0), strict=True)]
-               + [("Cost of goods", str(y), str(v), float(v), None) for y, v in ((2017, 7), (2018, 8), (2019, 9))], "metric", "year", "value_raw", "value_normalized DOUBLE", "unit"))
+
+@query(f"""SELECT doc_id, metric, year, '$' || (doc_id % 90 + 10 + n) AS value_raw, (doc_id % 90 + 10 + n)::DOUBLE AS value_normalized, unit FROM documents, ({_values(_SOLD, 'metric', 'year', 'unit', 'n BIGINT')})
+    UNION ALL SELECT doc_id, metric, year, raw, v, 'million USD' FROM documents, ({_values(_EARNED, 'metric', 'year', 'raw', 'v DOUBLE')})
+    UNION ALL SELECT doc_id, metric, year, (doc_id % 90 + 10 + n)::VARCHAR, (doc_id % 90 + 10 + n)::DOUBLE, NULL FROM documents, ({_values(_SPENT, 'metric', 'year', 'n BIGINT')})""")
 def table_unpivot(t, spark):
-    return filing.filing_chunks(_pages(spark), ["Dana Whitfield", "Lee Park"]).where("content_type = 'table_row'").select("metric", "year", "value_raw", "value_normalized", "unit")
+    return filing.filing_chunks(_pages(t), ["Dana Whitfield", "Lee Park"]).where("content_type = 'table_row'").select("doc_id", "metric", "year", "value_raw", "value_normalized", "unit")
+
 
+_CHUNKED = [("fact", "Item 1. Business", "General"), ("fact", "Item 2. Properties", None), ("fact", "Overview", None), ("narrative", "Item 1. Business", "Consumers"), ("narrative", "Item 1. Business", "General"), ("narrative", rules.ITEM_1A, "Loss of the Key People Could Harm Our Business"),
+            ("narrative", rules.ITEM_1A, "We Face Intense Competition"), ("narrative", "Item 2. Properties", None), ("profile_bio", "Executive Officers and Directors", None), ("profile_row", "Executive Officers and Directors", None), ("profile_row", "Executive Officers and Directors", None),
+            ("table_block", rules.ITEM_6, None), ("table_block", rules.ITEM_8, None)]
 
-@query(_values([("fact", "Item 1. Business", "General"), ("fact", "Item 2. Properties", None), ("fact", "Overview", None), ("narrative", "Item 1. Business", "Consumers"), ("narrative", "Item 1. Business", "General"), ("narrative", "Item 1A. Risk Factors", "Loss of the Key People Could Harm Our Business"),
-                ("narrative", "Item 1A. Risk Factors", "We Face Intense Competition"), ("narrative", "Item 2. Properties", None), ("profile_bio", "Executive Officers and Directors", None), ("profile_row", "Executive Officers and Directors", None), ("profile_row", "Executive Officers and Directors", None),
-                ("table_block", rules.ITEM_6, None), ("table_block", rules.ITEM_8, None)], "content_type", "section", "subsection"))
+
+@query(f"SELECT doc_id, content_type, section, subsection, '10-K' AS filing_type, '2019' AS fiscal_year FROM documents, ({_values(_CHUNKED, 'content_type', 'section', 'subsection')})")
 def filing_chunks(t, spark):
-    return filing.filing_chunks(_pages(spark), ["Dana Whitfield", "Lee Park"]).where("content_type <> 'table_row'").select("content_type", "section", "subsection")
+    # without the documents' own lines, which make facts and narratives of their own
+    pages = _pages(t).withColumn("lines", F.when(F.col("page_no") == 4, F.slice("lines", 1, 2)).otherwise(F.col("lines")))
+    return filing.filing_chunks(pages, ["Dana Whitfield", "Lee Park"]).where("content_type <> 'table_row'").select("doc_id", "content_type", "section", "subsection", "filing_type", "fiscal_year")
 
 
-@query("""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS x FROM documents)
+@query("""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, trim(regexp_replace(CASE WHEN doc_id % 3 > 0 THEN 'We lease what ' ELSE '' END || unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS x FROM documents)
     WHERE length(x) BETWEEN 30 AND 500 AND length(x) - length(replace(x, ':', '')) <= 2 AND length(x) - length(replace(x, '$', '')) <= 2 AND regexp_matches(x, '(?i)\\b(we serve|we operate|we own|we lease|we maintain|market risk|from time to time)\\b') GROUP BY doc_id""")
 def fact_filter(t, spark):
-    return filing.facts(t("documents").select("doc_id", F.split("text", "\n").alias("lines"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    opening = F.when(F.col("doc_id") % 3 > 0, "We lease what ").otherwise("")
+    rows = t("documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.concat(opening, x)).alias("lines"))
+    return filing.facts(rows).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 # --- answers --------------------------------------------------------------------------
 
 
-def _filing_index(spark):
-    rows = filing.filing_chunks(_pages(spark), ["Dana Whitfield", "Lee Park"])
-    return materialize(rows.withColumns({"title": F.lit("Acme Form 10-K"), "subsubsection": F.lit(None).cast("string")}), "filing-index")
+def _one_filing(spark):
+    return spark.createDataFrame([("f1", n, list(lines)) for n, lines in fx.PAGES], "doc_id string, page_no int, lines array<string>")
+
+
+def _filing_index(t, spark):
+    """The chunks of one filing among those of all documents."""
+    rows = filing.filing_chunks(_one_filing(spark), ["Dana Whitfield", "Lee Park"]).withColumns({"title": F.lit("Acme Form 10-K"), "subsubsection": F.lit(None).cast("string")})
+    docs = _line_chunks(t).join(t("documents").select("doc_id", "lang", "source"), "doc_id")
+    others = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "chunk_id", "content", F.col("lang").alias("title"), F.col("source").alias("section"), F.lit("narrative").alias("content_type"))
+    return materialize(rows.unionByName(others, allowMissingColumns=True), "filing-index")
 
 
 def _asked(spark, ids=tuple(range(1, 16))):
@@ -577,17 +715,17 @@ def _asked(spark, ids=tuple(range(1, 16))):
     (3, "Based on the Item 1A excerpts available in this 18-page filing extract, these are the supported themes I can ground:\n- We Face Intense Competition: We Face Intense Competition Our rivals are many and strong\n- Loss of the Key People Could Harm Our Business: Loss of the Key People Could Harm Our Business We depend on few people", "deterministic_stream")],
     "query_id BIGINT", "answer", "mode"))
 def grounded_answers(t, spark):
-    return search.answer(_asked(spark, (1, 2, 3, 4, 6, 7)), _filing_index(spark))[0]
+    return search.answer(_asked(spark, (1, 2, 3, 4, 6, 7)), _filing_index(t, spark))[0]
 
 
 @query()
 def cited_sources(t, spark):
-    return search.answer(_asked(spark), _filing_index(spark))[1].withColumn("line", say.source_line())
+    return search.answer(_asked(spark), _filing_index(t, spark))[1].withColumn("line", say.source_line())
 
 
 @query()
 def answer_context(t, spark):
-    rows = search.retrieve(_asked(spark), _filing_index(spark))
+    rows = search.retrieve(_asked(spark), _filing_index(t, spark))
     found = say.context(rows).join(_asked(spark), "query_id")
     return found.select("query_id", "context", say.messages(F.col("question"), F.col("context")).alias("messages"))
 
@@ -636,11 +774,18 @@ _RERANK = (
 )
 
 
-@query(_values([(r[0], r[1], r[10]) for r in _RERANK if r[10]], "query_id BIGINT", "chunk_id", "place INTEGER"))
+@query(f"SELECT doc_id * 100 + q AS query_id, doc_id || chunk AS chunk_id, place FROM documents, ({_values([(r[0], r[1], r[10]) for r in _RERANK if r[10]], 'q BIGINT', 'chunk', 'place INTEGER')})")
 def rerank_tier_limit(t, spark):
-    rows = spark.createDataFrame([r[:10] for r in _RERANK], "query_id long, chunk_id string, content_type string, section string, item string, subsection string, metric string, year string, entity_name string, score double")
-    rows = rows.withColumns({"title": F.lit("t"), "subsubsection": F.lit(None).cast("string"), "table_name": F.lit(None).cast("string"), "content": F.coalesce("entity_name", F.lit("text")), "lexical_score": F.col("score"), "vector_score": F.lit(0.0), "candidate_pos": F.ascii("chunk_id")})
-    return rerank.limit(rerank.rerank(rows.join(rerank.understood(_questions(spark)), "query_id"))).select("query_id", "chunk_id", "place")
+    """For each document four questions with candidates of their own."""
+    kinds = "string", "string", "string", "string", "string", "string", "string", "string", "double"
+    names = "chunk", "content_type", "section", "item", "subsection", "metric", "year", "entity_name", "score"
+    cells = F.array(*[F.struct(F.lit(r[0]).cast("long").alias("q"), *[F.lit(v).cast(k).alias(n) for v, k, n in zip(r[1:10], kinds, names, strict=True)]) for r in _RERANK])
+    asked = F.array(*[F.struct(F.lit(q).cast("long").alias("q"), F.lit(s).alias("question")) for q, s, *_ in fx.QUESTIONS if q in {r[0] for r in _RERANK}])
+    docs, query_id = t("documents").select("doc_id"), F.expr("doc_id * 100 + q").alias("query_id")
+    rows = docs.select("doc_id", F.inline(cells)).select(query_id, F.concat(F.col("doc_id").cast("string"), "chunk").alias("chunk_id"), "*")
+    rows = rows.withColumns({"title": F.lit("t"), "subsubsection": F.lit(None).cast("string"), "table_name": F.lit(None).cast("string"), "content": F.coalesce("entity_name", F.lit("text")), "lexical_score": F.col("score"), "vector_score": F.lit(0.0), "candidate_pos": F.ascii("chunk")})
+    questions = docs.select("doc_id", F.inline(asked)).select(query_id, "question")
+    return rerank.limit(rerank.rerank(rows.drop("doc_id", "q", "chunk").join(rerank.understood(questions), "query_id"))).select("query_id", "chunk_id", "place")
 
 
 # --- hits and model output ------------------------------------------------------------
@@ -674,14 +819,14 @@ def streamed_deltas(t, spark):
 def rewrite_retry(t, spark):
     asked = spark.createDataFrame([(1, "zzz qqq?", 4), (8, "zzz vvv?", 4)], "query_id long, question string, top_k int")
     rewrites = spark.createDataFrame([(1, "net sales in 2019"), (8, "zzz")], "query_id long, rewrite string")
-    rows = search.retrieve(asked, _filing_index(spark), rewrites=rewrites)
+    rows = search.retrieve(asked, _filing_index(t, spark), rewrites=rewrites)
     rows = rows.groupBy("query_id").agg(F.max(F.when((F.col("metric") == "Net sales") & (F.col("year") == "2019"), F.concat_ws(" ", "value_raw", "unit"))).alias("value_raw"), F.lit(True).alias("found"))
     return asked.select("query_id").join(rows, "query_id", "left").select("query_id", "value_raw", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 @query()
 def benchmark_capture(t, spark):
-    return search.capture(_questions(spark), _filing_index(spark))
+    return search.capture(_questions(spark), _filing_index(t, spark))
 
 
 # --- relational baseline --------------------------------------------------------------
@@ -693,9 +838,10 @@ def agg_by_flag(t, spark):
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
 def customers_without_orders(t, spark):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large order."""
+    return t("customer").join(t("orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 2) AS total FROM events GROUP BY ROLLUP (event_type)")
