@@ -31,6 +31,8 @@ from docloom.storage import shuffle_width
 #: Content bytes a table may hold, spill files a bucket is cut into, and the depth at
 #: which hash bits run out (a single content that large still fits: it is stored once).
 TABLE_BYTES, FANOUT_BITS, MAX_DEPTH = 48 << 20, 4, 12
+#: What an entry takes besides its content: a slot, a list, its numbers, a bytes object.
+ENTRY_BYTES = 250
 
 RECORD = struct.Struct("<QqqI")  # hash, smallest id, count, length of the content
 _NO_ID = (1 << 63) - 1
@@ -54,7 +56,7 @@ class ContentTable:
             at = (at + 1) & mask
         self.slots[at] = [key, content, least, count]
         self.used += 1
-        self.bytes += len(content)
+        self.bytes += len(content) + ENTRY_BYTES
         if 3 * self.used > 2 * len(self.slots):
             old, self.slots = self.slots, [None] * (2 * len(self.slots))
             mask = len(self.slots) - 1

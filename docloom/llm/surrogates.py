@@ -1,8 +1,8 @@
 """Surrogates for personal data (native).
 
 Entities are found by pattern; each distinct entity gets one replacement of its own kind,
-drawn from a keyed hash, and every mention of it, in whatever case or punctuation, gets
-that replacement in the mention's own format.  Kinds: e-mail addresses, IPv4 and IPv6
+drawn from a keyed hash, and every mention of it, in whatever case or punctuation (names: not in
+small letters, in which many are common words), gets that replacement in the mention's own format.  Kinds: e-mail addresses, IPv4 and IPv6
 addresses, payment cards, phone numbers, social security numbers, IBANs, secrets (a name
 such as ``token``, ``key`` or ``password`` followed by a value; case matters), and names of
 persons after a form of address.  Replacements keep digits where digits were, letters
@@ -48,19 +48,23 @@ TITLES = {
 }
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _LETTER = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}&&\p{%s}]"
-_NAME = rf"{_LETTER % 'Lu'}{_LETTER % 'Ll'}+(?:[-'’]{_LETTER % 'Lu'}{_LETTER % 'Ll'}+)?"
+#: Brun, Núñez-Díaz, McDonald, O'Neil, and in capitals; never the first part of a longer word.
+_NAME = rf"(?:{_LETTER % 'Lu'}['’])?{_LETTER % 'Lu'}{_LETTER % 'Ll'}+(?:[-'’]?{_LETTER % 'Lu'}{_LETTER % 'Ll'}+)*(?!\p{{L}})"
+_CAPITALS = rf"(?:{_LETTER % 'Lu'}['’])?{_LETTER % 'Lu'}{{2,}}(?:-{_LETTER % 'Lu'}{{2,}})*(?!\p{{L}})"
+#: Of forms of address in capitals, those that are no other word.  Fixed values.
+_LOUD = "|".join(t.upper() for t in ("Mr", "Mrs", "Herr", "Herrn", "Monsieur", "Señor", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Господин", "Госпожа"))
 
 #: Kind -> pattern, in order of precedence at one place.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "secret": r"(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d|key)\b\"?\s{0,2}[:=]\s{0,2}[\"'])[^\"'\s]{6,}(?=[\"'])|(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d|key)\b\s{0,2}[:=]\s{0,2})[A-Za-z0-9+/_-]{16,}",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
-    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d)",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\w:]|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d\p{L}])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d\p{L}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d\p{L}.-])(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\d\p{L}.-])0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4}(?![\d-])",
-    "person": rf"(?<![\p{{L}}])(?:{_TITLE})\.?[ \u00a0]{_NAME}(?:[ \u00a0]{_NAME}){{0,2}}",
+    "person": rf"(?<![\p{{L}}])(?:(?:{_TITLE})\.?[ \u00a0](?:{_NAME}(?:[ \u00a0]{_NAME}){{0,2}}|{_CAPITALS})|(?:{_LOUD})\.?[ \u00a0]{_CAPITALS}(?:[ \u00a0]{_CAPITALS})?)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Syllables of made-up names; their endings tell gender.  Kept apart by script.
@@ -95,7 +99,8 @@ def _parts(match: Column) -> Column:
     secret = F.array(F.struct(opening.alias("lead"), F.lit("secret").alias("kind"), F.substring(match, F.length(opening) + 1, F.length(match)).alias("surface")))
     names = F.split(match, "[ \u00a0]")
     title = F.regexp_replace(F.element_at(names, 1), r"\.\z", "")
-    gender = F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("n")
+    told = lambda g: F.upper(title).isin(*[t.upper() for t in TITLES[g]])
+    gender = F.when(told("m"), "m").when(told("f"), "f").otherwise("n")
     person = F.transform(
         F.slice(names, F.lit(2), F.size(names)),
         lambda name, i: F.struct(
@@ -214,21 +219,22 @@ def _with_later_mentions(runs: Column, last: Column) -> Column:
     """``runs`` and the text after them, in which names of persons that a form of address
     has told are mentions wherever they stand as whole words."""
     persons = F.filter(runs, lambda r: r["kind"].contains("_"))
-    words = r"\p{L}+(?:[-'’]\p{Lu}\p{Ll}+)*|[^\p{L}]+"
+    words = r"\p{L}+(?:[-'’]\p{Lu}(?:\p{Ll}+|\p{Lu}+))*|[^\p{L}]+"
 
     def expanded(b: Column) -> Column:
         def pieces(text: Column) -> Column:
             return F.transform(F.regexp_extract_all(text, F.lit(words), F.lit(0)), lambda w: told(b, w))
 
         def told(b: Column, w: Column) -> Column:
-            at = F.array_position(b["names"], w).cast("int")
+            # as told, or in capitals; in small letters many a name is a common word
+            at = F.when(w.rlike(r"\A\p{Lu}"), F.greatest(F.array_position(b["names"], w), F.array_position(b["capitals"], w))).otherwise(0).cast("int")
             kind = F.when(at > 0, F.get(b["kinds"], at - 1))
             return F.struct(F.when(at > 0, "").otherwise(w).alias("lead"), kind.alias("kind"), F.when(at > 0, w).alias("surface"))
 
         each = F.transform(runs, lambda r: F.concat(pieces(r["lead"]), F.array(F.struct(F.lit("").alias("lead"), r["kind"].alias("kind"), r["surface"].alias("surface")))))
         return F.concat(F.flatten(each), pieces(last))
 
-    bound = F.struct(F.transform(persons, lambda r: r["surface"]).alias("names"), F.transform(persons, lambda r: r["kind"]).alias("kinds"))
+    bound = F.struct(F.transform(persons, lambda r: r["surface"]).alias("names"), F.transform(persons, lambda r: F.upper(r["surface"])).alias("capitals"), F.transform(persons, lambda r: r["kind"]).alias("kinds"))
     plain = F.concat(runs, F.array(F.struct(last.alias("lead"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("surface"))))
     return F.when(F.size(persons) > 0, F.transform(F.array(bound), expanded)[0]).otherwise(plain)
 

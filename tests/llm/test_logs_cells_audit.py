@@ -239,3 +239,47 @@ def test_outcomes_of_a_step_are_a_partition():
     assert {v.shape for v in m.values()} == {(32, 600)}
     assert (m["kept"] + m["removed"] + m["redundant"] <= 1).all() and (m["unique_fails"] <= m["removed"]).all()
     assert len(set(filter_audit.ORDERS)) == math.factorial(5) and pd.Series(filter_audit.ORDERS).str.len().eq(5).all()
+
+
+# --- faults mended in the other operators ----------------------------------------------
+
+
+def test_names_are_never_torn(spark):
+    from docloom.llm import surrogates
+
+    said = [
+        (1, "Mr McDonald came; McDonald left, MCDONALD too."), (2, "Mrs O'Neil and Dr D’Arcy-Lee."), (3, "Señor Núñez-Díaz. NÚÑEZ-DÍAZ signed, and Núñez-Díaz again."),
+        (4, "MR BRUN shouted. Mr Brun wrote. Herr BRUN, Brun's."), (5, "reach ::1 or ::ffff:1a2 now, std::vector and a :: add stay"), (6, "Miss the train; MISS THE TRAIN; MS DOS and Mr mcx stay"),
+    ]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(said, "doc_id long, text string")).collect()}
+    gone = ("McDonald", "Donald", "MCDONALD", "Neil", "Arcy", "Núñez", "Díaz", "NÚÑEZ", "DÍAZ", "BRUN", "Brun", "::1 ", "::ffff")
+    assert [(n, w) for n in range(1, 6) for w in gone if w in got[n].text] == []
+    first = re.fullmatch(r"Mr (\w+) came; (\w+) left, (\w+) too\.", got[1].text)
+    assert first[1] == first[2] and first[3] == first[1].upper()
+    loud = re.fullmatch(r"MR (\w+) shouted\. Mr (\w+) wrote\. Herr (\w+), (\w+)'s\.", got[4].text)
+    assert loud[1] == loud[3] == loud[2].upper() and loud[2] == loud[4]
+    assert got[6].text == said[5][1] and "std::vector and a :: add stay" in got[5].text
+
+
+def test_many_small_contents_spill():
+    from docloom.llm import grace
+
+    rows = [(zlib.crc32(str(i).encode()) * 2654435761 % 2**64, b"%d" % (i % 4000), i, 1) for i in range(8000)]
+    rows = [(zlib.crc32(c) * 2654435761 % 2**64, c, i, n) for _, c, i, n in rows]
+    table = grace.ContentTable()
+    table.add(*rows[0])
+    assert table.bytes > grace.ENTRY_BYTES
+    got = sorted((bytes(c), i, n) for _, c, i, n in grace.grace(iter(rows), limit=100_000))
+    assert got == sorted((b"%d" % i, i, 2) for i in range(4000))
+
+
+def test_codewords_of_many_languages_are_apart():
+    import time
+
+    from docloom.llm import langid
+
+    began = time.process_time()
+    code = langid.codewords(200)
+    assert time.process_time() - began < 5 and code.shape == (200, 31) and len({tuple(r) for r in code}) == 200
+    small = langid.codewords(12)
+    assert min((small[i] != small[j]).sum() for i in range(12) for j in range(i)) >= 6

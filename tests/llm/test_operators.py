@@ -586,5 +586,5 @@ def test_lines_carry_columns_of_any_name(spark):
 
 
 def test_registry_is_complete(spark):
-    assert [re.match(r"op\d+_", n)[0] for n in queries.queries()] == [f"op{n}_" for n in range(1, 11)]
+    assert [re.match(r"op\d+_", n)[0] for n in queries.queries()] == [f"op{n}_" for n in range(1, 14)]
     assert pd.Series(list(queries.oracle_sql())).isin(queries.queries()).all()
