@@ -1,7 +1,9 @@
 """Claims and sessions as streams over the given tables, against the batch queries."""
 
+import time
+
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from docloom.operators import chunking
 from docloom.streaming import stateful
@@ -12,7 +14,9 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(autouse=True)
 def rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.PROVIDER)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # every partition has a store of its own to open
     yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
@@ -63,11 +67,19 @@ def test_a_claim_in_steps():
 
 
 def test_sessions_as_a_stream_keep_the_last_ten(spark, tmp_path):
-    table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").where("conv_id is not null and turn is not null")
+    table = spark.read.parquet(f"{DATA}/conversations.parquet").where("conv_id is not null and turn is not null")
+    # a few sessions, so that each has more messages than it keeps
+    table = table.select((F.col("conv_id") % 4).alias("conv_id"), F.row_number().over(W.orderBy("conv_id", "turn")).cast("long").alias("turn"), "role", "text")
     messages = table.select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role", F.col("text").alias("content"))
     files_in_order(messages.withColumn("_f", (F.col("turn") % 3).cast("int")), tmp_path / "in", 3)
     stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run(stateful.session_stream(stream), "kept", "update", tmp_path)
+    # state that expires by the clock is looked at again and again, so the stream is stopped
+    query = stateful.session_stream(stream).writeStream.format("memory").queryName("kept").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    until = time.time() + 120
+    while time.time() < until and query.isActive and sum(p["numInputRows"] for p in query.recentProgress) < messages.count():
+        time.sleep(1)
+    query.stop()
+    assert query.exception() is None
     # after several batches, the fullest and latest list of a session is what it keeps
     last = {}
     for r in spark.table("kept").collect():
