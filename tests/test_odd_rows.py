@@ -21,3 +21,15 @@ def test_entity_target_at_line_ends(spark, tmp_path):
     texts = ["x\n", "x\n\n", "a\nb", "x\r", "x?\r", "x\u0085", "x ", "x? ", "x　", "\n", "", None, "x. ?"]
     got, want = both(spark, tmp_path, "entity_target", [(5 + 15 * i, texts[i % len(texts)]) for i in range(26)])
     assert got == want and len(got) > 10
+
+
+def test_fact_filter_takes_the_lines_of_its_sql(spark, tmp_path):
+    more = "and so on, with many more words"
+    lines = [
+        f"Net sales 12 13 14 from time to time {more}", f"we own 2015 2016 2017 2018 2019 {more}", f"12 (in millions) we serve {more}", f"we focus on what {more}", f"interest rate risks {more}",
+        f"this is in the ordinary course of business {more}", f"\u00e9we own {more}", f"we own\u00e9 {more}", f"we\u00a0own {more}", f"WE OWN {more}", f"xwe own {more}", "we own" + "\u00a0" * 24, "we own\u00a0\u00a0" + "x" * 22,
+        "we  own" + " " * 30, "we own\x0b\x0b" + "x" * 22, "from time to time: a: b: c: d " + more, "$1 $2 $3 we own " + more, "we own " + "x" * 493, "we own " + "x" * 494, f"{more}\r", "1 2 3 4 5 6 7 8 9 10 11 12 13 14",
+    ]
+    docs = [(3 * i + k, line) for i, line in enumerate(lines) for k in (0, 1)] + [(300, "\n".join(lines)), (301, "\n".join(lines)), (302, None), (304, "")]
+    got, want = both(spark, tmp_path, "fact_filter", docs)
+    assert got == want and len(got) > 20
