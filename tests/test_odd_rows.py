@@ -1,7 +1,10 @@
 """Queries against their SQL on rows that the given tables don't have."""
 
+import random
+
 import duckdb
 
+from docloom.llm import lines
 from docloom.plans import queries as registry
 
 
@@ -33,3 +36,17 @@ def test_fact_filter_takes_the_lines_of_its_sql(spark, tmp_path):
     docs = [(3 * i + k, line) for i, line in enumerate(lines) for k in (0, 1)] + [(300, "\n".join(lines)), (301, "\n".join(lines)), (302, None), (304, "")]
     got, want = both(spark, tmp_path, "fact_filter", docs)
     assert got == want and len(got) > 20
+
+
+def test_links_in_crowded_buckets_are_all_found(spark):
+    draw = random.Random(7)
+    some = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    texts = []
+    for start in ("samest", "others", "thirds"):
+        end = some(14)
+        # two edits in the other two segments: this start is all that the two lines share
+        twin = "".join(chr(97 + (ord(c) - 96) % 26) if i in (3, 10) else c for i, c in enumerate(end))
+        texts += [start + end, start + twin, *(start + some(14) for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r.doc_id for r in lines.deduplicate_lines(docs).where("n_dropped > 0").collect()}
+    assert gone == {1, 303, 605}
