@@ -7,7 +7,8 @@ All cells make the search exact.
 
 Centroids, at most ``CELLS``, are fitted in one task on at most ``SAMPLE`` rows, and with a
 count for each are what the driver and the tasks get.  A cell is compared in shards of
-``vector.SHARD`` rows, so one that holds most rows is many tasks.
+``vector.SHARD`` rows and blocks of ``vector.BLOCK`` questions, so one that holds most rows,
+or that all ask for, is many tasks, and none holds more than a tile.
 
 Vectors that are null, too short or not of finite numbers take no part; zero vectors are in the first
 cell and score 0.
@@ -66,24 +67,21 @@ class Cells:
         return self.centres.shape[1]
 
 
-def _ranked(vectors: DataFrame, id_column: str, kind: str, column: str, cells: Cells | np.ndarray, most: int, keep: bool) -> DataFrame:
-    """id, (vector,) cell, place: the ``most`` nearest cells of each vector, from 0."""
+def _ranked(vectors: DataFrame, id_column: str, kind: str, column: str, cells: Cells | np.ndarray, most: int) -> DataFrame:
+    """id, vector, cells: the ``most`` nearest cells of each vector, nearest first.  A
+    vector leaves Python once, however many its cells are."""
     centres = cells if isinstance(cells, np.ndarray) else cells.centres
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches):
         c = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.iloc[at : at + 512]
+            for at in range(0, len(batch), 256):
+                some = batch.iloc[at : at + 256]
                 order = np.argsort(-(_unit(some[column], c.shape[1]) @ c.T), axis=1, kind="stable")[:, :most]
-                n, places = order.shape
-                out = {id_column: np.repeat(some[id_column].to_numpy(), places), "cell": order.ravel(), "place": np.tile(np.arange(places), n)}
-                if keep:
-                    out[column] = some[column].repeat(places).to_numpy()
-                yield pd.DataFrame(out)[[id_column, *([column] if keep else []), "cell", "place"]]
+                yield pd.DataFrame({id_column: some[id_column].to_numpy(), column: some[column].to_numpy(), "cells": list(order.astype(np.int32))})
 
-    return vectors.select(id_column, column).mapInPandas(run, f"{id_column} {kind}, {f'{column} array<double>, ' if keep else ''}cell int, place int")
+    return vectors.select(id_column, column).mapInPandas(run, f"{id_column} {kind}, {column} array<double>, cells array<int>")
 
 
 def _sound(column: str):
@@ -109,7 +107,8 @@ def build(rows: DataFrame, key: str = "vec_id", cells: int | None = None) -> Cel
 
     found = drawn.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(learn, "c array<double>").collect()
     centres = np.array([r.c for r in found])
-    placed = _ranked(sound.repartition(2 * shuffle_width(sound.sparkSession)), "row_id", "long", "v", centres, 1, True).drop("place")
+    placed = _ranked(sound.repartition(2 * shuffle_width(sound.sparkSession)), "row_id", "long", "v", centres, 1)
+    placed = placed.select("row_id", "v", F.col("cells")[0].alias("cell"))
     return Cells(materialize(placed.sortWithinPartitions("cell"), "ann-cells"), centres, n)
 
 
@@ -120,7 +119,7 @@ def probes_for(cells: Cells, recall: float, k: int) -> int:
     asked = cells.rows.where(F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(one_in)) == 0)
     asked = materialize(asked.select(F.col("row_id").alias("query_id"), F.col("v").alias("embedding")), "ann-asked")
     true = vector.cosine_top(asked, cells.rows.withColumnRenamed("v", "embedding"), k, "row_id")
-    places = _ranked(asked, "query_id", "long", "embedding", cells, len(cells.centres), False)
+    places = _ranked(asked, "query_id", "long", "embedding", cells, len(cells.centres)).select("query_id", F.posexplode("cells").alias("place", "cell"))
     met = true.join(cells.rows.select("row_id", "cell"), "row_id").join(places, ["query_id", "cell"])
     counts = {r.place: r["count"] for r in met.groupBy("place").count().collect()}  # a number for each cell at most
     found, total = 0, sum(counts.values())
@@ -137,14 +136,30 @@ def top(questions: DataFrame, cells: Cells, k: int, probes: int | None = None, k
     spark = questions.sparkSession
     width = shuffle_width(spark)
     q = questions.select(F.col("query_id").cast("long").alias("query_id"), _sound("embedding").alias("q")).where("q is not null")
-    asked = _ranked(q, "query_id", "long", "q", cells, probes or len(cells.centres), True).drop("place")
-    held = {r.cell: -(-r["count"] // vector.SHARD) for r in cells.rows.groupBy("cell").count().collect()}  # a number for each cell
-    shards = F.lit([held.get(c, 0) for c in range(len(cells.centres))])
-    # a cell that all ask for is not one task: its questions are dealt as well
-    left = asked.withColumns({"shards": F.get(shards, "cell"), "block": F.pmod(F.hash("query_id"), F.lit(8))}).where("shards > 0")
-    left = left.withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).drop("shards")
-    right = cells.rows.withColumn("shard", F.pmod(F.hash("row_id"), F.get(shards, "cell"))).withColumn("block", F.explode(F.lit(list(range(8)))))
-    by = ("cell", "shard", "block")
+    counts = {r.cell: r["count"] for r in cells.rows.groupBy("cell").count().collect()}  # a number for each cell
+    counts = [counts.get(c, 0) for c in range(len(cells.centres))]
+    if probes is None or probes >= len(counts):
+        # all rows are asked for: cells that hold little are compared together
+        before = np.concatenate([[0], np.cumsum(counts)])[:-1]
+        part_of = (before // vector.SHARD).tolist()
+        asked = q.withColumn("part", F.explode(F.lit(sorted(set(part_of)))))
+        n_asked = dict.fromkeys(part_of, q.count())
+    else:
+        part_of = list(range(len(counts)))
+        asked = materialize(_ranked(q, "query_id", "long", "q", cells, probes), "ann-probes").withColumn("part", F.explode("cells")).drop("cells")
+        n_asked = {r.part: r["count"] for r in asked.groupBy("part").count().collect()}  # a number for each cell
+    held = {part: 0 for part in part_of}
+    for part, n in zip(part_of, counts, strict=True):
+        held[part] += n
+    most = max(part_of) + 1
+    shards = F.lit([-(-held.get(p, 0) // vector.SHARD) for p in range(most)])
+    blocks = F.lit([max(1, -(-n_asked.get(p, 0) // vector.BLOCK)) for p in range(most)])
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    # a tile is a shard of rows and a block of questions, of bounded size both
+    left = asked.withColumns({"shards": F.get(shards, "part"), "block": F.pmod(F.hash("query_id"), F.get(blocks, "part"))}).where("shards > 0").withColumn("shard", every(F.col("shards"))).drop("shards")
+    right = cells.rows.withColumn("part", F.get(F.lit(part_of), "cell")).drop("cell")
+    right = right.withColumn("shard", F.pmod(F.hash("row_id"), F.get(shards, "part"))).withColumn("block", every(F.get(blocks, "part")))
+    by = ("part", "shard", "block")
     tiles = left.repartition(width, *by).groupBy(*by).cogroup(right.repartition(width, *by).groupBy(*by)).applyInPandas(vector.tile_of(k, False), "query_id long, row_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "row_id"))
     return tiles.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("row_id").alias(key), "score", "rank")

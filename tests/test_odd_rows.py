@@ -5,6 +5,7 @@ import random
 import duckdb
 
 from docloom.llm import lines
+from docloom.operators import ann, vector
 from docloom.plans import queries as registry
 
 
@@ -50,3 +51,24 @@ def test_links_in_crowded_buckets_are_all_found(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     gone = {r.doc_id for r in lines.deduplicate_lines(docs).where("n_dropped > 0").collect()}
     assert gone == {1, 303, 605}
+
+
+def test_tiles_of_cells_are_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 8)
+    made = vector.tile_of
+
+    def bounded(k, scoped):
+        tile = made(k, scoped)
+
+        def checked(asked, held):
+            assert len(asked) <= 30
+            return tile(asked, held)
+
+        return checked
+
+    monkeypatch.setattr(vector, "tile_of", bounded)
+    draw = random.Random(3)
+    rows = spark.createDataFrame([(i, [draw.gauss(0, 1) for _ in range(8)]) for i in range(400)], "vec_id long, embedding array<double>")
+    asked = rows.withColumnRenamed("vec_id", "query_id")
+    cells = ann.build(rows, cells=4)
+    assert ann.top(asked, cells, 3).count() == ann.top(asked, cells, 3, 2).count() == 1200
