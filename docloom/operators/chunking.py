@@ -7,11 +7,14 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docloom.functions.text import content_id
 
 MAX_CHARS, MAX_PARAGRAPHS = 800, 3
+#: Texts of a batch that are cut before the pieces become Arrow.
+TEXTS = 128
 
 
 def breaks(lengths: np.ndarray, joiner: int, most: int, many: int | None) -> list[int]:
@@ -150,8 +153,11 @@ def deltas(text: Column, least: int = 12, most: int = 40) -> Column:
     sentence marks once they have ``least``; joined they give the text back.  The time is
     in proportion to the text."""
 
-    @F.pandas_udf("array<string>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else cut(t, least, most) for t in texts])
+    @F.arrow_udf("array<string>")
+    def pieces(texts: pa.Array) -> pa.Array:
+        # some texts at a time are Python objects; what is cut is Arrow again
+        kind = pa.list_(pa.string())
+        done = [pa.array([None if t is None else cut(t, least, most) for t in texts.slice(at, TEXTS).to_pylist()], kind) for at in range(0, len(texts), TEXTS)]
+        return pa.concat_arrays(done) if done else pa.array([], kind)
 
     return pieces(text)

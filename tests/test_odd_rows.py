@@ -3,10 +3,12 @@
 import random
 
 import duckdb
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from docloom.llm import lines
-from docloom.operators import ann, vector
-from docloom.plans import queries as registry
+from docloom.operators import ann, chunking, index, lexical, vector
+from docloom.plans import queries as registry, search
 
 
 def both(spark, tmp_path, name, docs):
@@ -72,3 +74,10 @@ def test_tiles_of_cells_are_of_bounded_size(spark, monkeypatch):
     asked = rows.withColumnRenamed("vec_id", "query_id")
     cells = ann.build(rows, cells=4)
     assert ann.top(asked, cells, 3).count() == ann.top(asked, cells, 3, 2).count() == 1200
+
+
+def test_deltas_of_more_texts_than_a_slice(spark):
+    texts = [None if i % 50 == 7 else "" if i % 50 == 8 else f"Words {i} end here. " * (i % 9 + 1) for i in range(2 * chunking.TEXTS + 3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {r.id: r.d for r in rows.select("id", chunking.deltas(F.col("text")).alias("d")).collect()}
+    assert got == {i: None if t is None else chunking.cut(t, 12, 40) for i, t in enumerate(texts)}
