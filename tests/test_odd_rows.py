@@ -81,3 +81,15 @@ def test_deltas_of_more_texts_than_a_slice(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
     got = {r.id: r.d for r in rows.select("id", chunking.deltas(F.col("text")).alias("d")).collect()}
     assert got == {i: None if t is None else chunking.cut(t, 12, 40) for i, t in enumerate(texts)}
+
+
+def test_postings_leave_python_in_pieces(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: taken.append(f) or self)
+    index.postings(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "doc_id", {"text": "text"})
+    texts = [f"a{i} b c a{i}" for i in range(40_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "_f0"])
+    parts = list(taken[0](iter([batch])))
+    assert max(p.num_rows for p in parts) < 40_000 and sum(p.num_rows for p in parts) == 120_000
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert all(r["pos"] == {"a": [0, 3], "b": [1], "c": [2]}[r["term"][0]] and r["dl"] == 4 for r in rows)
