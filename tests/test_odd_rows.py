@@ -93,3 +93,11 @@ def test_postings_leave_python_in_pieces(spark, monkeypatch):
     assert max(p.num_rows for p in parts) < 40_000 and sum(p.num_rows for p in parts) == 120_000
     rows = [r for p in parts for r in p.to_pylist()]
     assert all(r["pos"] == {"a": [0, 3], "b": [1], "c": [2]}[r["term"][0]] and r["dl"] == 4 for r in rows)
+
+
+def test_scores_are_summed_by_rows_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "TASK_ROWS", 10, raising=False)
+    docs = spark.createDataFrame([(i, f"a b{i % 7}") for i in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a b3"), (2, "b1 zz")], "query_id long, text string")
+    scores = lexical.bm25(asked, index.postings(docs, "doc_id", {"text": "text"}), 300)
+    assert scores.rdd.getNumPartitions() == 30 and scores.count() == 300 + 43
