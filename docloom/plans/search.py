@@ -62,10 +62,13 @@ def candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, chunk_id, score, rank: the 3k best by words, phrases and exact fields."""
     fields = {f: f for f in BOOSTS}
     n = chunks.count()
-    index = materialize(postings.postings(chunks, "chunk_id", fields), "postings")
+    # the questions' words are all that is looked up
+    words = questions.select(F.explode(F.array_union(token_set(F.col("text")), token_set(F.col("question")))).alias("term"))
+    index = materialize(postings.postings(chunks, "chunk_id", fields, words), "postings")
+    means = postings.mean_lengths(chunks, fields)
     spark = chunks.sparkSession
     per_query = lambda phrase: questions.join(F.broadcast(boost_table(spark, phrase)), questions["search_intent"] == F.col("intent")).select("query_id", "field", "boost")
-    words = lexical.best_fields(lexical.bm25(questions.select("query_id", "text"), index, n, "chunk_id"), per_query(False), "chunk_id")
+    words = lexical.best_fields(lexical.bm25(questions.select("query_id", "text"), index, n, "chunk_id", means), per_query(False), "chunk_id")
     found = postings.phrases(questions.select("query_id", F.col("question").alias("text")), index, 1, "chunk_id")
     phrase = found.join(per_query(True), ["query_id", "field"]).groupBy("query_id", "chunk_id").agg(F.max("boost").alias("score"))
     scores = words.unionByName(phrase).unionByName(exact_boosts(questions, chunks)).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))

@@ -101,3 +101,14 @@ def test_scores_are_summed_by_rows_of_a_task(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "a b3"), (2, "b1 zz")], "query_id long, text string")
     scores = lexical.bm25(asked, index.postings(docs, "doc_id", {"text": "text"}), 300)
     assert scores.rdd.getNumPartitions() == 30 and scores.count() == 300 + 43
+
+
+def test_only_the_words_asked_for_are_indexed(spark, monkeypatch):
+    made, kept = index.postings, []
+    monkeypatch.setattr(index, "postings", lambda *a, **k: kept.append(made(*a, **k)) or kept[-1])
+    fields = {f: None for f in search.BOOSTS} | {"chunk_id": "c", "content": "net sales rose while many others fell", "title": "net words"}
+    chunks = spark.createDataFrame([tuple(fields.values())], ", ".join(f"{f} string" for f in fields))
+    asked = search.routed(spark.createDataFrame([(1, "net sales?", 4)], "query_id long, question string, top_k int"))
+    assert [r.chunk_id for r in search.candidates(asked, chunks).collect()] == ["c"]
+    words = {r.term for r in kept[0].select("term").collect()}
+    assert {"net", "sales"} <= words and not words & {"rose", "while", "many", "others", "fell"}
