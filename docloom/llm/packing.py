@@ -17,7 +17,10 @@ packed each for itself; an empty table gives an empty result; other columns take
 
 from __future__ import annotations
 
+import functools
 import os
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -30,11 +33,14 @@ from docloom.storage import materialize
 
 CAPACITY, END_ID = 2048, 0
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Bytes of words and runs with their ids that a task remembers before it starts afresh.
+#: Bytes of runs with their ids that a worker remembers, in two generations.
 _MEMO_BYTES = 96 << 20
 #: Fixed value: how the tokenizer cuts words into runs.
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-_LATIN = regex.compile("[!-~\u00a1-\u012f\u0132-\u024f]+").fullmatch
+_LATIN = regex.compile("[ -~\u00a1-\u012f\u0132-\u024f]+").fullmatch
+#: The same for printable ASCII in small letters, and what is one such run of its own.
+_ASCII_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-`{-~]+").findall
+_ASCII_RUN = re.compile("[a-z]+|[0-9]").fullmatch
 
 
 def tokenizer(path: str):
@@ -46,69 +52,72 @@ def tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of whole texts, by words.
+    """Ids of whole texts, by runs.
 
     The vocabulary drops white space, so no token reaches over it and a text's ids are its
-    words' ids in order.  Words repeat, and so do the runs of letters or signs inside them
-    that the tokenizer treats apart; each is encoded once.  Words outside printable Latin,
+    words' ids in order.  The runs of letters or signs inside words that the tokenizer
+    treats apart repeat more than words do; each is encoded once.  An ASCII run is what the
+    tokenizer hands to its model, so it goes there directly.  Words outside printable Latin,
     where case or composition could depend on more than the character, go to the tokenizer
-    as they are.
+    as they are.  What is known lies in two generations: when the younger is full the older
+    goes, and what is met again comes back from it.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        #: Ids of runs and of whole odd words; a run's are those it has as a word.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
-        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
-        self.ends = np.zeros(max(ends) + 3, bool)
-        self.ends[ends] = True
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         for space in "\n\t\r\x0b\x0c":
             if space in text:
                 text = text.replace(space, " ")
-        words = text.split(" ")
-        known = self.words
-        if new := {w for w in words if w not in known}:
-            if self.held > _MEMO_BYTES:
-                known.clear()
-                self.runs.clear()
-                self.held, new = 0, set(words)
+        if "<|" not in text and text.isascii() and text.isprintable():
+            runs = _ASCII_RUNS(text.lower())
+        elif "<|" not in text and _LATIN(text):
+            runs = _RUNS(text.lower())
+        else:
+            runs = []
+            for word in text.split(" "):
+                runs += _RUNS(word.lower()) if _LATIN(word) and "<|" not in word else (word,)
+        if self.held > _MEMO_BYTES // 2:
+            self.older, self.known, self.held = self.known, {}, 0
+        if new := set(runs).difference(self.known):
             self._learn(new)
-        return b"".join(map(known.__getitem__, words))
-
-    def _learn(self, words: set[str]) -> None:
-        plain = {}
-        for w in words:
-            if w.isalpha() and w.isascii():
-                plain[w] = (w.lower(),)
-            elif _LATIN(w) and "<|" not in w:
-                plain[w] = _RUNS(w.lower())
-            else:
-                self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        new = list({r for runs in plain.values() for r in runs if r not in self.runs})
-        parts = [new[at : at + 256] for at in range(0, len(new), 256)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                raise ValueError("a run was not encoded as one run")
-            raw, at = ids.tobytes(), 0
-            for run, cut in zip(part, (4 * cuts).tolist(), strict=True):
-                self.runs[run], at = raw[at:cut], cut
-        for w, runs in plain.items():
-            self.words[w] = b"".join(map(self.runs.__getitem__, runs))
-        # a string, its ids and their place in a table take about 200 bytes besides
-        self.held += sum(200 + 2 * len(w) + len(self.words[w]) for w in words) + sum(200 + 2 * len(r) + len(self.runs[r]) for r in new)
+        return b"".join(map(self.known.__getitem__, runs))
+
+    def _learn(self, runs: set[str]) -> None:
+        known, older, held = self.known, self.older, 0
+        for run in runs:
+            ids = older.get(run)
+            if ids is None:
+                whole = not _ASCII_RUN(run)
+                ids = _packed(self.tokenizer.encode(run, add_special_tokens=False).ids if whole else [t.id for t in self.model.tokenize(run)])
+            known[run] = ids
+            # a string, its ids and their place in a table take about 200 bytes besides
+            held += 200 + 2 * len(run) + len(ids)
+        self.held += held
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The ids of a tokenizer file that a worker keeps for its next task."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids with the end id."""
 
     def cut(batches):
-        ids = WordIds(tokenizer_path)  # and forgotten when the task ends
+        ids = word_ids(tokenizer_path)
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"].array, batch["text"], strict=True):

@@ -189,6 +189,16 @@ def test_words_give_the_tokenizers_ids(tokenizer_path, docs):
         assert np.frombuffer(ids(text), "<u4").tolist() == want
 
 
+def test_runs_outlive_a_task_and_a_full_memory(tokenizer_path, monkeypatch):
+    assert packing.word_ids(tokenizer_path) is packing.word_ids(tokenizer_path)
+    monkeypatch.setattr(packing, "_MEMO_BYTES", 4000)
+    ids = packing.WordIds(tokenizer_path)
+    for n in range(60):
+        text = f"Common words, w{n}x{n * n} straße don't {chr(97 + n % 26) * 9}\tİ{n}"
+        assert np.frombuffer(ids(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids.older and len(ids.known) + len(ids.older) < 60
+
+
 def test_fullest_combination_is_fullest():
     rng = random.Random(2)
     for _ in range(50):
