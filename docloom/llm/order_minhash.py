@@ -21,8 +21,9 @@ members are not yet of one class are looked at again.  Up to ``LARGE`` members a
 compared directly.  Members of larger ones are reduced to their differences from the
 middle.  What two members share follows from the sizes of their differences and what
 those have in common, so if neither is the middle's near copy they must share some of
-them; differences that nobody else has are left out, and a prefix of the rarest others is
-joined on.  Members far from their middle (boilerplate) go through the same join with all
+them, and one at least in a prefix of each, if both are put in one order.  Any order will do;
+here differences that many have in a sample come last, so few meet on them.  Only prefixes
+are read out.  Members far from their middle (boilerplate) go through the same join with all
 their shingles.  The bounds lose nothing, and no bucket is expanded into its pairs.
 
 Edge cases: null is an empty text; a text of one to four words is a single shingle; texts
@@ -38,7 +39,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
 from docloom.llm.columns import text_of
 from docloom.llm.components import components
@@ -54,6 +55,8 @@ LARGE = 16
 SHORT = 9
 #: Rows of a narrow table up to which it is sent to every executor instead of shuffled.
 SMALL_ROWS = 100_000
+#: Members whose parts are counted for the order of prefixes, and parts that are told as frequent.
+SAMPLED, FREQUENT = 1024, 50_000
 #: Bytes of a text hashed at once.
 STRETCH = 1 << 20
 
@@ -272,7 +275,8 @@ def links(docs: DataFrame, made: DataFrame) -> DataFrame:
     # many members: by what they have other than the middle
     apart = open_.where((F.col("members") > LARGE) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     differing = materialize(with_texts(materialize(apart, "omh-apart")).mapInPandas(_differences, _DIFFERENCES), "omh-differences")
-    strangers = differing.where("5 * common < 4 * n").select("node").distinct()
+    # of links, one with less than half in common with the middle, the other has less than 5/8
+    strangers = differing.where("8 * common < 5 * n").select("node").distinct()
     whole = texts(strangers).mapInPandas(_shingled, _DIFFERENCES)
     parts = materialize(differing.where("2 * common >= n").unionAll(whole), "omh-parts")
     crowded = materialize(_by_parts(rooted(parts, classes, "node", "root")).unionAll(pairs).distinct().join(tested, ["a", "b"], "left_anti"), "omh-cross")
@@ -337,30 +341,61 @@ def _shingled(batches):
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DIFFERENCES.split(", ")])
 
 
+def _frequent(rows: DataFrame) -> np.ndarray:
+    """The parts that most of a sample of members have, the most frequent last."""
+    every = max(1, rows.count() // SAMPLED)
+    each = rows.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select(F.explode("parts").alias("_often"))
+    counted = each.groupBy("_often").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "_often").limit(FREQUENT)
+    return np.array([r._often for r in counted.collect()][::-1], np.int64)
+
+
+_PREFIXES = "centre binary, node binary, root binary, n int, n_centre int, weight long, most int, short int, long int, prefix array<long>"
+
+
+def _prefixes(frequent: np.ndarray):
+    """For each member as much of its parts as must be looked at: ``short`` of them by those
+    that are found, ``long`` by those that look (none for the middle's near copies)."""
+    order = np.argsort(frequent)
+    known, place = np.append(frequent[order], np.iinfo(np.int64).max), np.append(order + 1, 0)
+
+    def made(batches):
+        for batch in batches:
+            rows = []
+            for centre, node, root, n, n_centre, weight, parts in batch.itertuples(index=False):
+                short = long = len(parts) - (4 * n + 4) // 5 + 1
+                if centre:
+                    short, long = len(parts) - weight // 9, len(parts) - (weight - n_centre + 8) // 9 + 1 if weight > n_centre else 0
+                if max(short, long) > 0:
+                    parts = np.asarray(parts, np.int64)
+                    at = np.searchsorted(known, parts)
+                    late = np.where(known[at] == parts, place[at], 0)
+                    rows.append((centre, node, root, n, n_centre, weight, len(parts), short, long, parts[np.lexsort((parts, late))[: max(short, long)]]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PREFIXES.split(", ")])
+
+    return made
+
+
 def _by_parts(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) that can reach the threshold, by prefixes of their rarest parts.
+    """Pairs (a, b) that can reach the threshold, by prefixes of their parts.
 
     With d shingles of the middle (of n_c) missing, a member of n has the weight
     w = 4 n + 9 d - 4 n_c; two members are links only if 9 times the number of their common
     parts is w + w' - n_c or more.  The middle itself reaches the threshold with a member
     exactly if w <= n_c.  So of two members in doubt one has w > n_c, and both must have
-    that many parts that other members have, too, and share one of the rarest of them.
+    that many parts and share one in their prefixes; at the first that they share, what
+    follows in both must be enough, too.  Parts that only members of one class have in
+    their prefixes are left out.
     """
-    each = rows.select("centre", "node", "root", "n", "n_centre", "weight", F.explode("parts").alias("part"))
-    counts = each.groupBy("centre", "part").agg(F.count("*").alias("df")).where("df > 1")
-    told = each.join(counts, ["centre", "part"])
-    whose = W.partitionBy("centre", "node")
-    told = told.withColumn("nth", F.row_number().over(whose.orderBy("df", "part"))).withColumn("most", F.count("*").over(whose))
-    plain = F.length("centre") == 0
-    fewest = F.expr("(4 * n + 4) div 5")
-    far = plain | (F.col("weight") > F.col("n_centre"))
-    short = F.col("most") - F.when(plain, fewest).otherwise(F.expr("weight div 9 + 1")) + 1
-    long_ = F.col("most") - F.when(plain, fewest).otherwise(F.expr("greatest(1, (weight - n_centre + 8) div 9)")) + 1
-    told = materialize(told.withColumns({"indexed": F.col("nth") <= short, "probing": far & (F.col("nth") <= long_)}).where("indexed or probing"), "omh-prefixes")
-    index = told.where("indexed").select("centre", "part", F.col("node").alias("b"), F.col("root").alias("other"), F.col("weight").alias("weight_b"), F.col("most").alias("most_b"), F.col("n").alias("m"))
-    enough = F.expr("9 * least(most, most_b) >= weight + weight_b - n_centre")
-    met = told.where("probing").join(index, ["centre", "part"]).where((F.col("root") != F.col("other")) & enough & _alike("n", "m"))
-    return _pairs(met, "node", "b")
+    rows = materialize(rows.select("centre", "node", "root", "n", "n_centre", "weight", "parts"), "omh-placed")
+    made = materialize(rows.mapInPandas(_prefixes(_frequent(rows)), _PREFIXES), "omh-prefixes")
+    each = made.select("*", F.posexplode("prefix").alias("nth", "part")).drop("prefix")
+    probes = F.col("nth") < F.col("long")
+    shared = each.groupBy("centre", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(probes).alias("probed")).where("lo <> hi and probed")
+    told = materialize(each.join(shared.select("centre", "part"), ["centre", "part"]), "omh-told")
+    index = told.where("nth < short").select("centre", "part", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "weight", "most", "nth")])
+    enough = F.expr("9 * least(most - nth, most_b - nth_b) >= weight + weight_b - n_centre")
+    met = told.where(probes).join(index, ["centre", "part"]).where((F.col("root") != F.col("root_b")) & enough & _alike("n", "n_b"))
+    return _pairs(met, "node", "node_b")
 
 
 def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
