@@ -39,6 +39,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docloom.llm.columns import text_of
@@ -57,6 +58,8 @@ SHORT = 9
 SMALL_ROWS = 100_000
 #: Members whose parts are counted for the order of prefixes, and parts that are told as frequent.
 SAMPLED, FREQUENT = 1024, 50_000
+#: Texts whose sketches Python holds at once.
+TEXTS = 256
 #: Bytes of a text hashed at once.
 STRETCH = 1 << 20
 
@@ -191,14 +194,19 @@ def short_buckets(text_shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches):
+    """Some texts at a time leave as Arrow, so that a batch's are never all held as strings."""
     for batch in batches:
-        rows = []
-        for doc, key, text in zip(batch["doc_id"].array, batch["text_key"], batch["text"], strict=True):
-            words = word_hashes(text)
-            s = shingles(words)
-            node = hashlib.md5(words.tobytes() if len(words) else b"\0" + text.encode("utf-8", "surrogatepass")).digest()
-            rows.append((doc, key, node, len(s), np.append(sketch(s), short_buckets(s)) if len(s) else None))
-        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "node", "n", "sketch"]).astype({"doc_id": "Int64"})
+        for at in range(0, batch.num_rows, TEXTS):
+            some, nodes, counts, made = batch.slice(at, TEXTS), [], [], []
+            for text in some.column(2):
+                text = text.as_py()
+                words = word_hashes(text)
+                s = shingles(words)
+                nodes.append(hashlib.md5(words.tobytes() if len(words) else b"\0" + text.encode("utf-8", "surrogatepass")).digest())
+                counts.append(len(s))
+                made.append(np.append(sketch(s), short_buckets(s)) if len(s) else None)
+            columns = [some.column(0), some.column(1), pa.array(nodes, pa.binary()), pa.array(counts, pa.int32()), pa.array(made, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n", "sketch"])
 
 
 def _verified(batches):
@@ -220,7 +228,7 @@ def _alike(n: str, m: str):
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, node, n, sketch of every document, written once."""
     rows = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(F.encode(text_of(), "UTF-8"))).alias("text_key"), text_of().alias("text"))
-    return materialize(rows.mapInPandas(_sketches, "doc_id long, text_key binary, node binary, n int, sketch array<long>"), "omh-sketches")
+    return materialize(rows.mapInArrow(_sketches, "doc_id long, text_key binary, node binary, n int, sketch array<long>"), "omh-sketches")
 
 
 def links(docs: DataFrame, made: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom.llm import order_minhash as omh
@@ -27,3 +28,16 @@ def test_prefixes_find_all_pairs_and_are_short(spark, monkeypatch):
     read = made["omh-prefixes"].agg(F.sum(F.size("prefix"))).first()[0]
     assert read < 0.25 * sum(map(len, sets))
     assert made["omh-told"].count() < 0.05 * sum(map(len, sets))  # the passage's parts meet nobody
+
+
+def test_sketches_leave_some_texts_at_a_time():
+    n = 2 * omh.TEXTS + 5
+    texts = ["", "one two", *[" ".join(f"w{i}.{k}" for k in range(12)) for i in range(n - 2)]]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *range(1, n)], pa.int64()), pa.array([b"k"] * n, pa.binary()), pa.array(texts)], ["doc_id", "text_key", "text"])
+    got = list(omh._sketches([batch]))
+    assert [b.num_rows for b in got] == [omh.TEXTS, omh.TEXTS, 5]
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [r["doc_id"] for r in rows] == [None, *range(1, n)] and rows[0]["sketch"] is None and len({r["node"] for r in rows}) == n
+    for r, text in zip(rows[1:], texts[1:], strict=True):
+        s = omh.shingles(omh.word_hashes(text))
+        assert r["n"] == len(s) and r["sketch"] == [*omh.sketch(s), *omh.short_buckets(s)]
